@@ -72,13 +72,18 @@ def squeeze(text) -> Column:
 
 
 def ngrams(text, n: int) -> Column:
-    """Character n-grams after removing white space."""
-    s = squeeze(text)
-    count = F.length(s) - (n - 1)
-    positions = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(
-        F.transform(F.array(s), lambda t: F.transform(positions, lambda i: F.substring(t, i, F.lit(n))))
-    )
+    """Character n-grams after removing white space.
+
+    The text becomes an array of characters once: positions in a UTF-8 string are not constant time.
+    """
+    chars = F.split(squeeze(text), "")
+
+    def grams(cs):
+        count = F.size(cs) - (n - 1)
+        positions = F.when(count >= 1, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(positions, lambda i: F.concat(*[F.get(cs, i + j) for j in range(n)]))
+
+    return F.flatten(F.transform(F.array(chars), grams))
 
 
 def numbers(text) -> Column:
@@ -95,12 +100,12 @@ def sentences(text) -> Column:
     return F.filter(F.split(_c(text), r"(?<=[。！？\n])"), lambda s: s != "")
 
 
-def clip(text, limit: int) -> Column:
+def clip(text, limit: int, mark: str = "。") -> Column:
     """At most ``limit`` characters, cut after the last full stop unless that loses over half."""
     t = F.trim(F.regexp_replace(_c(text), r"\s+", " "))
     head = F.substring(t, 1, limit)
     cut = F.when(
-        F.locate("。", head) > 0, F.length(head) - F.locate("。", F.reverse(head)) + 1
+        F.locate(mark, head) > 0, F.length(head) - F.locate(mark, F.reverse(head)) + 1
     ).otherwise(F.lit(0))
     return (
         F.when(F.length(t) <= limit, t)

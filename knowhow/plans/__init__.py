@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["views", "search"]
+FAMILIES = ["views", "search", "ingest"]
 
 
 def _load():

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _needed(sql: str, seen: list[str]) -> None:
-    for name in re.findall(r"\b(?:fx|v)_\w+\b", sql):
+    for name in re.findall(r"\b(?:fx|v|in)_\w+\b", sql):
         if name in VIEWS and name not in seen:
             _needed(VIEWS[name], seen)
             if name not in seen:

@@ -125,3 +125,29 @@ SELECT lpad(CAST(emp_key AS VARCHAR), 5, '0') AS emp_no, conv_id,
   max_by(text, turn) FILTER (turn % 3 = 0) AS current_job, max_by(text, turn) FILTER (turn % 3 = 1) AS future_wish,
   max_by(text, turn) FILTER (turn % 3 = 2) AS effort, '2026-04-01' AS updated_at
 FROM (SELECT *, conv_id * 3 % (SELECT count(*) FROM customer) AS emp_key FROM conversations) GROUP BY emp_key, conv_id""")
+
+view("in_documents", """
+SELECT doc_id AS file_id, name AS file_name,
+  concat(split_part(doc_code, '-', 1), '-', CASE WHEN o_totalprice < 10000 THEN '26-' ELSE '2026-' END, lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0')) AS doc_code,
+  doc_type, CASE WHEN o_totalprice < 30000 THEN '  ' WHEN o_totalprice > 480000 THEN repeat(concat(title, ' '), 10) ELSE title END AS title,
+  CASE WHEN o_orderstatus = 'P' AND submitted_at IS NOT NULL THEN concat(year(submitted_at), '年', month(submitted_at), '月', day(submitted_at), '日') ELSE CAST(submitted_at AS VARCHAR) END AS submitted_at,
+  CASE WHEN o_totalprice >= 200000 AND o_totalprice < 210000 AND proposal_area IS NOT NULL THEN 'misc' ELSE proposal_area END AS proposal_area,
+  result, CAST(decided_at AS VARCHAR) AS decided_at, result_reason, pj_status, CAST(started_at AS VARCHAR) AS started_at,
+  CAST(planned_end_at AS VARCHAR) AS planned_end_at, CAST(ended_at AS VARCHAR) AS ended_at,
+  CASE WHEN doc_type = 'project' THEN concat('D', lpad(CAST(o_custkey % 27 AS VARCHAR), 3, '0')) END AS owner_dept,
+  CASE WHEN o_totalprice >= 20000 THEN CAST(updated_at AS VARCHAR) END AS updated_at, name AS source_file
+FROM (SELECT d.*, o.o_custkey, o.o_totalprice, o.o_orderstatus,
+  CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN concat('~$file', doc_id, '.docx')
+       WHEN o_orderstatus = 'P' AND o_orderpriority = '2-HIGH' THEN concat('file', doc_id, '.xlsx') ELSE concat('file', doc_id, '.docx') END AS name
+  FROM fx_documents d JOIN orders o ON o.o_orderkey = d.doc_id)""")
+
+view("in_authors", """
+SELECT l_orderkey AS file_id, CASE l_linenumber % 4 WHEN 0 THEN 'owner' WHEN 1 THEN 'lead' WHEN 2 THEN 'member' ELSE 'proposer' END AS role,
+  lpad(CAST(l_partkey AS VARCHAR), 5, '0') AS emp_no,
+  concat('Customer#', lpad(CAST(CASE WHEN l_returnflag = 'A' THEN l_partkey ELSE l_suppkey END AS VARCHAR), 9, '0')) AS name,
+  concat('D', lpad(CAST(l_suppkey % 27 AS VARCHAR), 3, '0')) AS dept_code FROM lineitem""")
+
+view("in_sections", """
+SELECT doc_id // 4 AS file_id, CAST(doc_id % 4 + 1 AS INT) AS section_no,
+  (['current_state','issue','proposal','expected_effect','obstacle','background','purpose','work','outcome','misc'])[CAST(n_chars % 10 AS INT) + 1] AS section_name,
+  text AS body FROM documents""")

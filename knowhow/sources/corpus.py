@@ -230,3 +230,71 @@ class Corpus:
             _pad(F.col("emp_key"), 5).alias("emp_no"), "conv_id", "current_job", "future_wish", "effort",
             F.lit("2026-04-01").alias("updated_at"),
         )
+
+
+class Incoming:
+    """A batch as it arrives: text values, blanks, wrong codes, repeated people and unknown keys included."""
+
+    SECTION_NAMES = (
+        "current_state", "issue", "proposal", "expected_effect", "obstacle", "background", "purpose", "work", "outcome",
+        "misc",
+    )
+
+    def __init__(self, corpus: Corpus):
+        self.corpus = corpus
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        c = self.corpus
+        o = c.table("orders").select(
+            F.col("o_orderkey").alias("doc_id"), "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
+        )
+        d = c.documents.join(o, "doc_id")
+        price, st = F.col("o_totalprice"), F.col("o_orderstatus")
+        prefix = F.concat(F.split("doc_code", "-")[0], F.lit("-"))
+        code = F.concat(prefix, F.when(price < 10000, "26-").otherwise("2026-"), _pad(F.col("o_custkey") % 10000, 4))
+        sub = F.col("submitted_at")
+        local = F.concat(
+            F.year(sub).cast("string"), F.lit("年"), F.month(sub).cast("string"), F.lit("月"),
+            F.dayofmonth(sub).cast("string"), F.lit("日"),
+        )
+        name = F.concat(F.lit("file"), F.col("doc_id").cast("string"), F.lit(".docx"))
+        name = (
+            F.when((st == "P") & (F.col("o_orderpriority") == "1-URGENT"), F.concat(F.lit("~$"), name))
+            .when((st == "P") & (F.col("o_orderpriority") == "2-HIGH"), F.regexp_replace(name, "docx$", "xlsx"))
+            .otherwise(name)
+        )
+        return d.select(
+            F.col("doc_id").alias("file_id"), name.alias("file_name"), code.alias("doc_code"), "doc_type",
+            F.when(price < 30000, "  ").when(price > 480000, F.repeat(F.concat("title", F.lit(" ")), 10))
+            .otherwise(F.col("title")).alias("title"),
+            F.when(st == "P", local).otherwise(sub.cast("string")).alias("submitted_at"),
+            F.when((price >= 200000) & (price < 210000) & F.col("proposal_area").isNotNull(), "misc")
+            .otherwise(F.col("proposal_area")).alias("proposal_area"),
+            "result", F.col("decided_at").cast("string").alias("decided_at"), "result_reason", "pj_status",
+            F.col("started_at").cast("string").alias("started_at"),
+            F.col("planned_end_at").cast("string").alias("planned_end_at"),
+            F.col("ended_at").cast("string").alias("ended_at"),
+            F.when(F.col("doc_type") == "project", F.concat(F.lit("D"), _pad(F.col("o_custkey") % 27, 3))).alias("owner_dept"),
+            F.when(price >= 20000, F.col("updated_at").cast("string")).alias("updated_at"),
+            name.alias("source_file"),
+        )
+
+    @cached_property
+    def authors(self) -> DataFrame:
+        ln = F.col("l_linenumber")
+        role = F.when(ln % 4 == 0, "owner").when(ln % 4 == 1, "lead").when(ln % 4 == 2, "member").otherwise("proposer")
+        who = F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).otherwise(F.col("l_suppkey"))
+        return self.corpus.table("lineitem").select(
+            F.col("l_orderkey").alias("file_id"), role.alias("role"), _pad(F.col("l_partkey"), 5).alias("emp_no"),
+            F.concat(F.lit("Customer#"), _pad(who, 9)).alias("name"),
+            F.concat(F.lit("D"), _pad(F.col("l_suppkey") % 27, 3)).alias("dept_code"),
+        )
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        names = F.array(*[F.lit(n) for n in self.SECTION_NAMES])
+        return self.corpus.table("documents").select(
+            F.floor(F.col("doc_id") / 4).cast("long").alias("file_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("section_no"),
+            F.get(names, (F.col("n_chars") % 10).cast("int")).alias("section_name"), F.col("text").alias("body"),
+        )
