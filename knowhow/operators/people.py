@@ -44,7 +44,9 @@ def similar_people(egos: DataFrame, profiles: DataFrame, employees: DataFrame, a
     mine = egos.select("emp_id").join(profiles, "emp_id").select(F.col("emp_id").alias("id"), "vec")
     active = employees.where("is_active").select("emp_id")
     others = profiles.join(active, "emp_id").select(F.col("emp_id").alias("id"), "vec")
-    p = similarity.score_all(mine, others, drop_self=True).select(
+    # The factors raise a similarity by at most (1 + boost): nobody below this bound can pass.
+    bound = min_sim / (1 + overlap_boost) - 1e-6
+    p = similarity.pairs_between(mine, others, bound, drop_self=True).select(
         F.col("left_id").alias("emp_id"), F.col("right_id").alias("other_id"), "sim"
     )
     e = employees.select("emp_id", F.col("dept_id").alias("d1"))
@@ -58,13 +60,14 @@ def similar_people(egos: DataFrame, profiles: DataFrame, employees: DataFrame, a
     passed = p.where(F.col("score") >= min_sim)
     w = Window.partitionBy("emp_id").orderBy(F.desc("score"), "other_id")
     people = passed.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top_n)
-    counts = p.groupBy("emp_id").agg(
-        F.count(F.lit(1)).alias("candidates"), F.count(F.when(F.col("score") >= min_sim, 1)).alias("passed")
-    )
+    counts = passed.groupBy("emp_id").agg(F.count(F.lit(1)).alias("passed"))
+    pool = others.agg(F.count(F.lit(1)).alias("pool")).withColumn("_one", F.lit(1))
     has = profiles.select("emp_id").withColumn("has", F.lit(True))
-    status = egos.select("emp_id").join(has, "emp_id", "left").join(counts, "emp_id", "left").na.fill(0, ["candidates", "passed"])
+    status = egos.select("emp_id").join(has, "emp_id", "left").join(employees.select("emp_id", "is_active"), "emp_id", "left")
+    status = status.join(counts, "emp_id", "left").na.fill(0, ["passed"]).withColumn("_one", F.lit(1)).join(pool, "_one")
+    candidates = F.when(F.col("has").isNull(), F.lit(0)).otherwise(F.col("pool") - F.col("is_active").cast("int"))
     status = status.select(
-        "emp_id", "candidates", "passed",
+        "emp_id", candidates.alias("candidates"), "passed",
         F.when(F.col("has").isNull(), "no_profile").when(F.col("passed") > 0, "ok").otherwise("none").alias("status"),
     )
     return people, status
@@ -180,14 +183,16 @@ def relative_profile(egos: DataFrame, people: DataFrame, profiles: DataFrame) ->
 
 
 def pair_measures(egos: DataFrame, people: DataFrame, profiles: DataFrame, theme: DataFrame, text: DataFrame,
-                  employees: DataFrame, departments: DataFrame, authors: DataFrame, use_profile: bool = True) -> DataFrame:
+                  employees: DataFrame, departments: DataFrame, authors: DataFrame, use_profile: bool = True,
+                  spread: int = 64) -> DataFrame:
     """One row per ego and other person of the population with all measures of closeness."""
     ids = people.select("emp_id")
     mine = egos.select("emp_id").join(ids, "emp_id", "left_semi")
-    # Egos are a short list to which every person is compared; each person's row is repeated once per ego.
-    pairs = mine.withColumn("_one", F.lit(1)).join(
-        ids.select(F.col("emp_id").alias("other_id"), F.lit(1).alias("_one")), "_one"
-    ).drop("_one").where("emp_id <> other_id")
+    # Everybody is compared with each ego, also people who share nothing with them. People are spread over
+    # sub-keys and the egos repeated for each, so the pairs form evenly in all tasks.
+    pairs = mine.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).join(
+        ids.select(F.col("emp_id").alias("other_id"), F.pmod(F.xxhash64("emp_id"), F.lit(spread)).cast("int").alias("_s")), "_s"
+    ).drop("_s").where("emp_id <> other_id")
     authors = authors.join(ids, "emp_id", "left_semi")
     p = closeness_level(pairs, employees, departments, shared_documents(authors, mine))
     keys = ["emp_id", "other_id"]

@@ -135,6 +135,7 @@ def _join(left, right, mode, k=None, threshold=None, digits=DIGITS, drop_self=Fa
     b = b.withColumn("_other", F.explode(F.sequence(F.lit(0), last_other)))
     a = a.withColumnsRenamed({"_own": "_lb", "_other": "_rb"})
     b = b.withColumnsRenamed({"_own": "_rb", "_other": "_lb"})
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # own column identities when both sides are one frame
     run = _kernel(mode, k, threshold, digits, is_self, drop_self, schema)
     return (
         a.groupBy("_lb", "_rb")
@@ -164,6 +165,11 @@ def pairs_above(df: DataFrame, threshold: float, **opts) -> DataFrame:
     return _join(df, None, "pairs", threshold=threshold, **opts)
 
 
+def pairs_between(left: DataFrame, right: DataFrame, threshold: float, **opts) -> DataFrame:
+    """(left_id, right_id, sim) with sim >= threshold, between two frames."""
+    return _join(left, right, "pairs", threshold=threshold, **opts)
+
+
 def score_all(left: DataFrame, right: DataFrame, **opts) -> DataFrame:
     """Every left-right similarity: for reports that score a whole population against a short list."""
     return _join(left, right, "all", **opts)

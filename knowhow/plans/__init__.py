@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["views", "search", "ingest"]
+FAMILIES = ["views", "search", "ingest", "people"]
 
 
 def _load():
