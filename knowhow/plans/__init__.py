@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["views", "search", "ingest", "people"]
+FAMILIES = ["views", "search", "ingest", "people", "themes", "clusters"]
 
 
 def _load():
