@@ -100,9 +100,14 @@ def sentences(text) -> Column:
     return F.filter(F.split(_c(text), r"(?<=[。！？\n])"), lambda s: s != "")
 
 
+def squash(text) -> Column:
+    """White space collapsed to single blanks."""
+    return F.trim(F.regexp_replace(_c(text), r"\s+", " "))
+
+
 def clip(text, limit: int, mark: str = "。") -> Column:
     """At most ``limit`` characters, cut after the last full stop unless that loses over half."""
-    t = F.trim(F.regexp_replace(_c(text), r"\s+", " "))
+    t = squash(text)
     head = F.substring(t, 1, limit)
     cut = F.when(
         F.locate(mark, head) > 0, F.length(head) - F.locate(mark, F.reverse(head)) + 1

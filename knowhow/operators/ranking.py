@@ -151,7 +151,7 @@ def blend_profiles(people: DataFrame, sims: DataFrame, employees: DataFrame, alp
     With alpha = 1 the people come back unchanged (path = score).
     """
     if alpha >= 1.0:
-        return people.withColumn("path", F.col("score")).withColumn("profile", F.lit(0.0))
+        return people.withColumn("path", F.col("score")).withColumn("profile", F.lit(0.0)).withColumn("on_path", F.lit(True))
     scaled = scale_similarity(sims)
     p = people.select("query_id", "emp_id", F.col("dept_id").alias("d1"), F.col("score").alias("raw"), "proven")
     if years:
@@ -176,7 +176,7 @@ def blend_profiles(people: DataFrame, sims: DataFrame, employees: DataFrame, alp
     return mixed.withColumn("path", path).select(
         "query_id", "emp_id", "dept_id", "path", F.coalesce("scaled", F.lit(0.0)).alias("profile"),
         (alpha * F.col("path") + (1 - alpha) * F.coalesce("scaled", F.lit(0.0))).alias("score"),
-        F.coalesce("proven", F.lit(False)).alias("proven"),
+        F.coalesce("proven", F.lit(False)).alias("proven"), F.col("raw").isNotNull().alias("on_path"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["views", "search", "ingest", "people", "themes", "clusters"]
+FAMILIES = ["views", "search", "ingest", "people", "themes", "clusters", "profiles", "evaluation"]
 
 
 def _load():
