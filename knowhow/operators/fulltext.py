@@ -9,14 +9,18 @@ from knowhow.constants import BM25_B, BM25_K1, LIST_SIZE
 from knowhow.functions import text as T
 
 SALT = 8
+SMALL = 500_000  # rows of (query, term) that may be sent to every task
 
 
-def match_terms(query_terms: DataFrame, term_counts: DataFrame, item: str, salt: int = SALT) -> DataFrame:
+def match_terms(query_terms: DataFrame, term_counts: DataFrame, item: str, small: int = SMALL, salt: int = SALT) -> DataFrame:
     """Occurrences of query terms in items.
 
-    A frequent term has one row per item, so the term alone would be a hot join key: rows of the long side are
-    spread over ``salt`` sub-keys by item and the short side is repeated for each of them.
+    The query terms are counted: a short list is sent to all tasks and the long side stays in place. Otherwise both
+    are joined by term. A frequent term has one row per item and would be a hot key, so the rows of a term are
+    spread over ``salt`` sub-keys by item and the query terms repeated for each of them.
     """
+    if query_terms.limit(small + 1).count() <= small:
+        return term_counts.join(F.broadcast(query_terms), "term")
     short = query_terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     long = term_counts.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salt)).cast("int"))
     return long.join(short, ["term", "_salt"]).drop("_salt")
@@ -62,3 +66,21 @@ def bm25(items: DataFrame, queries: DataFrame, key: str = "section_id", text: st
         F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     )
     return hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+
+
+def character_tfidf(items: DataFrame, key: str, text: str, max_features: int = 20_000, sizes=(2, 3)) -> DataFrame:
+    """(key, term, weight): character n-gram TF-IDF rows of unit length, a stand-in for embeddings.
+
+    Sublinear term frequency, smoothed idf, the most frequent n-grams only.
+    """
+    grams = F.concat(*[T.ngrams(text, n) for n in sizes])
+    tf = T.term_counts(items, [key], grams)
+    stats = tf.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
+    features = stats.orderBy(F.desc("total"), "term").limit(max_features)
+    total = items.agg(F.count(F.lit(1)).alias("items")).withColumn("_one", F.lit(1))
+    idf = features.withColumn("_one", F.lit(1)).join(total, "_one").select(
+        "term", (F.log((1 + F.col("items")) / (1 + F.col("df"))) + 1).alias("idf")
+    )
+    w = tf.join(idf, "term").select(key, "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+    length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return w.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))

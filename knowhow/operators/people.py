@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knowhow import constants as K
 from knowhow.functions import derive as D
 from knowhow.operators import similarity
+from knowhow.session import cut_lineage
 
 
 def document_counts(authors: DataFrame) -> DataFrame:
@@ -101,41 +102,43 @@ def organisation_stopwords(departments: DataFrame) -> DataFrame:
     return d.select(F.explode(words).alias("term")).where(F.col("term").isNotNull()).distinct()
 
 
-def person_terms(doc_terms: DataFrame, authors: DataFrame, n_docs: DataFrame) -> DataFrame:
+def person_terms(doc_terms: DataFrame, authors: DataFrame, n_docs: DataFrame, materialise: bool = False) -> DataFrame:
     """(emp_id, term, weight): TF-IDF over the person's documents, unit length per person.
 
-    ``doc_terms``: (doc_id, term, n). ``n_docs``: one row with the number of all documents.
+    ``doc_terms``: (doc_id, term, n), one row per document and term. ``n_docs``: one row with the number of all
+    documents. Terms are weighted per document first, so that only one aggregation runs at person level;
+    ``materialise`` writes its result once for callers that read the table several times.
     """
-    df = doc_terms.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = n_docs.withColumn("_one", F.lit(1))
     idf = df.withColumn("_one", F.lit(1)).join(total, "_one").select(
         "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
-    tf = doc_terms.select("doc_id", "term", (1 + F.log("n")).alias("tf"))
-    raw = authors.select("doc_id", "emp_id").distinct().join(tf, "doc_id").groupBy("emp_id", "term").agg(F.sum("tf").alias("tf"))
-    raw = raw.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    w = doc_terms.join(idf, "term").select("doc_id", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+    raw = authors.select("doc_id", "emp_id").join(w, "doc_id").groupBy("emp_id", "term").agg(F.sum("w").alias("raw"))
+    raw = cut_lineage(raw) if materialise else raw
     length = raw.groupBy("emp_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return raw.join(length, "emp_id").select(
         "emp_id", "term", F.when(F.col("length") > 0, F.col("raw") / F.col("length")).otherwise(0.0).alias("weight")
     )
 
 
-def term_closeness(egos: DataFrame, people_terms: DataFrame, salt: int = 8) -> DataFrame:
+def term_closeness(egos: DataFrame, people_terms: DataFrame, small: int = 1_000_000, salt: int = 8) -> DataFrame:
     """(emp_id, other_id, sim): cosine of the egos' term rows with everybody's.
 
-    A common term belongs to most people, so term rows are spread over ``salt`` sub-keys by person; products are
-    summed per pair on the map side before the shuffle.
+    ``people_terms`` should be materialised, as it is read more than once. The egos' rows are counted: a short list is sent
+    to all tasks, so that everybody's rows stay where they are and products are summed in place. A longer list is
+    joined by term; a common term belongs to most people, so the rows of a term are spread over ``salt`` sub-keys.
     """
-    mine = people_terms.join(egos.select("emp_id"), "emp_id", "left_semi").select(
-        "emp_id", "term", F.col("weight").alias("w1"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s")
-    )
-    all_ = people_terms.select(
-        F.col("emp_id").alias("other_id"), "term", F.col("weight").alias("w2"),
-        F.pmod(F.xxhash64("emp_id"), F.lit(salt)).cast("int").alias("_s"),
-    )
-    return mine.join(all_, ["term", "_s"]).where("emp_id <> other_id").groupBy("emp_id", "other_id").agg(
-        F.sum(F.col("w1") * F.col("w2")).alias("sim")
-    )
+    mine = people_terms.join(egos.select("emp_id"), "emp_id", "left_semi").select("emp_id", "term", F.col("weight").alias("w1"))
+    all_ = people_terms.select(F.col("emp_id").alias("other_id"), "term", F.col("weight").alias("w2"))
+    if mine.limit(small + 1).count() <= small:
+        both = all_.join(F.broadcast(mine), "term")
+    else:
+        mine = mine.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        all_ = all_.withColumn("_s", F.pmod(F.xxhash64("other_id"), F.lit(salt)).cast("int"))
+        both = all_.join(mine, ["term", "_s"])
+    return both.where("emp_id <> other_id").groupBy("emp_id", "other_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("sim"))
 
 
 def population(employees: DataFrame, authors: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -174,6 +177,7 @@ def relative_profile(egos: DataFrame, people: DataFrame, profiles: DataFrame) ->
     s = similarity.score_all(mine, p, drop_self=True).select(
         F.col("left_id").alias("emp_id"), F.col("right_id").alias("other_id"), F.col("sim").alias("prof")
     )
+    s = cut_lineage(s)  # read twice: for the median and for the result
     # Rounded similarities bound the state of the exact median.
     stats = s.groupBy("emp_id").agg(F.percentile("prof", 0.5).alias("base"), F.max("prof").alias("top"))
     rel = (F.col("prof") - F.col("base")) / F.greatest(F.col("top") - F.col("base"), F.lit(1e-9))

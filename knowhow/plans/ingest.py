@@ -9,6 +9,7 @@ from knowhow.functions import derive as D, text as T
 from knowhow.functions.vector import dot
 from knowhow.operators import rules as V
 from knowhow.plans.registry import query, view
+from knowhow.plans.search import GRAMS
 from knowhow.sources import loading as L
 from knowhow.sources.corpus import Incoming
 
@@ -596,15 +597,35 @@ view("v_t_runs", RUNS.format(src="v_t_src"))
 view("v_t_terms", TERMS.format(src="v_t_src", runs="v_t_runs").replace("{{", "{").replace("}}", "}"))
 
 
-@query("T10_character_ngrams", r"""
-SELECT doc_id, count(*) AS bigrams, count(DISTINCT s[i:i+1]) AS distinct_bigrams FROM (
-  SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS s FROM documents)) GROUP BY doc_id""")
+view("v_t10", GRAMS.format(k="doc_id", t="text", s="documents"))
+
+
+@query("T10_character_ngrams", "SELECT doc_id, count(*) AS bigrams, count(DISTINCT term) AS distinct_bigrams FROM v_t10 WHERE term IS NOT NULL GROUP BY 1")
 def _(c):
     g = T.ngrams("text", 2)
     d = c.table("documents").select("doc_id", g.alias("g")).where(F.size("g") > 0)
     return d.select("doc_id", F.size("g").cast("long").alias("bigrams"), F.size(F.array_distinct("g")).cast("long").alias("distinct_bigrams"))
 
 
+# 2- and 3-grams by position from the list of characters.
+view("v_t11_grams", r"""
+SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(list_transform(list_zip(ch, ch[2:]), lambda p: p[1] || p[2]), list_transform(list_zip(ch, ch[2:], ch[3:]), lambda p: p[1] || p[2] || p[3]))) AS term FROM (
+  SELECT doc_id, string_split(regexp_replace(text, '\s+', '', 'g'), '') AS ch FROM documents)) WHERE term IS NOT NULL GROUP BY ALL""")
+
+
+@query("T11_character_tfidf", """
+WITH v AS (SELECT term, sum(n) AS total, count(*) AS df FROM v_t11_grams GROUP BY 1 ORDER BY total DESC, term LIMIT 2000),
+w AS (SELECT g.doc_id, g.term, (1 + ln(g.n)) * (ln((1 + d.nn) / (1 + v.df)) + 1) AS w FROM v_t11_grams g JOIN v USING (term) CROSS JOIN (SELECT count(*) AS nn FROM documents) d)
+SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS top, round(sum(w) / sqrt(sum(w * w)), 6) AS total FROM w GROUP BY 1""")
+def _(c):
+    from knowhow.operators.fulltext import character_tfidf
+
+    w = character_tfidf(c.table("documents"), "doc_id", "text", 2000)
+    return w.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 6).alias("total")
+    )
+
+
 @query("T12_numbers_in_text", r"""
 SELECT doc_id, number FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(translate(text, '０１２３４５６７８９．', '0123456789.'), '[0-9]+(?:\.[0-9]+)?'))) AS number FROM documents)""")
 def _(c):

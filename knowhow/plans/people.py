@@ -9,6 +9,7 @@ from knowhow.functions import text as T
 from knowhow.operators import people as N, similarity
 from knowhow.plans.registry import query, view
 from knowhow.plans.search import r
+from knowhow.session import cut_lineage
 
 
 def egos(c):
@@ -175,16 +176,22 @@ def n_docs(c):
     return c.documents.agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def theme(c):
+def doc_keywords(c):
     stop = N.organisation_stopwords(c.departments)
-    kw = c.keywords.select("doc_id", F.col("keyword").alias("term"), F.col("count").alias("n")).join(stop, "term", "left_anti")
-    return N.person_terms(kw, c.authors, n_docs(c))
+    return c.keywords.select("doc_id", F.col("keyword").alias("term"), F.col("count").alias("n")).join(stop, "term", "left_anti")
 
 
-def words(c):
+def doc_words(c):
     stop = N.organisation_stopwords(c.departments)
-    t = c.terms.join(stop, "term", "left_anti").groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
-    return N.person_terms(t, c.authors, n_docs(c))
+    return c.terms.join(stop, "term", "left_anti").groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+
+
+def theme(c):
+    return N.person_terms(doc_keywords(c), c.authors, n_docs(c), materialise=True)
+
+
+def words(c):
+    return N.person_terms(doc_words(c), c.authors, n_docs(c), materialise=True)
 
 
 @query("N1_person_keyword_tfidf", "SELECT emp_id, term, round(weight, 9) AS weight FROM v_theme")
@@ -236,9 +243,10 @@ def _(c):
     return measures(c).select("emp_id", "other_id", "shared", F.col("level").cast("long").alias("level"))
 
 
-def measures(c, **opts):
+def measures(c, themes=None, **opts):
     return N.pair_measures(
-        egos(c), population(c), c.profiles, theme(c), words(c), c.employees, c.departments, c.authors, **opts
+        egos(c), population(c), c.profiles, theme(c) if themes is None else themes, words(c), c.employees, c.departments,
+        c.authors, **opts
     )
 
 
@@ -280,8 +288,8 @@ view("v_neighbors", neighbors_sql(0.5, 2))
 view("v_neighbors_fact", neighbors_sql(0.0, 1, False))
 
 
-def nbrs(c):
-    return N.neighbors(measures(c))
+def nbrs(c, themes=None):
+    return N.neighbors(measures(c, themes))
 
 
 @query("N7_neighbors", """
@@ -310,7 +318,8 @@ SELECT emp_id, other_id, term, "both", position FROM (SELECT n.emp_id, n.other_i
   row_number() OVER (PARTITION BY n.emp_id, n.other_id ORDER BY round(least(a.weight, b.weight), 9) DESC, a.term) AS position
   FROM v_neighbors n JOIN v_theme a ON a.emp_id = n.emp_id JOIN v_theme b ON b.emp_id = n.other_id AND b.term = a.term) WHERE position <= 3""")
 def _(c):
-    return N.shared_words(nbrs(c), theme(c)).withColumn("position", F.col("position").cast("long"))
+    t = theme(c)
+    return N.shared_words(nbrs(c, t), t).withColumn("position", F.col("position").cast("long"))
 
 
 @query("N10_person_terms", """
@@ -339,7 +348,8 @@ def _(c):
 SELECT x.emp_id, x.other_id AS a, y.other_id AS b, round(sum(ta.weight * tb.weight), 6) AS sim FROM v_neighbors x JOIN v_neighbors y ON x.emp_id = y.emp_id AND x.other_id < y.other_id
 JOIN v_theme ta ON ta.emp_id = x.other_id JOIN v_theme tb ON tb.emp_id = y.other_id AND ta.term = tb.term GROUP BY 1, 2, 3 HAVING sum(ta.weight * tb.weight) >= 0.25""")
 def _(c):
-    return N.neighbour_edges(nbrs(c), theme(c)).select("emp_id", "a", "b", r("sim", 6))
+    t = theme(c)
+    return N.neighbour_edges(cut_lineage(nbrs(c, t).select("emp_id", "other_id")), t).select("emp_id", "a", "b", r("sim", 6))
 
 
 @query("N11_main_reason", """
@@ -356,7 +366,7 @@ SWEEP = [0.0, 0.5, 1.0]
     f"SELECT {t}::DOUBLE AS t, CAST(level AS BIGINT) AS level, count(*) AS people, count(*) FILTER (surprise) AS surprises FROM ({neighbors_sql(t, 2)}) GROUP BY level"
     for t in SWEEP))
 def _(c):
-    m = measures(c)
+    m = cut_lineage(measures(c))
     out = None
     for t in SWEEP:
         one = N.neighbors(m, t=t).groupBy("level").agg(

@@ -137,13 +137,11 @@ def _(c):
     return fts(c).select("query_id", "section_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-view("v_grams", r"""
-SELECT section_id, s[i:i+1] AS term, count(*) AS n FROM (
-  SELECT section_id, s, unnest(range(1, length(s))) AS i FROM (SELECT section_id, regexp_replace(body, '\s+', '', 'g') AS s FROM fx_sections_base))
-GROUP BY ALL""")
-view("v_query_grams", r"""
-SELECT DISTINCT query_id, s[i:i+1] AS term FROM (
-  SELECT query_id, s, unnest(range(1, length(s))) AS i FROM (SELECT query_id, regexp_replace(text, '\s+', '', 'g') AS s FROM fx_queries))""")
+GRAMS = r"""
+SELECT {k}, unnest(list_transform(list_zip(ch, ch[2:]), lambda p: p[1] || p[2])) AS term FROM (
+  SELECT {k}, string_split(regexp_replace({t}, '\s+', '', 'g'), '') AS ch FROM {s})"""
+view("v_grams", "SELECT section_id, term, count(*) AS n FROM (" + GRAMS.format(k="section_id", t="body", s="fx_sections_base") + ") WHERE term IS NOT NULL GROUP BY ALL")
+view("v_query_grams", "SELECT DISTINCT query_id, term FROM (" + GRAMS.format(k="query_id", t="text", s="fx_queries") + ") WHERE term IS NOT NULL")
 view("v_bm25", r"""
 SELECT q.query_id, g.section_id, sum(ln(1 + (w.nn - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) * g.n * 2.5::DOUBLE / (g.n + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.len / w.avg_len))) AS score
 FROM v_query_grams q JOIN v_grams g USING (term) JOIN (SELECT term, count(*) AS df FROM v_grams GROUP BY term) d USING (term)

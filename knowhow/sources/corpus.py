@@ -13,12 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowhow.functions import text as T
+from knowhow.session import cut_lineage
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share the rows of a scan that has fewer splits than the cluster has cores.
+
+    Long texts in a single file would otherwise be tokenised by one task; a scan with enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pad(c, width):
     return F.lpad(c.cast("string"), width, "0")
 
@@ -27,8 +37,15 @@ class Corpus:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    @cached_property
+    def _read(self) -> dict:
+        return {}
+
     def table(self, name: str) -> DataFrame:
-        return read(self.spark, self.folder, name)
+        if name not in self._read:
+            df = read(self.spark, self.folder, name)
+            self._read[name] = spread(df, "doc_id") if name == "documents" else df
+        return self._read[name]
 
     def _one_row(self, table: str, name: str) -> DataFrame:
         """Row count of a table as a one-row frame, joined to every row through a literal key."""
@@ -212,10 +229,10 @@ class Corpus:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        """(emp_id, vec): role-weighted mean of the person's document vectors."""
+        """(emp_id, vec): role-weighted mean of the person's document vectors, written once like a stored table."""
         from knowhow.operators.ranking import person_vectors
 
-        return person_vectors(self.section_vectors, self.authors)
+        return cut_lineage(person_vectors(self.section_vectors, self.authors))
 
     @cached_property
     def career_sheets(self) -> DataFrame:
