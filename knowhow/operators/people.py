@@ -186,10 +186,9 @@ def relative_profile(egos: DataFrame, people: DataFrame, profiles: DataFrame) ->
     )
 
 
-def pair_measures(egos: DataFrame, people: DataFrame, profiles: DataFrame, theme: DataFrame, text: DataFrame,
-                  employees: DataFrame, departments: DataFrame, authors: DataFrame, use_profile: bool = True,
-                  spread: int = 64) -> DataFrame:
-    """One row per ego and other person of the population with all measures of closeness."""
+def organisation_closeness(egos: DataFrame, people: DataFrame, employees: DataFrame, departments: DataFrame,
+                           authors: DataFrame, spread: int = 64) -> DataFrame:
+    """(emp_id, other_id, shared, level) for every ego and every other person of the population."""
     ids = people.select("emp_id")
     mine = egos.select("emp_id").join(ids, "emp_id", "left_semi")
     # Everybody is compared with each ego, also people who share nothing with them. People are spread over
@@ -198,7 +197,16 @@ def pair_measures(egos: DataFrame, people: DataFrame, profiles: DataFrame, theme
         ids.select(F.col("emp_id").alias("other_id"), F.pmod(F.xxhash64("emp_id"), F.lit(spread)).cast("int").alias("_s")), "_s"
     ).drop("_s").where("emp_id <> other_id")
     authors = authors.join(ids, "emp_id", "left_semi")
-    p = closeness_level(pairs, employees, departments, shared_documents(authors, mine))
+    return closeness_level(pairs, employees, departments, shared_documents(authors, mine))
+
+
+def pair_measures(egos: DataFrame, people: DataFrame, profiles: DataFrame, theme: DataFrame, text: DataFrame,
+                  employees: DataFrame, departments: DataFrame, authors: DataFrame, use_profile: bool = True,
+                  spread: int = 64) -> DataFrame:
+    """One row per ego and other person of the population with all measures of closeness."""
+    ids = people.select("emp_id")
+    mine = egos.select("emp_id").join(ids, "emp_id", "left_semi")
+    p = organisation_closeness(egos, people, employees, departments, authors, spread)
     keys = ["emp_id", "other_id"]
     th = term_closeness(mine, theme).withColumnRenamed("sim", "theme").join(
         ids.select(F.col("emp_id").alias("other_id")), "other_id", "left_semi")

@@ -90,6 +90,19 @@ def _(c):
     return L.missing_texts(todo, cache).select(F.md5("text").alias("digest"))
 
 
+@query("S8_pluggable_model", """
+SELECT md5(body) AS digest, CAST(length(body) AS DOUBLE) AS first, CAST(length(body) - length(replace(body, ' ', '')) AS DOUBLE) AS second
+FROM fx_raw_sections WHERE embedding IS NULL AND body NOT IN (SELECT body FROM fx_raw_sections WHERE embedding IS NOT NULL) GROUP BY body""")
+def _(c):
+    cache = c.raw_sections.where("embedding is not null").select(F.col("body").alias("text"))
+    todo = c.raw_sections.where("embedding is null").select(F.col("body").alias("text"))
+    # Stand-in for an embedding service: length and number of blanks.
+    v = L.embed(L.missing_texts(todo, cache), lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts])
+    return v.select(
+        F.md5("text").alias("digest"), F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second")
+    )
+
+
 @query("S9_code_to_surrogate_id", """
 SELECT a.file_id, a.emp_no, e.emp_id, d.dept_id FROM in_authors a
 LEFT JOIN fx_employees e USING (emp_no) LEFT JOIN fx_departments d USING (dept_code)""")
@@ -161,6 +174,18 @@ def _(c):
     return L.existing_codes(Incoming(c).documents, stored_codes(c))
 
 
+@query("S13_csv_report", "SELECT theme, n, solved, unsolved, gap FROM v_gaps")
+def _(c):
+    import uuid
+
+    from knowhow.plans.themes import gaps
+    from knowhow.session import shared_folder
+
+    path = f"{shared_folder(c.spark)}/report-{uuid.uuid4().hex}"
+    L.write_report(gaps(c).select("theme", "n", "solved", "unsolved", "gap"), path)
+    return c.spark.read.schema("theme int, n long, solved long, unsolved long, gap boolean").option("header", True).csv(path)
+
+
 CAREER_ITEMS = ["current_job", "future_wish", "effort"]
 
 

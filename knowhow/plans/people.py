@@ -240,7 +240,8 @@ LEFT JOIN v_shared s ON s.emp_id = a.emp_id AND s.other_id = b.emp_id WHERE a.em
 
 @query("N4_organisation_level", "SELECT emp_id, other_id, shared, CAST(level AS BIGINT) AS level FROM v_levels")
 def _(c):
-    return measures(c).select("emp_id", "other_id", "shared", F.col("level").cast("long").alias("level"))
+    p = N.organisation_closeness(egos(c), population(c), c.employees, c.departments, c.authors)
+    return p.select("emp_id", "other_id", "shared", F.col("level").cast("long").alias("level"))
 
 
 def measures(c, themes=None, **opts):
