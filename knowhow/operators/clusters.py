@@ -138,7 +138,7 @@ def average_linkage(sections: DataFrame, threshold: float, max_rounds: int = 60,
     docs = sections.select("doc_id").distinct()
     labels = docs.select("doc_id", F.col("doc_id").alias("cluster"))
     joined = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("sim").alias("link"))
-    inside = cut_lineage(sections.select("doc_id", "embedding").join(comp, "doc_id"))
+    inside = cut_lineage(sections.select("section_id", "doc_id", "embedding").join(comp, "doc_id"))
     for _ in range(max_rounds):
         labels, merged = _merge_best(labels, joined)
         if not merged:
@@ -172,11 +172,14 @@ def _merge_best(labels, joined):
     return (cut_lineage(labels) if merged else labels), merged
 
 
-_DOC_SCHEMA = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("total", pa.float64()), ("pairs", pa.int64()), ("low", pa.float64())])
+_DOC_SCHEMA = pa.schema([
+    ("x", pa.int64()), ("y", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
+    ("total", pa.float64()), ("pairs", pa.int64()), ("low", pa.float64()),
+])
 
 
 def _doc_matrix(table):
-    """Unit vectors sorted by document, first row of each document, its id and its cluster."""
+    """Unit vectors sorted by document; per document its first row, id, cluster and whether it is split."""
     docs = table.column("doc_id").to_numpy()
     order = np.argsort(docs, kind="stable")
     docs = docs[order]
@@ -185,48 +188,69 @@ def _doc_matrix(table):
     length = np.sqrt((mat * mat).sum(axis=1, keepdims=True))
     length[length == 0] = 1.0
     ids, start = np.unique(docs, return_index=True)
-    return mat / length, start, ids, table.column("cluster").to_numpy()[order][start]
+    first = order[start]
+    split = table.column("split").combine_chunks().to_numpy(zero_copy_only=False)[first]
+    return mat / length, start, ids, table.column("cluster").to_numpy()[first], split
 
 
 def _tile(key, left, right):
     if not len(left) or not len(right):
         return pa.table({f.name: pa.array([], f.type) for f in _DOC_SCHEMA}, schema=_DOC_SCHEMA)
-    lm, ls, ld, lc = _doc_matrix(left)
-    rm, rs, rd, rc = _doc_matrix(right)
+    lm, ls, ld, lc, lsplit = _doc_matrix(left)
+    rm, rs, rd, rc, rsplit = _doc_matrix(right)
     sim = np.round(lm @ rm.T, similarity.DIGITS)
     sim = np.maximum.reduceat(np.maximum.reduceat(sim, ls, axis=0), rs, axis=1)  # document pairs
-    keep = ld[:, None] < rd[None, :] if key[1] == key[2] else np.ones(sim.shape, dtype=bool)
+    same_block = key[1].as_py() == key[2].as_py()
+    keep = ld[:, None] < rd[None, :] if same_block else ld[:, None] != rd[None, :]
     i, j = np.nonzero(keep)
     x, y, s = np.minimum(lc[i], rc[j]), np.maximum(lc[i], rc[j]), sim[i, j]
-    pairs, inv = np.unique(np.stack([x, y], axis=1), axis=0, return_inverse=True)
-    inv = inv.ravel()
-    low = np.full(len(pairs), np.inf)
-    np.minimum.at(low, inv, s)
+    a, b = np.minimum(ld[i], rd[j]), np.maximum(ld[i], rd[j])
+    part = lsplit[i] | rsplit[j]
+    # Pairs with a split document are not final here and go on one by one; all others are summed per cluster pair.
+    keys, inv = np.unique(np.stack([x[~part], y[~part]], axis=1), axis=0, return_inverse=True)
+    inv, whole = inv.ravel(), s[~part]
+    low = np.full(len(keys), np.inf)
+    np.minimum.at(low, inv, whole)
+    n, m = len(keys), int(part.sum())
     return pa.table(
-        {"x": pairs[:, 0], "y": pairs[:, 1], "total": np.bincount(inv, weights=s, minlength=len(pairs)),
-         "pairs": np.bincount(inv, minlength=len(pairs)).astype(np.int64), "low": low}, schema=_DOC_SCHEMA,
+        {
+            "x": np.concatenate([keys[:, 0], x[part]]), "y": np.concatenate([keys[:, 1], y[part]]),
+            "a": pa.array([None] * n + a[part].tolist(), pa.int64()), "b": pa.array([None] * n + b[part].tolist(), pa.int64()),
+            "total": np.concatenate([np.bincount(inv, weights=whole, minlength=n), s[part]]),
+            "pairs": np.concatenate([np.bincount(inv, minlength=n), np.ones(m)]).astype(np.int64),
+            "low": np.concatenate([low, s[part]]),
+        },
+        schema=_DOC_SCHEMA,
     )
 
 
 def _cluster_sums(labelled, block_rows=1024, group="component"):
     """(x, y, link, low): mean and lowest document-pair similarity per pair of clusters within each group.
 
-    ``labelled``: (doc_id, embedding, cluster, component). A group is cut into blocks of documents by hash; pairs
-    of blocks of the same group meet in one task, which returns only sums per pair of clusters.
+    ``labelled``: (section_id, doc_id, embedding, cluster, component). A group is cut into blocks of whole documents
+    by hash; pairs of blocks of the same group meet in one task, which returns sums per pair of clusters. A document
+    with more sections than a block is split, and the best of its parts is taken per document pair afterwards.
     """
     sizes = labelled.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    rows = labelled.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    parts = labelled.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_parts"))
+    rows = labelled.join(sizes, group).join(parts, "doc_id").withColumn("split", F.col("n_parts") > 1)
+    part = F.when(F.col("split"), F.pmod(F.xxhash64("section_id"), F.col("n_parts"))).otherwise(F.lit(0))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", part), F.col("blocks")).cast("int"))
     a = rows.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
     b = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    cols = ["doc_id", "embedding", "cluster"]
+    cols = ["doc_id", "embedding", "cluster", "split"]
     a = a.select(F.col(group).alias("g"), F.col("own").alias("lb"), F.col("other").alias("rb"), *cols)
     b = b.select(F.col(group).alias("g"), F.col("other").alias("lb"), F.col("own").alias("rb"), *[F.col(c).alias(c) for c in cols])
     tiles = a.groupBy("g", "lb", "rb").cogroup(b.groupBy("g", "lb", "rb")).applyInArrow(
-        _tile, "x long, y long, total double, pairs long, low double"
+        _tile, "x long, y long, a long, b long, total double, pairs long, low double"
     )
-    return tiles.groupBy("x", "y").agg(
-        (F.sum("total") / F.sum("pairs")).alias("link"), F.min("low").alias("low")
+    # Rows without documents are distinguished by nothing but their cluster pair and are simply added up here.
+    once = tiles.groupBy("x", "y", "a", "b").agg(
+        F.when(F.col("a").isNull(), F.sum("total")).otherwise(F.max("low")).alias("total"),
+        F.when(F.col("a").isNull(), F.sum("pairs")).otherwise(F.lit(1)).alias("pairs"),
+        F.when(F.col("a").isNull(), F.min("low")).otherwise(F.max("low")).alias("low"),
     )
+    return once.groupBy("x", "y").agg((F.sum("total") / F.sum("pairs")).alias("link"), F.min("low").alias("low"))
 
 
 def valid_clusters(clusters: DataFrame, sections: DataFrame, departments: DataFrame, min_docs: int, min_depts: int | None,
@@ -241,7 +265,7 @@ def valid_clusters(clusters: DataFrame, sections: DataFrame, departments: DataFr
     ).where(F.col("size") >= min_docs)
     if min_depts:
         c = c.where(F.col("dept_count") >= min_depts)
-    rows = sections.select("doc_id", "embedding").join(clusters, "doc_id").join(c.select("cluster"), "cluster", "left_semi")
+    rows = sections.select("section_id", "doc_id", "embedding").join(clusters, "doc_id").join(c.select("cluster"), "cluster", "left_semi")
     rows = rows.withColumn("component", F.col("cluster"))
     low = _cluster_sums(rows, block_rows).where("x = y").select(F.col("x").alias("cluster"), F.col("low").alias("min_sim"))
     return c.join(low, "cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knowhow import constants as K
 from knowhow.functions import derive as D
 from knowhow.operators import similarity
-from knowhow.session import cut_lineage
+from knowhow.session import cut_lineage, rank_within
 
 
 def document_counts(authors: DataFrame) -> DataFrame:
@@ -284,8 +284,8 @@ def ordered_documents(pairs: DataFrame, authors: DataFrame, documents: DataFrame
     mine = authors.select("emp_id", "doc_id", F.lit(True).alias("mine"))
     x = pairs.select("emp_id", "other_id").join(a, "other_id").join(mine, ["emp_id", "doc_id"], "left").join(d, "doc_id")
     x = x.withColumn("shared", F.coalesce("mine", F.lit(False)))
-    w = Window.partitionBy("emp_id", "other_id").orderBy(F.desc("shared"), F.desc("proven"), F.desc("doc_date"), "doc_id")
-    return x.withColumn("position", F.row_number().over(w)).select(
+    order = (F.desc("shared"), F.desc("proven"), F.desc("doc_date"), "doc_id")
+    return rank_within(x, ["emp_id", "other_id"], *order).select(
         "emp_id", "other_id", "position", "doc_id", "shared", "proven", "doc_date"
     )
 

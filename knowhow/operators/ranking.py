@@ -13,7 +13,7 @@ from knowhow.constants import (
 from knowhow.functions import derive as D
 from knowhow.functions.vector import mean_vectors, unit
 from knowhow.operators import similarity
-from knowhow.session import global_rank
+from knowhow.session import rank_within
 
 
 def as_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -250,11 +250,8 @@ def profile_position(sims: DataFrame) -> DataFrame:
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY sim DESC)").alias("median"),
         F.max("sim").alias("top"), F.count(F.lit(1)).alias("people"),
     )
-    placed = global_rank(sims, "query_id", F.desc("sim"), "emp_id", name="_pos")
-    first = placed.groupBy("query_id").agg(F.min("_pos").alias("_first"))
-    return placed.join(first, "query_id").join(stats, "query_id").select(
-        "query_id", "emp_id", "sim", (F.col("_pos") - F.col("_first") + 1).alias("position"), "people", "median", "top"
-    )
+    placed = rank_within(sims, ["query_id"], F.desc("sim"), "emp_id")
+    return placed.join(stats, "query_id").select("query_id", "emp_id", "sim", "position", "people", "median", "top")
 
 
 def max_fusion_rank(docs_scored: DataFrame, documents: DataFrame, authors: DataFrame, employees: DataFrame,

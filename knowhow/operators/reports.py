@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowhow import constants as K
 from knowhow.functions import derive as D, text as T
+from knowhow.session import rank_within
 
 
 def person_documents(people: DataFrame, authors: DataFrame, documents: DataFrame, hits: DataFrame) -> DataFrame:
@@ -15,8 +16,7 @@ def person_documents(people: DataFrame, authors: DataFrame, documents: DataFrame
     h = hits.select("query_id", "doc_id", F.lit(True).alias("hit"))
     x = people.select("query_id", "emp_id").join(authors.select("emp_id", "doc_id", "role"), "emp_id").join(d, "doc_id")
     x = x.join(h, ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    w = Window.partitionBy("query_id", "emp_id").orderBy(F.desc("doc_date"), "doc_id")
-    return x.withColumn("position", F.row_number().over(w))
+    return rank_within(x, ["query_id", "emp_id"], F.desc("doc_date"), "doc_id")
 
 
 def career_items(notes: DataFrame) -> DataFrame:
@@ -34,15 +34,17 @@ def role_catalog(authors: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def document_detail(documents: DataFrame, authors: DataFrame, employees: DataFrame, sections: DataFrame) -> DataFrame:
-    """One row per document with its authors and its sections in order, as short lists."""
-    a = authors.join(employees.select("emp_id", "name", "emp_no"), "emp_id").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("emp_no", "name", "role"))).alias("authors")
+    """One row per author and per section of each document, under the document's head; sections carry their number."""
+    a = authors.join(employees.select("emp_id", "name", "emp_no"), "emp_id").select(
+        "doc_id", F.lit("author").alias("part"), F.lit(0).alias("item_no"), F.concat_ws(" ", "emp_no", "name").alias("item"),
+        F.col("role").alias("item_role"),
     )
-    s = sections.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("section_no", "section_id", "section_name", "section_role"))).alias("sections")
+    s = sections.select(
+        "doc_id", F.lit("section").alias("part"), F.col("section_no").alias("item_no"), F.col("section_name").alias("item"),
+        F.col("section_role").alias("item_role"),
     )
     head = documents.select("doc_id", "doc_code", "title", D.doc_label().alias("label"), D.doc_date().alias("doc_date"))
-    return head.join(a, "doc_id", "left").join(s, "doc_id", "left")
+    return head.join(a.unionByName(s), "doc_id", "left")
 
 
 def person_material(notes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -51,8 +53,7 @@ def person_material(notes: DataFrame, documents: DataFrame) -> DataFrame:
     m = notes.join(d, "doc_id", "left").withColumn(
         "source", F.when(F.col("doc_id").isNull(), F.concat(F.lit("career:"), "label")).otherwise(F.col("doc_code"))
     )
-    w = Window.partitionBy("emp_id").orderBy("note_date", "source")
-    return m.withColumn("position", F.row_number().over(w))
+    return rank_within(m, ["emp_id"], "note_date", "source")
 
 
 def full_texts(evidence: DataFrame, sections: DataFrame, top: int = K.BRIEF_DOCS, limit: int = K.BRIEF_DOC_CHARS,
@@ -64,6 +65,9 @@ def full_texts(evidence: DataFrame, sections: DataFrame, top: int = K.BRIEF_DOCS
     docs = evidence.where(F.col("place") <= top).select("doc_id").distinct()
     piece = F.concat(F.lit("■"), "section_name", F.lit("\n"), "body")
     s = sections.join(docs, "doc_id", "left_semi").select("doc_id", "section_no", T.squash(piece).alias("t"))
+    # Every piece has a mark, a name and a blank: no document needs more pieces than this to fill the limit.
+    first = Window.partitionBy("doc_id").orderBy("section_no")
+    s = s.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit // 3 + 2)
     before = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("start", F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0))).where(F.col("start") <= limit + 1)
     text = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_no", "t"))).alias("l"))

@@ -185,16 +185,17 @@ def _(c):
 
 
 @query("L3_document_detail", """
-SELECT d.doc_code, d.title, l.label, l.note_date AS doc_date, coalesce(a.authors, '') AS authors, coalesce(s.sections, '') AS sections
+SELECT d.doc_code, d.title, l.label, l.note_date AS doc_date, coalesce(p.part, '-') AS part, coalesce(p.item_no, 0) AS item_no, coalesce(p.item, '-') AS item, coalesce(p.role, '-') AS item_role
 FROM fx_documents d JOIN v_labels l USING (doc_id)
-LEFT JOIN (SELECT doc_id, string_agg(concat(emp_no, ' ', name, ' ', role), '; ' ORDER BY emp_no) AS authors FROM fx_authors JOIN fx_employees USING (emp_id) GROUP BY 1) a USING (doc_id)
-LEFT JOIN (SELECT doc_id, string_agg(concat(section_no, ' ', section_name), '; ' ORDER BY section_no) AS sections FROM fx_sections_base GROUP BY 1) s USING (doc_id)""")
+LEFT JOIN (SELECT doc_id, 'author' AS part, 0 AS item_no, concat(emp_no, ' ', name) AS item, role FROM fx_authors JOIN fx_employees USING (emp_id)
+  UNION ALL SELECT doc_id, 'section', section_no, section_name, section_role FROM fx_sections_base) p USING (doc_id)""")
 def _(c):
     d = L4.document_detail(c.documents, c.authors, c.employees, c.raw_sections)
-    a = F.array_join(F.transform("authors", lambda x: F.concat_ws(" ", x["emp_no"], x["name"], x["role"])), "; ")
-    s = F.array_join(F.transform("sections", lambda x: F.concat_ws(" ", x["section_no"].cast("string"), x["section_name"])), "; ")
+    dash = F.lit("-")
     return d.select(
-        "doc_code", "title", "label", "doc_date", F.coalesce(a, F.lit("")).alias("authors"), F.coalesce(s, F.lit("")).alias("sections")
+        "doc_code", "title", "label", "doc_date", F.coalesce("part", dash).alias("part"),
+        F.coalesce(F.col("item_no").cast("long"), F.lit(0)).alias("item_no"), F.coalesce("item", dash).alias("item"),
+        F.coalesce("item_role", dash).alias("item_role"),
     )
 
 

@@ -51,6 +51,13 @@ def global_rank(df: DataFrame, *order, name: str = "position") -> DataFrame:
     )
 
 
+def rank_within(df: DataFrame, keys: list[str], *order, name: str = "position") -> DataFrame:
+    """1-based position of every row within its key, also when one key holds a large share of all rows."""
+    ranked = global_rank(df, *keys, *order, name="_pos")
+    first = ranked.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    return ranked.join(first, keys).withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
+
+
 def local_session(cpus: int = 8, name: str = "knowhow") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -134,6 +134,22 @@ def test_linkages_match_one_merge_at_a_time(spark, block_rows):
     assert {r["doc_id"]: r["cluster"] for r in full.collect()} == linkage(doc_sim, 0.55, "complete")
 
 
+def test_lowest_similarity_with_a_split_document(spark):
+    rng = np.random.default_rng(21)
+    docs = np.array([0] * 30 + [1] * 3 + [2] * 20 + [3, 4, 5])  # two documents larger than a block
+    v = rng.normal(size=(len(docs), 5))
+    sim = cosines(v)
+    doc_sim = [sim[np.ix_(docs == a, docs == b)].max() for a in range(6) for b in range(a + 1, 6)]
+    rows = [(i, int(docs[i]), [float(x) for x in v[i]]) for i in range(len(v))]
+    s = spark.createDataFrame(rows, "section_id long, doc_id long, embedding array<double>")
+    one = spark.createDataFrame([(d, 0) for d in range(6)], "doc_id long, cluster long")
+    dept = spark.createDataFrame([(d, d % 2) for d in range(6)], "doc_id long, dept_id long")
+    for size in (8, 1000):
+        row = C.valid_clusters(one, s, dept, 4, 2, block_rows=size).first()
+        assert (row["size"], row["dept_count"]) == (6, 2)
+        assert row["min_sim"] == pytest.approx(min(doc_sim), abs=2e-6)
+
+
 def test_document_pair_percentiles(spark):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(60, 6))
