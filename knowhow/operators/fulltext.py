@@ -60,12 +60,13 @@ def bm25(items: DataFrame, queries: DataFrame, key: str = "section_id", text: st
         df.withColumn("_one", F.lit(1)).join(whole, "_one")
         .select("term", F.log(1 + (F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     )
-    hits = match_terms(grams.join(idf, "term"), asked, key)
-    hits = hits.join(size, key).withColumn("_one", F.lit(1)).join(whole, "_one")
+    # Everything that does not depend on the query is worked out per item and gram, before queries multiply the rows.
+    weighed = asked.join(idf, "term").join(size, key).withColumn("_one", F.lit(1)).join(whole, "_one")
     part = F.col("idf") * F.col("n") * (k1 + 1) / (
         F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     )
-    return hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    hits = match_terms(grams, weighed.select(key, "term", part.alias("part")), key)
+    return hits.groupBy("query_id", key).agg(F.sum("part").alias("score"))
 
 
 def character_tfidf(items: DataFrame, key: str, text: str, max_features: int = 20_000, sizes=(2, 3)) -> DataFrame:

@@ -102,42 +102,75 @@ def organisation_stopwords(departments: DataFrame) -> DataFrame:
     return d.select(F.explode(words).alias("term")).where(F.col("term").isNotNull()).distinct()
 
 
-def person_terms(doc_terms: DataFrame, authors: DataFrame, n_docs: DataFrame, materialise: bool = False) -> DataFrame:
-    """(emp_id, term, weight): TF-IDF over the person's documents, unit length per person.
+def document_weights(doc_terms: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(doc_id, term, w): (1 + ln n) * (ln((N + 1) / (df + 1)) + 1).
 
-    ``doc_terms``: (doc_id, term, n), one row per document and term. ``n_docs``: one row with the number of all
-    documents. Terms are weighted per document first, so that only one aggregation runs at person level;
-    ``materialise`` writes its result once for callers that read the table several times.
+    ``doc_terms``: (doc_id, term, n), one row per document and term. ``n_docs``: one row with the number of all documents.
     """
     df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = n_docs.withColumn("_one", F.lit(1))
     idf = df.withColumn("_one", F.lit(1)).join(total, "_one").select(
         "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
-    w = doc_terms.join(idf, "term").select("doc_id", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
-    raw = authors.select("doc_id", "emp_id").join(w, "doc_id").groupBy("emp_id", "term").agg(F.sum("w").alias("raw"))
+    return doc_terms.join(idf, "term").select("doc_id", "term", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+
+
+def _raw_person_terms(weights: DataFrame, authors: DataFrame) -> DataFrame:
+    return authors.select("doc_id", "emp_id").join(weights, "doc_id").groupBy("emp_id", "term").agg(F.sum("w").alias("raw"))
+
+
+def _lengths(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("emp_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+
+
+def person_terms(doc_terms: DataFrame, authors: DataFrame, n_docs: DataFrame, materialise: bool = False) -> DataFrame:
+    """(emp_id, term, weight): TF-IDF over the person's documents, unit length per person.
+
+    Terms are weighted per document first, so that only one aggregation runs at person level; ``materialise``
+    writes its result once for callers that read the table several times.
+    """
+    raw = _raw_person_terms(document_weights(doc_terms, n_docs), authors)
     raw = cut_lineage(raw) if materialise else raw
-    length = raw.groupBy("emp_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return raw.join(length, "emp_id").select(
+    return raw.join(_lengths(raw), "emp_id").select(
         "emp_id", "term", F.when(F.col("length") > 0, F.col("raw") / F.col("length")).otherwise(0.0).alias("weight")
     )
 
 
-def term_closeness(egos: DataFrame, people_terms: DataFrame, small: int = 1_000_000, salt: int = 8) -> DataFrame:
-    """(emp_id, other_id, sim): cosine of the egos' term rows with everybody's.
+def _match(mine: DataFrame, rows: DataFrame, item: str, small: int, salt: int = 8) -> DataFrame:
+    """Join the egos' term rows with ``rows`` by term.
 
-    ``people_terms`` should be materialised, as it is read more than once. The egos' rows are counted: a short list is sent
-    to all tasks, so that everybody's rows stay where they are and products are summed in place. A longer list is
-    joined by term; a common term belongs to most people, so the rows of a term are spread over ``salt`` sub-keys.
+    The egos' rows are counted: a short list is sent to all tasks, so that the long side stays where it is. A longer
+    list is joined by term; as a common term has very many rows, they are spread over ``salt`` sub-keys by item.
     """
+    if mine.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(mine), "term")
+    mine = mine.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64(item), F.lit(salt)).cast("int")).join(mine, ["term", "_s"])
+
+
+def text_closeness(egos: DataFrame, weights: DataFrame, authors: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """(emp_id, other_id, sim): the cosine of ``term_closeness`` without a table of all people's terms.
+
+    A person's row is the sum of their documents' rows, so the egos are multiplied with documents and the products
+    summed per person; people's term rows are only needed for their lengths. ``weights`` (see
+    ``document_weights``) is read three times and should be materialised.
+    """
+    lengths = cut_lineage(_lengths(_raw_person_terms(weights, authors))).where("length > 0")
+    mine = _raw_person_terms(weights, authors.join(egos.select("emp_id"), "emp_id", "left_semi"))
+    dots = _match(mine, weights, "doc_id", small).groupBy("emp_id", "doc_id").agg(F.sum(F.col("raw") * F.col("w")).alias("dot"))
+    other = authors.select(F.col("emp_id").alias("other_id"), "doc_id")
+    pairs = dots.join(other, "doc_id").where("emp_id <> other_id").groupBy("emp_id", "other_id").agg(F.sum("dot").alias("dot"))
+    pairs = pairs.join(lengths.withColumnRenamed("length", "l1"), "emp_id").join(
+        lengths.select(F.col("emp_id").alias("other_id"), F.col("length").alias("l2")), "other_id"
+    )
+    return pairs.select("emp_id", "other_id", (F.col("dot") / F.col("l1") / F.col("l2")).alias("sim"))
+
+
+def term_closeness(egos: DataFrame, people_terms: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """(emp_id, other_id, sim): cosine of the egos' term rows with everybody's, from a materialised table of them."""
     mine = people_terms.join(egos.select("emp_id"), "emp_id", "left_semi").select("emp_id", "term", F.col("weight").alias("w1"))
     all_ = people_terms.select(F.col("emp_id").alias("other_id"), "term", F.col("weight").alias("w2"))
-    if mine.limit(small + 1).count() <= small:
-        both = all_.join(F.broadcast(mine), "term")
-    else:
-        mine = mine.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        all_ = all_.withColumn("_s", F.pmod(F.xxhash64("other_id"), F.lit(salt)).cast("int"))
-        both = all_.join(mine, ["term", "_s"])
+    both = _match(mine, all_, "other_id", small)
     return both.where("emp_id <> other_id").groupBy("emp_id", "other_id").agg(F.sum(F.col("w1") * F.col("w2")).alias("sim"))
 
 
@@ -203,14 +236,17 @@ def organisation_closeness(egos: DataFrame, people: DataFrame, employees: DataFr
 def pair_measures(egos: DataFrame, people: DataFrame, profiles: DataFrame, theme: DataFrame, text: DataFrame,
                   employees: DataFrame, departments: DataFrame, authors: DataFrame, use_profile: bool = True,
                   spread: int = 64) -> DataFrame:
-    """One row per ego and other person of the population with all measures of closeness."""
+    """One row per ego and other person of the population with all measures of closeness.
+
+    ``theme`` and ``text`` are (emp_id, other_id, sim) frames of the egos' term closeness.
+    """
     ids = people.select("emp_id")
     mine = egos.select("emp_id").join(ids, "emp_id", "left_semi")
     p = organisation_closeness(egos, people, employees, departments, authors, spread)
     keys = ["emp_id", "other_id"]
-    th = term_closeness(mine, theme).withColumnRenamed("sim", "theme").join(
+    th = theme.withColumnRenamed("sim", "theme").join(
         ids.select(F.col("emp_id").alias("other_id")), "other_id", "left_semi")
-    tx = term_closeness(mine, text).withColumnRenamed("sim", "text").join(
+    tx = text.withColumnRenamed("sim", "text").join(
         ids.select(F.col("emp_id").alias("other_id")), "other_id", "left_semi")
     p = p.join(th, keys, "left").join(tx, keys, "left")
     if use_profile:

@@ -190,8 +190,9 @@ def theme(c):
     return N.person_terms(doc_keywords(c), c.authors, n_docs(c), materialise=True)
 
 
-def words(c):
-    return N.person_terms(doc_words(c), c.authors, n_docs(c), materialise=True)
+def close_text(c):
+    weights = cut_lineage(N.document_weights(doc_words(c), n_docs(c)))
+    return N.text_closeness(egos(c), weights, c.authors)
 
 
 @query("N1_person_keyword_tfidf", "SELECT emp_id, term, round(weight, 9) AS weight FROM v_theme")
@@ -201,7 +202,7 @@ def _(c):
 
 @query("N1_person_text_tfidf", "SELECT emp_id, count(*) AS terms, round(max(weight), 9) AS top, round(sum(weight), 6) AS total FROM v_text GROUP BY 1")
 def _(c):
-    return words(c).groupBy("emp_id").agg(
+    return N.person_terms(doc_words(c), c.authors, n_docs(c), materialise=True).groupBy("emp_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 9).alias("top"), F.round(F.sum("weight"), 6).alias("total")
     )
 
@@ -215,7 +216,7 @@ view("v_close_text", CLOSE.format(t="v_text"))
 
 @query("N2_row_against_all", "SELECT emp_id, other_id, round(sim, 9) AS sim FROM v_close_text")
 def _(c):
-    return N.term_closeness(egos(c), words(c)).select("emp_id", "other_id", r("sim", 9))
+    return close_text(c).select("emp_id", "other_id", r("sim", 9))
 
 
 view("v_pop", """
@@ -245,9 +246,9 @@ def _(c):
 
 
 def measures(c, themes=None, **opts):
+    close_theme = N.term_closeness(egos(c), theme(c) if themes is None else themes)
     return N.pair_measures(
-        egos(c), population(c), c.profiles, theme(c) if themes is None else themes, words(c), c.employees, c.departments,
-        c.authors, **opts
+        egos(c), population(c), c.profiles, close_theme, close_text(c), c.employees, c.departments, c.authors, **opts
     )
 
 

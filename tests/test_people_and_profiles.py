@@ -99,14 +99,18 @@ def test_neighbours_and_levels(spark):
     t = N.person_terms(kw, auth, n)
     assert {round(r["s"], 9) for r in t.groupBy("emp_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()} == {1.0}
     egos = spark.createDataFrame([(1,)], "emp_id long")
-    m = N.pair_measures(egos, emps, prof, t, t, emps, depts, auth)
+    close = N.term_closeness(egos, t)
+    m = N.pair_measures(egos, emps, prof, close, close, emps, depts, auth)
     assert rows(m, "other_id", "level") == [(2, 1), (3, 2), (4, 3), (5, 5), (6, 0)]
     got = {r["other_id"]: r for r in N.neighbors(m, t=0.0).collect()}
     assert got[6]["part_known"] == pytest.approx(0.3) and got[2]["part_known"] == pytest.approx(0.24) and got[4]["part_known"] == 0
     assert got[3]["prof_rel"] == 1.0 and not got[3]["surprise"]
     assert {r["other_id"] for r in N.neighbors(m, known_range=1).where("surprise").collect()} == {3}
     short = N.term_closeness(egos, t).collect()
-    assert rows(N.term_closeness(egos, t, small=0), "other_id", "sim") == sorted((r["other_id"], r["sim"]) for r in short)
+    want = sorted((r["other_id"], round(r["sim"], 9)) for r in short)
+    by_docs = N.text_closeness(egos, N.document_weights(kw, n), auth)
+    for got in (N.term_closeness(egos, t, small=0), by_docs, N.text_closeness(egos, N.document_weights(kw, n), auth, small=0)):
+        assert sorted((r["other_id"], round(r["sim"], 9)) for r in got.collect()) == want
 
 
 def test_uniqueness_and_successors(spark):
