@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knowhow.constants import BM25_B, BM25_K1, LIST_SIZE
 from knowhow.functions import text as T
+from knowhow.session import cut_lineage
 
 SALT = 8
 SMALL = 500_000  # rows of (query, term) that may be sent to every task
@@ -49,9 +50,11 @@ def gram_counts(items: DataFrame, key: str, text, n: int = 2) -> DataFrame:
 def bm25(items: DataFrame, queries: DataFrame, key: str = "section_id", text: str = "body", n: int = 2,
          k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, key, score) over character n-grams; the query's grams count once each."""
-    tf = gram_counts(items, key, text, n)
-    size = items.select(key, F.greatest(F.length(T.squeeze(text)) - (n - 1), F.lit(0)).alias("len"))
-    whole = size.agg(F.count(F.lit(1)).alias("items"), F.avg("len").alias("avg_len")).withColumn("_one", F.lit(1))
+    tf = cut_lineage(gram_counts(items, key, text, n))  # the index: read for lengths, document counts and matches
+    size = tf.groupBy(key).agg(F.sum("n").alias("len"))
+    counted = items.agg(F.count(F.lit(1)).alias("items")).withColumn("_one", F.lit(1))
+    lengths = size.agg(F.sum("len").alias("all_len")).withColumn("_one", F.lit(1))
+    whole = counted.join(lengths, "_one").select("_one", "items", (F.col("all_len") / F.col("items")).alias("avg_len"))
     grams = query_terms(queries, T.ngrams("text", n))
     # Only grams some query asks for are kept before anything is shuffled by gram.
     asked = tf.join(grams.select("term").distinct(), "term", "left_semi")
