@@ -70,25 +70,24 @@ def pair_percentiles(sections: DataFrame, percents=(99.0, 99.5)) -> DataFrame:
     return out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge; the component is its lowest node.
 
     Alternating star contraction: each round hangs every node's neighbours on the lowest one it sees, so the
-    number of rounds grows with the logarithm of the graph. Lowest neighbours are found by aggregation, never by
-    gathering a node's edges, and every round is checkpointed.
+    number of rounds grows with the logarithm of the graph; rounds go on until nothing changes. Lowest neighbours
+    are found by aggregation, never by gathering a node's edges, and every round is checkpointed.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
-    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
-    nodes = cut_lineage(nodes)
+    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
     state = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut_lineage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if state == now:
             break
