@@ -75,3 +75,17 @@ def op7(spark, folder):
     from knowhow.llm.sharding import shard_rows
 
     return shard_rows(table(spark, folder, "documents"))
+
+
+@query("op3_near_dedup")
+def op3(spark, folder):
+    from knowhow.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, folder, "documents"))
+
+
+@query("op10_paragraph_dedup")
+def op10(spark, folder):
+    from knowhow.llm.paragraph_dedup import repeated_paragraphs
+
+    return repeated_paragraphs(table(spark, folder, "documents"))
