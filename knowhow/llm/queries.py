@@ -89,3 +89,26 @@ def op10(spark, folder):
     from knowhow.llm.paragraph_dedup import repeated_paragraphs
 
     return repeated_paragraphs(table(spark, folder, "documents"))
+
+
+@query("op4_url_filter")
+def op4(spark, folder):
+    from knowhow.llm.url_filter import judge_urls, labelled_urls
+
+    pages = table(spark, folder, "pages")
+    return judge_urls(pages, labelled_urls(pages))
+
+
+@query("op5_vp_search")
+def op5(spark, folder):
+    from knowhow.llm.vp_search import nearest
+
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query("op8_preference_pairs")
+def op8(spark, folder):
+    from knowhow.llm.preference import preference_pairs, swapped_replies
+
+    return preference_pairs(*swapped_replies(table(spark, folder, "conversations")))
