@@ -112,3 +112,10 @@ def op8(spark, folder):
     from knowhow.llm.preference import preference_pairs, swapped_replies
 
     return preference_pairs(*swapped_replies(table(spark, folder, "conversations")))
+
+
+@query("op1_quality")
+def op1(spark, folder):
+    from knowhow.llm.quality import quality_scores
+
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
