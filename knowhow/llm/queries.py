@@ -119,3 +119,10 @@ def op1(spark, folder):
     from knowhow.llm.quality import quality_scores
 
     return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_pieces")
+def op9(spark, folder):
+    from knowhow.llm.pieces import encode_documents
+
+    return encode_documents(table(spark, folder, "documents"))
