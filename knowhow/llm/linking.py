@@ -54,40 +54,91 @@ def _estimated(banding: Banding):
     return run
 
 
-def _across(banding: Banding):
-    """All pairs of a bucket's rows from different components that may be similar; several buckets at a time."""
+def _buckets(t: pa.Table):
+    """The rows of one bucket (or pair of blocks of one) after another, as arrays by column."""
+    key = t.column("part").to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cols = {c: t.column(c).to_numpy()[order] for c in ("id", "component", "band", "block", "other", "part")}
+    cols["n"] = t.column("n").to_numpy()[order].astype(np.float64)
+    cols["sig"] = _signatures(t.column("sig"))[order]
+    cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    for x, y in zip(cut[:-1], cut[1:], strict=True):
+        yield {k: v[x:y] for k, v in cols.items()}, order[x:y]
+
+
+def _open(banding: Banding, g: dict, i: int, label: np.ndarray) -> np.ndarray:
+    """Later rows of the bucket that row i must be compared with: in another component, possibly similar, and with
+    no band before this one in common (a pair that shares several bands is left to the first of them)."""
+    rest = np.arange(i + 1, len(label))
+    rest = rest[(label[rest] != label[i]) & ((g["block"][rest] != g["block"][i]) | (g["other"][rest] == g["block"][rest]))]
+    if len(rest):
+        rest = rest[banding.near(g["sig"][i][None, :], g["sig"][rest], g["n"][i], g["n"][rest])]
+        rest = rest[(g["sig"][rest] == g["sig"][i]).argmax(axis=1) == g["band"][i]]
+    return rest
+
+
+def _needed(banding: Banding):
+    """The rows that have a pair to be compared in their bucket: at most the rows that came in."""
 
     def run(t: pa.Table) -> pa.Table:
-        key = t.column("part").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        ids, comp, side = (t.column(c).to_numpy()[order] for c in ("id", "component", "block"))
-        n = t.column("n").to_numpy()[order].astype(np.float64)
-        sig = _signatures(t.column("sig"))[order]
-        other = t.column("other").to_numpy()[order]
-        found_a, found_b = [], []
-        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            for i in range(x, y):
-                rest = np.arange(i + 1, y)
-                rest = rest[(comp[rest] != comp[i]) & ((side[rest] != side[i]) | (other[rest] == side[rest]))]
-                if len(rest):
-                    ok = rest[banding.near(sig[i][None, :], sig[rest], n[i], n[rest])]
-                    found_a.append(np.full(len(ok), ids[i]))
-                    found_b.append(ids[ok])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        out = []
+        for g, at in _buckets(t):
+            wanted = np.zeros(len(at), bool)
+            for i in range(len(at)):
+                rest = _open(banding, g, i, g["component"])
+                wanted[rest] = True
+                wanted[i] |= len(rest) > 0
+            out.append(at[wanted])
+        return t.take(pa.array(np.concatenate(out))).select(["id", "component", "n", "sig", "band", "block", "other", "part"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, whole_sets: Callable, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _linked(banding: Banding, chunk: int = 256):
+    """Links between components: per bucket no more than its rows, as a component is joined once.
+
+    Shingles are compared by their first 32 bits here; the caller confirms what comes out on the whole ones.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        tokens = t.column("tokens").combine_chunks()
+        values, offset = tokens.flatten().to_numpy().view(np.uint32), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
+        a, b = [], []
+        for g, at in _buckets(t):
+            label = g["component"].copy()
+            for i in range(len(at)):
+                rest = _open(banding, g, i, label)
+                if not len(rest):
+                    continue
+                mine = values[offset[at[i]] : offset[at[i] + 1]]
+                near = banding.estimate(g["sig"][i][None, :], g["sig"][rest], g["n"][i], g["n"][rest])
+                rest = rest[np.argsort(-near, kind="stable")]
+                while len(rest):
+                    now, rest = rest[:chunk], rest[chunk:]
+                    sets = [values[offset[at[j]] : offset[at[j] + 1]] for j in now]
+                    flat = np.concatenate(sets)
+                    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])[:-1]]))
+                    for j in now[100 * shared >= banding.percent * (g["n"][i] + g["n"][now] - shared)]:
+                        if label[i] != label[j]:
+                            a.append(min(g["id"][i], g["id"][j]))
+                            b.append(max(g["id"][i], g["id"][j]))
+                            label[label == label[j]] = label[i]
+                    rest = rest[label[rest] != label[i]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _sets_of(ids: DataFrame, classes: DataFrame, whole_sets: Callable) -> DataFrame:
     asked = saved(classes.join(ids, "id", "left_semi").select("id", "h1", "h2", "place"), "asked")
-    sets = whole_sets(asked).join(asked.select("id", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["id"]).select("id", "shingles")
-    sets = saved(sets, "sets")
+    sets = whole_sets(asked).join(asked.select("id", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["id"])
+    return saved(sets.select("id", "shingles"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
@@ -95,7 +146,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, whole_sets: Callable, perce
     return saved(both.where(100 * shared >= percent * union).select("a", "b"), "links")
 
 
-def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFrame], banding: Banding, block: int = 512) -> DataFrame:
+def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFrame], banding: Banding, block: int = 4096) -> DataFrame:
     """(h1, h2, place, members, component, first): one row per distinct set of marks, with its class.
 
     marks: h1, h2 (the set's name), n (its size, over 0), sig (banded registers), place (any orderable value). `first`
@@ -104,8 +155,10 @@ def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFram
     Equal sets are one row from here on, so copies never meet each other. First every set is compared with the
     lowest set of each of its buckets, and linked to the best match: that joins most of a large group by one link
     per member. Then only pairs that share a bucket and are still in different components are left; all of them are
-    estimated, large buckets in pairs of blocks of about `block` rows that run as tasks of their own, and all that
-    may be similar are confirmed. So no link between two classes can be missing among the proposed pairs.
+    estimated, large buckets in pairs of blocks of about `block` rows that run as tasks of their own. The sets of
+    rows that may be similar to another are sent to their buckets and compared there, so that only links come out,
+    no more than rows went in. No pair that shares a bucket is left out; what comes out is confirmed again on the
+    whole sets.
     """
     classes = marks.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -119,7 +172,8 @@ def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFram
     stars = stars.join(sigs.withColumnRenamed("id", "a"), "a").join(sigs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
     scored = stars.mapInArrow(_estimated(banding), "a long, b long, estimate double").where(F.col("estimate") >= banding.percent / 100 - banding.margin)
     best = saved(scored.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
-    links = _confirmed(best, classes, whole_sets, banding.percent)
+    sets = _sets_of(best.select(F.col("a").alias("id")).union(best.select(F.col("b").alias("id"))).distinct(), classes, whole_sets)
+    links = _confirmed(best, sets, banding.percent)
     joined = saved(connected_components(links), "joined").select(F.col("node").alias("id"), "component")
 
     labelled = classes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -129,15 +183,22 @@ def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFram
     mixed = saved(mixed.select("band", "key", F.ceil(F.col("rows") / block).alias("blocks"), "rows"), "mixed")
     tasks = mixed.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0]
     if tasks:
-        spread = labelled.select("id", "component", "n", "sig", F.posexplode("sig").alias("band", "key"))
-        dealt = spread.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        dealt = spread.drop("component").join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         part = F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other"))
-        dealt = dealt.select("id", "component", "n", "sig", "block", "other", part.alias("part"))
+        dealt = dealt.select("id", "band", "block", "other", part.alias("part")).join(labelled.select("id", "component", "n", "sig"), "id")
+        # A slot holds whole buckets, together about 20,000 rows; the second time, with sets, about 2,000.
+        layout = "id long, component long, n long, sig array<long>, band int, block long, other long, part long"
         dealt = dealt.withColumn("slot", F.pmod("part", F.lit(max(1, tasks // 20_000))))
-        pairs = saved(dealt.groupBy("slot").applyInArrow(_across(banding), "a long, b long").distinct(), "pairs")
+        needed = saved(dealt.groupBy("slot").applyInArrow(_needed(banding), layout), "needed")
+        # Texts are fetched once: most of these sets are there already.
+        missing = needed.select("id").distinct().join(sets, "id", "left_anti")
+        sets = sets.union(_sets_of(missing, classes, whole_sets))
+        tokens = sets.select("id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens"))
+        full = needed.join(tokens, "id").withColumn("slot", F.pmod("part", F.lit(max(1, needed.count() // 2_000))))
+        pairs = saved(full.groupBy("slot").applyInArrow(_linked(banding), "a long, b long").distinct(), "pairs")
         if not pairs.isEmpty():
-            more = _confirmed(pairs, classes, whole_sets, banding.percent)
+            more = _confirmed(pairs, sets, banding.percent)
             joined = saved(connected_components(links.unionByName(more)), "joined").select(F.col("node").alias("id"), "component")
     out = classes.drop("sig").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     out = saved(out, "components")
