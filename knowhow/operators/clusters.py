@@ -107,15 +107,16 @@ def mutual_neighbours(pairs: DataFrame, k: int = 3) -> DataFrame:
     return top.where("a < b").join(other, ["a", "b"], "left_semi")
 
 
-def complete_linkage(pairs: DataFrame, documents: DataFrame, threshold: float, max_rounds: int = 60) -> DataFrame:
+def complete_linkage(pairs: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, cluster): clusters merge while every pair between them reaches the threshold.
 
     Two clusters qualify when as many pairs as possible are present in ``pairs``. All pairs of clusters that are
-    each other's best partner merge in one round; this gives the same tree as one merge at a time.
+    each other's best partner merge in one round; this gives the same tree as one merge at a time. Rounds
+    go on until none merges.
     """
     p = cut_lineage(pairs.where(F.col("sim") >= threshold))
     labels = documents.select("doc_id", F.col("doc_id").alias("cluster"))
-    for _ in range(max_rounds):
+    while True:
         joined = _cluster_pairs(p, labels).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("link"))
         size = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("s"))
         joined = joined.join(size.select(F.col("cluster").alias("x"), F.col("s").alias("sx")), "x")
@@ -126,7 +127,7 @@ def complete_linkage(pairs: DataFrame, documents: DataFrame, threshold: float, m
     return labels
 
 
-def average_linkage(sections: DataFrame, threshold: float, max_rounds: int = 60, block_rows: int = 1024) -> DataFrame:
+def average_linkage(sections: DataFrame, threshold: float, block_rows: int = 1024) -> DataFrame:
     """(doc_id, cluster): clusters merge while the mean similarity of their document pairs reaches the threshold.
 
     A mean that reaches the threshold needs one pair that does, so only clusters inside one connected component
@@ -138,7 +139,7 @@ def average_linkage(sections: DataFrame, threshold: float, max_rounds: int = 60,
     labels = docs.select("doc_id", F.col("doc_id").alias("cluster"))
     joined = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("sim").alias("link"))
     inside = cut_lineage(sections.select("section_id", "doc_id", "embedding").join(comp, "doc_id"))
-    for _ in range(max_rounds):
+    while True:
         labels, merged = _merge_best(labels, joined)
         if not merged:
             break

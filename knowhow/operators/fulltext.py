@@ -72,15 +72,15 @@ def bm25(items: DataFrame, queries: DataFrame, key: str = "section_id", text: st
     return hits.groupBy("query_id", key).agg(F.sum("part").alias("score"))
 
 
-def character_tfidf(items: DataFrame, key: str, text: str, max_features: int = 20_000, sizes=(2, 3)) -> DataFrame:
+def character_tfidf(items: DataFrame, key: str, text: str, max_features: int | None = None, sizes=(2, 3)) -> DataFrame:
     """(key, term, weight): character n-gram TF-IDF rows of unit length, a stand-in for embeddings.
 
-    Sublinear term frequency, smoothed idf, the most frequent n-grams only.
+    Sublinear term frequency, smoothed idf. All n-grams, or the most frequent ``max_features`` if the caller asks for so many.
     """
     grams = F.concat(*[T.ngrams(text, n) for n in sizes])
     tf = T.term_counts(items, [key], grams)
     stats = tf.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
-    features = stats.orderBy(F.desc("total"), "term").limit(max_features)
+    features = stats if max_features is None else stats.orderBy(F.desc("total"), "term").limit(max_features)
     total = items.agg(F.count(F.lit(1)).alias("items")).withColumn("_one", F.lit(1))
     idf = features.withColumn("_one", F.lit(1)).join(total, "_one").select(
         "term", (F.log((1 + F.col("items")) / (1 + F.col("df"))) + 1).alias("idf")

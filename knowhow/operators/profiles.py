@@ -98,9 +98,7 @@ def assemble(notes: DataFrame, limit: int = K.PROFILE_CHARS) -> DataFrame:
     newer = Window.partitionBy("emp_id").orderBy(F.desc("note_date")).rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("before", F.coalesce(F.sum("len").over(newer), F.lit(0))).where(F.col("before") <= limit + 2)
     near = n.join(days.select("emp_id", "note_date", "before"), ["emp_id", "note_date"])
-    # A formatted note is longer than ten characters, so only so many of one day can still fit.
     newest = Window.partitionBy("emp_id", "note_date").orderBy(F.desc("ord"), F.desc("sub"), F.desc("text"))
-    near = near.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= limit // 10 + 1)
     inside = newest.rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("through", F.col("before") + F.sum("len").over(inside)).where(F.col("through") <= limit + 2)
     text = near.groupBy("emp_id").agg(

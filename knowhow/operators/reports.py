@@ -65,9 +65,6 @@ def full_texts(evidence: DataFrame, sections: DataFrame, top: int = K.BRIEF_DOCS
     docs = evidence.where(F.col("place") <= top).select("doc_id").distinct()
     piece = F.concat(F.lit("■"), "section_name", F.lit("\n"), "body")
     s = sections.join(docs, "doc_id", "left_semi").select("doc_id", "section_no", T.squash(piece).alias("t"))
-    # Every piece has a mark, a name and a blank: no document needs more pieces than this to fill the limit.
-    first = Window.partitionBy("doc_id").orderBy("section_no")
-    s = s.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit // 3 + 2)
     before = Window.partitionBy("doc_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("start", F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0))).where(F.col("start") <= limit + 1)
     text = s.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_no", "t"))).alias("l"))

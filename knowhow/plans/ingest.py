@@ -639,13 +639,13 @@ SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(list_
 
 
 @query("T11_character_tfidf", """
-WITH v AS (SELECT term, sum(n) AS total, count(*) AS df FROM v_t11_grams GROUP BY 1 ORDER BY total DESC, term LIMIT 2000),
+WITH v AS (SELECT term, sum(n) AS total, count(*) AS df FROM v_t11_grams GROUP BY 1),
 w AS (SELECT g.doc_id, g.term, (1 + ln(g.n)) * (ln((1 + d.nn) / (1 + v.df)) + 1) AS w FROM v_t11_grams g JOIN v USING (term) CROSS JOIN (SELECT count(*) AS nn FROM documents) d)
 SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS top, round(sum(w) / sqrt(sum(w * w)), 6) AS total FROM w GROUP BY 1""")
 def _(c):
     from knowhow.operators.fulltext import character_tfidf
 
-    w = character_tfidf(c.table("documents"), "doc_id", "text", 2000)
+    w = character_tfidf(c.table("documents"), "doc_id", "text")
     return w.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 6).alias("total")
     )
