@@ -85,7 +85,7 @@ class Pieces:
                     ids.extend(self.id[bytes([b])] for b in reversed((SPACE if piece == OWN else piece).encode("utf-8", "surrogatepass")))
                 end = origin[end]
             found = tuple(reversed(ids)), score[-1]
-            if len(self.known) > 400_000:  # a memory, not a limit: what is forgotten is computed again
+            if len(self.known) > 150_000:  # a memory, not a limit: what is forgotten is computed again
                 self.known.clear()
             if len(unit) < 64:
                 self.known[unit] = found
