@@ -49,20 +49,23 @@ class Pieces:
         self.width = max(map(len, self.score))
         lengths: dict[str, set] = {}
         for p in self.score:
-            lengths.setdefault(p[:2], set()).add(len(p))
-            lengths.setdefault(p[:1], set())
-        self.lengths = {k: sorted(v - {1}) for k, v in lengths.items()}
+            if len(p) > 2:
+                lengths.setdefault(p[:3], set()).add(len(p))
+        #: By the first three characters, the lengths of the longer pieces that begin so.
+        self.lengths = {k: sorted(v) for k, v in lengths.items()}
         #: No piece goes from another character into a space: every path has a node before each run of spaces.
         self.parted = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.parted else "(?s).+")
+        #: Units met lately, and those met before them: memory stays bounded, and what is frequent stays known.
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def edges(self, text: str, at: int):
         """(end, score) of what can start here."""
         one = text[at]
         yield at + 1, self.score.get(one, self.unknown)
         get = self.score.get
-        for n in self.lengths.get(text[at : at + 2], ()):
+        for n in (2, *self.lengths.get(text[at : at + 3], ())):
             if at + n <= len(text) and (s := get(text[at : at + n])) is not None:
                 yield at + n, s
 
@@ -70,13 +73,25 @@ class Pieces:
         """Ids and score of the best path through a unit."""
         found = self.known.get(unit)
         if found is None:
-            score, origin = [0.0] + [LOW] * len(unit), [0] * (len(unit) + 1)
-            for at in range(len(unit)):
+            found = self.older.get(unit)
+        if found is None:
+            n, get, lengths, unknown = len(unit), self.score.get, self.lengths.get, self.unknown
+            score, origin = [0.0] + [LOW] * n, [0] * (n + 1)
+            for at in range(n):
                 base = score[at]
-                for end, s in self.edges(unit, at):
-                    if base + s > score[end]:
+                s = base + get(unit[at], unknown)
+                if s > score[at + 1]:
+                    score[at + 1], origin[at + 1] = s, at
+                if at + 2 <= n and (s := get(unit[at : at + 2])) is not None and base + s > score[at + 2]:
+                    score[at + 2], origin[at + 2] = base + s, at
+                for m in lengths(unit[at : at + 3], ()):
+                    end = at + m
+                    if end > n:
+                        break
+                    s = get(unit[at:end])
+                    if s is not None and base + s > score[end]:
                         score[end], origin[end] = base + s, at
-            ids, end = [], len(unit)
+            ids, end = [], n
             while end:
                 piece = unit[origin[end] : end]
                 if piece in self.id:
@@ -85,10 +100,10 @@ class Pieces:
                     ids.extend(self.id[bytes([b])] for b in reversed((SPACE if piece == OWN else piece).encode("utf-8", "surrogatepass")))
                 end = origin[end]
             found = tuple(reversed(ids)), score[-1]
-            if len(self.known) > 150_000:  # a memory, not a limit: what is forgotten is computed again
-                self.known.clear()
-            if len(unit) < 64:
-                self.known[unit] = found
+        if len(unit) < 64:
+            if len(self.known) >= 250_000:
+                self.older, self.known = self.known, {}
+            self.known[unit] = found
         return found
 
     def path(self, marked: str) -> list[int]:
