@@ -162,28 +162,29 @@ def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFram
     """
     classes = marks.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    rows = classes.select("id", "n", F.posexplode("sig").alias("band", "key"))
-    buckets = saved(
-        rows.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
-    close = 100 * F.least("n", "low.n") >= banding.percent * F.greatest("n", "low.n")
-    stars = rows.join(buckets, ["band", "key"]).where((F.col("id") != F.col("low.id")) & close)
-    stars = stars.select(F.col("id").alias("a"), F.col("low.id").alias("b")).distinct()
-    sigs = classes.select("id", "n", "sig")
-    stars = stars.join(sigs.withColumnRenamed("id", "a"), "a").join(sigs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
+    rows = classes.select("id", F.posexplode("sig").alias("band", "key"))
+    buckets = saved(rows.groupBy("band", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "buckets")
+    # From here on only sets that share a bucket with another take part, and only with those buckets.
+    members = saved(rows.join(buckets, ["band", "key"]), "members")
+    active = saved(classes.select("id", "n", "sig").join(members.select("id").distinct(), "id", "left_semi"), "active")
+    stars = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    stars = stars.join(active.withColumnRenamed("id", "a"), "a").join(active.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    stars = stars.where(100 * F.least("n", "n_b") >= banding.percent * F.greatest("n", "n_b"))
+    stars = stars.join(active.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     scored = stars.mapInArrow(_estimated(banding), "a long, b long, estimate double").where(F.col("estimate") >= banding.percent / 100 - banding.margin)
     best = saved(scored.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
     sets = _sets_of(best.select(F.col("a").alias("id")).union(best.select(F.col("b").alias("id"))).distinct(), classes, whole_sets)
     links = _confirmed(best, sets, banding.percent)
     joined = saved(connected_components(links), "joined").select(F.col("node").alias("id"), "component")
 
-    labelled = classes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = labelled.select("id", "component", F.posexplode("sig").alias("band", "key"))
-    mixed = spread.join(buckets.select("band", "key"), ["band", "key"], "left_semi").groupBy("band", "key").agg(
+    labelled = active.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = members.select("id", "band", "key")
+    mixed = spread.join(labelled.select("id", "component"), "id").groupBy("band", "key").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y")
     mixed = saved(mixed.select("band", "key", F.ceil(F.col("rows") / block).alias("blocks"), "rows"), "mixed")
     tasks = mixed.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0]
     if tasks:
-        dealt = spread.drop("component").join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        dealt = spread.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         part = F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other"))
         dealt = dealt.select("id", "band", "block", "other", part.alias("part")).join(labelled.select("id", "component", "n", "sig"), "id")
