@@ -64,3 +64,21 @@ def take_rows(docs: DataFrame, key: Column, keep: DataFrame, copies: str | None
 def row_key(docs: DataFrame) -> Column:
     """Names a row by doc_id and text, for finding it again."""
     return F.concat_ws("|", docs["doc_id"].cast("string"), F.sha2(docs["text"].cast("binary"), 256))
+
+
+def thinned(docs: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of docs whose key is in wanted (its first column; null counts as a key), and few others.
+
+    A bitmap of hashed keys goes to all tasks, at most bits / 8 bytes (8 MB) whatever the input, so that texts nobody
+    asks for are not shuffled. Where very many keys are wanted more of the others pass; a join after this removes them.
+    """
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    bitmap = wanted.select(place(F.col(wanted.columns[0])).alias("__at")).distinct().groupBy(F.bitmap_bucket_number("__at").alias("__n")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
+    bit = F.bitmap_bit_position(place(F.col(key)))
+    byte = F.conv(F.hex(F.expr("substring(__bits, __byte, 1)")), 16, 10).cast("int")
+    mine = docs.withColumns({"__m": F.bitmap_bucket_number(place(F.col(key))), "__byte": F.floor(bit / 8).cast("int") + 1, "__bit": F.pow(F.lit(2), bit % 8).cast("int")})
+    met = (F.col("__m") == F.col("__n")) & (byte.bitwiseAND(F.col("__bit")) != 0)
+    return mine.join(F.broadcast(bitmap), met, "left_semi").drop("__m", "__byte", "__bit")

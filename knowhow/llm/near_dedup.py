@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import saved, take_rows
+from knowhow.llm.common import saved, take_rows, thinned
 from knowhow.llm.linking import Banding, similar_classes
 from knowhow.llm.shingles import minima, pack, set_names, shingle_sets
 
@@ -72,7 +72,7 @@ def _labelled(docs: DataFrame, words: int) -> DataFrame:
 
     def whole_sets(asked):
         wanted = asked.select(F.col("place.doc_id").alias("_id")).distinct()
-        some = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        some = thinned(docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         return some.select("text").mapInArrow(_sets(words), "h1 long, h2 long, shingles array<long>")
 
     full = marks.where("n > 0")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import saved
+from knowhow.llm.common import saved, thinned
 from knowhow.llm.linking import Banding, similar_classes
 from knowhow.llm.shingles import minima, pack, set_names, shingle_sets
 
@@ -93,7 +93,7 @@ def repeated_paragraphs(docs: DataFrame, least_words: int = 25, words: int = 5,
 
     def whole_sets(asked):
         wanted = asked.select(F.col("place.doc_id").alias("_id")).distinct()
-        some = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        some = thinned(docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         return some.select("text").mapInArrow(_sets(least, words), "h1 long, h2 long, shingles array<long>")
 
     classes = similar_classes(marks.withColumn("place", F.struct("doc_id", "paragraph")), whole_sets, banding)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import check
 from knowhow.llm import exact_dedup, mixing, near_dedup, paragraph_dedup, pieces, preference, quality, sharding, url_filter, vp_search
-from knowhow.llm.common import positions
+from knowhow.llm.common import positions, thinned
 from knowhow.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -155,6 +155,16 @@ def test_repeated_paragraphs(docs, none):
     assert paragraph_dedup.repeated_paragraphs(none).count() == 0 and paragraph_dedup.repeated_paragraphs(docs).count() > len(got)
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_thinned_keeps_what_is_wanted(spark, bits):
+    docs = spark.createDataFrame([(i if i else None, str(i)) for i in range(3000)], "doc_id long, text string")
+    wanted = docs.where("doc_id IS NULL OR doc_id % 7 = 0").select("doc_id")
+    got = [r["doc_id"] for r in thinned(docs, "doc_id", wanted, bits).collect()]
+    assert {r["doc_id"] for r in wanted.collect()} <= set(got) and len(got) == len(set(got))
+    assert len(got) < 450 if bits > 64 else len(got) == 3000
+    assert thinned(docs, "doc_id", wanted.limit(0), bits).count() == 0
+
+
 def test_positions_in_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.lit(None)).alias("k"), (F.col("id") % 7).alias("v"), F.col("id"))
     got = positions(df, ["k"], ["v", "id"], "pos").collect()
