@@ -53,12 +53,27 @@ class Pieces:
                 lengths.setdefault(p[:3], set()).add(len(p))
         #: By the first three characters, the lengths of the longer pieces that begin so.
         self.lengths = {k: sorted(v) for k, v in lengths.items()}
+        self._plant()
         #: No piece goes from another character into a space: every path has a node before each run of spaces.
         self.parted = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.parted else "(?s).+")
         #: Units met lately, and those met before them: memory stays bounded, and what is frequent stays known.
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.known: dict[str, tuple[bytes, float]] = {}
+        self.older: dict[str, tuple[bytes, float]] = {}
+
+    def _plant(self):
+        """The pieces as a tree: `step` holds node * 2**21 + character in ascending order, `into` the node it leads to,
+        `worth` and `piece` the score and id of the piece that ends in a node (none: LOW)."""
+        nodes: dict[str, int] = {"": 0}
+        for text in sorted(self.score):
+            for end in range(1, len(text) + 1):
+                nodes.setdefault(text[:end], len(nodes))
+        self.worth, self.piece = np.full(len(nodes), LOW), np.zeros(len(nodes), np.int32)
+        for text, s in self.score.items():
+            self.worth[nodes[text]], self.piece[nodes[text]] = s, self.id[text]
+        step = np.array([nodes[t[:-1]] << 21 | ord(t[-1]) for t in nodes if t], np.int64)
+        order = np.argsort(step)
+        self.step, self.into = step[order], np.arange(1, len(nodes))[order]
 
     def edges(self, text: str, at: int):
         """(end, score) of what can start here."""
@@ -71,51 +86,108 @@ class Pieces:
 
     def best(self, unit: str) -> tuple[tuple[int, ...], float]:
         """Ids and score of the best path through a unit."""
-        found = self.known.get(unit)
-        if found is None:
-            found = self.older.get(unit)
-        if found is None:
-            n, get, lengths, unknown = len(unit), self.score.get, self.lengths.get, self.unknown
-            score, origin = [0.0] + [LOW] * n, [0] * (n + 1)
-            for at in range(n):
-                base = score[at]
-                s = base + get(unit[at], unknown)
-                if s > score[at + 1]:
-                    score[at + 1], origin[at + 1] = s, at
-                if at + 2 <= n and (s := get(unit[at : at + 2])) is not None and base + s > score[at + 2]:
-                    score[at + 2], origin[at + 2] = base + s, at
-                for m in lengths(unit[at : at + 3], ()):
-                    end = at + m
-                    if end > n:
-                        break
-                    s = get(unit[at:end])
-                    if s is not None and base + s > score[end]:
-                        score[end], origin[end] = base + s, at
-            ids, end = [], n
-            while end:
-                piece = unit[origin[end] : end]
-                if piece in self.id:
-                    ids.append(self.id[piece])
-                else:
-                    ids.extend(self.id[bytes([b])] for b in reversed((SPACE if piece == OWN else piece).encode("utf-8", "surrogatepass")))
-                end = origin[end]
-            found = tuple(reversed(ids)), score[-1]
-        if len(unit) < 64:
-            if len(self.known) >= 250_000:
-                self.older, self.known = self.known, {}
-            self.known[unit] = found
-        return found
+        n, get, lengths, unknown = len(unit), self.score.get, self.lengths.get, self.unknown
+        score, origin = [0.0] + [LOW] * n, [0] * (n + 1)
+        for at in range(n):
+            base = score[at]
+            s = base + get(unit[at], unknown)
+            if s > score[at + 1]:
+                score[at + 1], origin[at + 1] = s, at
+            if at + 2 <= n and (s := get(unit[at : at + 2])) is not None and base + s > score[at + 2]:
+                score[at + 2], origin[at + 2] = base + s, at
+            for m in lengths(unit[at : at + 3], ()):
+                end = at + m
+                if end > n:
+                    break
+                s = get(unit[at:end])
+                if s is not None and base + s > score[end]:
+                    score[end], origin[end] = base + s, at
+        ids, end = [], n
+        while end:
+            piece = unit[origin[end] : end]
+            if piece in self.id:
+                ids.append(self.id[piece])
+            else:
+                ids.extend(self.id[bytes([b])] for b in reversed((SPACE if piece == OWN else piece).encode("utf-8", "surrogatepass")))
+            end = origin[end]
+        return tuple(reversed(ids)), score[-1]
+
+    def _best_of_many(self, units: list[str]) -> list[tuple[bytes, float] | None]:
+        """What best() gives for each unit (ids as int32), all at once; None where a character has no piece of its own."""
+        size = np.array([len(u) for u in units])
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        start = np.cumsum(size) - size
+        code = np.frombuffer("".join(units[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        stop = np.repeat(start + size, size)
+        w = self.width
+        # By last character and length (the longest first): score and id of the piece that ends here.
+        gain, piece = np.full((len(code), w), LOW), np.zeros((len(code), w), np.int32)
+        at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
+        for n in range(1, w + 1):
+            key = node << 21 | code[at + n - 1]
+            found = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            hit = self.step[found] == key
+            at, node = at[hit], self.into[found[hit]]
+            gain[at + n - 1, w - n], piece[at + n - 1, w - n] = self.worth[node], self.piece[node]
+            more = at + n < stop[at]
+            at, node = at[more], node[more]
+        covered = np.logical_and.reduceat(gain[:, w - 1] > LOW, start)
+        score, choice = np.full((len(units), w + size[0]), LOW), np.zeros((len(units), size[0] + 1), np.int64)
+        score[:, w - 1] = 0
+        for end in range(1, size[0] + 1):
+            k = np.searchsorted(-size, -end, "right")  # units that long come first
+            sums = score[:k, end - 1 : end - 1 + w] + gain[start[:k] + end - 1]
+            choice[:k, end] = sums.argmax(axis=1)
+            score[:k, end - 1 + w] = sums[np.arange(k), choice[:k, end]]
+        # Backwards, one piece of every unfinished unit at a time.
+        left, row, count = size.copy(), np.flatnonzero(covered), np.zeros(len(units), np.int64)
+        ids = np.zeros((len(units), size[0]), np.int32)
+        while len(row):
+            c = choice[row, left[row]]
+            count[row] += 1
+            ids[row, size[0] - count[row]] = piece[start[row] + left[row] - 1, c]
+            left[row] -= w - c
+            row = row[left[row] > 0]
+        out: list = [None] * len(units)
+        raw, width, total = ids.tobytes(), 4 * size[0], score[np.arange(len(units)), size + w - 1].tolist()
+        for i, (to, n, good) in enumerate(zip(order.tolist(), count.tolist(), covered.tolist(), strict=True)):
+            if good:
+                out[to] = raw[(i + 1) * width - 4 * n : (i + 1) * width], total[i]
+        return out
+
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, float]]:
+        """Ids (int32) and score of at least all these units."""
+        if len(self.known) >= 250_000:
+            self.older, self.known = self.known, {}
+        known, older, new, long = self.known, self.older, [], {}
+        for u in set(units).difference(known):
+            if u in older:
+                known[u] = older[u]
+            else:
+                new.append(u)
+        short = [u for u in new if len(u) < 64]
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            known.update(zip(part, self._best_of_many(part), strict=True))
+        for u in new:
+            if len(u) >= 64 or known[u] is None:
+                ids, s = self.best(u)
+                (known if len(u) < 64 else long)[u] = np.array(ids, np.int32).tobytes(), s
+        return known | long if long else known
+
+    def paths(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of the best path through each of these texts."""
+        units = [self.unit.findall(t) for t in texts]
+        known = self.learn([u for x in units for u in x])
+        return [np.frombuffer(b"".join([known[u][0] for u in x]), np.int32) for x in units]
 
     def path(self, marked: str) -> list[int]:
-        out: list[int] = []
-        known, best = self.known, self.best
-        for unit in self.unit.findall(marked):
-            out.extend((known.get(unit) or best(unit))[0])
-        return out
+        return self.paths([marked])[0].tolist()
 
     def decode(self, ids) -> bytes:
         """UTF-8 of the pieces, with the space before the first."""
-        return b"".join(map(self.bytes.__getitem__, ids))
+        return b"".join(map(self.bytes.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
     def transfer(self, text: str, border: int) -> np.ndarray:
         """Max-plus matrix of a chunk: row i, column j is the best score from the node i characters before the chunk's
@@ -129,7 +201,9 @@ class Pieces:
         first, last = (border + breaks[0], border + breaks[-1]) if breaks else (len(text), len(text))
         self._forward(text, node, max(border - w + 1, 0), first, border)
         if breaks:
-            middle = sum(self.best(u)[1] for u in self.unit.findall(text[first:last]))
+            units = self.unit.findall(text[first:last])
+            known = self.learn(units)
+            middle = sum(known[u][1] for u in units)
             node[last] = node[first] + middle
             self._forward(text, node, last, len(text), border)
         none = np.full(w, LOW)
@@ -159,8 +233,8 @@ def _utf8(shown: str) -> bytes:
 
 
 def _lists(rows: list) -> pa.Array:
-    lengths = [0 if r is None else len(r) for r in rows]
-    flat = np.concatenate([np.array(r, np.int32) for r in rows if r] or [np.zeros(0, np.int32)])
+    lengths = [len(r) for r in rows]
+    flat = np.concatenate([*rows, np.zeros(0, np.int32)])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
 
 
@@ -171,7 +245,7 @@ def _whole(model: bytes):
             for at in range(0, batch.num_rows, 128):
                 t = batch.slice(at, 128)
                 shown = [marked(x or "") for x in t.column("text").to_pylist()]
-                ids = [p.path(x) for x in shown]
+                ids = p.paths(shown)
                 good = [p.decode(i) == _utf8(x) for i, x in zip(ids, shown, strict=True)]
                 yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(good)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
@@ -244,12 +318,12 @@ def _backtraced(model: bytes):
     def run(batches):
         p = _pieces(model)
         for batch in batches:
-            ids, good = [], []
+            texts = []
             for shown, border, before, short in zip(*(batch.column(c).to_pylist() for c in ("shown", "border", "before", "short")), strict=True):
                 text = shown.decode("utf-8", "surrogatepass")
-                text = text[border - before : len(text) - short]
-                ids.append(p.path(text))
-                good.append(p.decode(ids[-1]) == _utf8(text))
+                texts.append(text[border - before : len(text) - short])
+            ids = [i for at in range(0, len(texts), 128) for i in p.paths(texts[at : at + 128])]
+            good = [p.decode(i) == _utf8(x) for i, x in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("k"), _lists(ids), pa.array(good, pa.bool_())], ["row", "doc_id", "k", "ids", "good"])
 
     return run
