@@ -163,14 +163,18 @@ def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFram
     classes = marks.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = classes.select("id", F.posexplode("sig").alias("band", "key"))
-    buckets = saved(rows.groupBy("band", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "buckets")
+    buckets = saved(rows.groupBy("band", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
     # From here on only sets that share a bucket with another take part, and only with those buckets.
     members = saved(rows.join(buckets, ["band", "key"]), "members")
     active = saved(classes.select("id", "n", "sig").join(members.select("id").distinct(), "id", "left_semi"), "active")
-    stars = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    stars = stars.join(active.withColumnRenamed("id", "a"), "a").join(active.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    # Every member of a large bucket meets the same lowest set, which therefore goes to as many tasks as those need.
+    salts = F.ceil(F.max("rows") / (block // 4))
+    stars = members.where("id <> low").groupBy(F.col("id").alias("a"), F.col("low").alias("b")).agg(salts.alias("salts"))
+    stars = stars.select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
+    lows = buckets.groupBy(F.col("low").alias("b")).agg(salts.alias("salts")).join(active.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
+    lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    stars = stars.join(active.withColumnRenamed("id", "a"), "a").join(lows, ["b", "salt"])
     stars = stars.where(100 * F.least("n", "n_b") >= banding.percent * F.greatest("n", "n_b"))
-    stars = stars.join(active.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     scored = stars.mapInArrow(_estimated(banding), "a long, b long, estimate double").where(F.col("estimate") >= banding.percent / 100 - banding.margin)
     best = saved(scored.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
     sets = _sets_of(best.select(F.col("a").alias("id")).union(best.select(F.col("b").alias("id"))).distinct(), classes, whole_sets)
