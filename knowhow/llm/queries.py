@@ -87,8 +87,11 @@ def op3(spark, folder):
 @query("op10_paragraph_dedup")
 def op10(spark, folder):
     from knowhow.llm.paragraph_dedup import repeated_paragraphs
+    from knowhow.llm.passages import repeated_passages
 
-    return repeated_paragraphs(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    lines = repeated_paragraphs(docs).withColumn("passage", F.lit(False))
+    return lines.unionByName(repeated_passages(docs).withColumn("passage", F.lit(True)))
 
 
 @query("op4_url_filter")

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 import zlib
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import check
-from knowhow.llm import exact_dedup, mixing, near_dedup, paragraph_dedup, pieces, preference, quality, sharding, url_filter, vp_search
+from knowhow.llm import exact_dedup, mixing, near_dedup, paragraph_dedup, passages, pieces, preference, quality, sharding, url_filter, vp_search
 from knowhow.llm.common import positions, thinned
 from knowhow.llm.queries import QUERIES, SQL
 
@@ -155,6 +156,43 @@ def test_repeated_paragraphs(docs, none):
     assert paragraph_dedup.repeated_paragraphs(none).count() == 0 and paragraph_dedup.repeated_paragraphs(docs).count() > len(got)
 
 
+def test_repeated_passages(spark, none, tmp_path):
+    r = random.Random(3)
+
+    def run(n):
+        return [r.choice(["wörd", "Ünit", "line", "Other", "x"]) + str(r.randrange(300)) for _ in range(n)]
+
+    a, b, c = run(60), run(51), run(50)
+    texts = [
+        " ".join(run(30) + a + run(40)), "é " + " ".join(run(70) + a).upper().replace("Ö", "ö"),  # inside longer lines
+        "\n".join(" ".join(a[i : i + 7]) for i in range(0, 60, 7)), " ".join(a[:33]) + "\n\n\t" + " ".join(a[33:]),  # lines cut elsewhere
+        " ".join(run(9) + b), " ".join(b + run(9)), " ".join(run(9) + c), " ".join(c + run(9)),  # 51 words, 50 words
+        "ha " * 120, "tick tock " * 60, " ".join(run(20) + a + run(5) + a[:55]), None, "", " ".join(a + b),
+    ]
+    texts += [texts[0], " ".join(run(40_000) + b)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    places = {}
+    for i, t in enumerate(texts):
+        w = lower(t).split()
+        for p in range(len(w) - 50):
+            places.setdefault(tuple(w[p : p + 51]), []).append((i, p))
+    want = {x: v[0] for v in places.values() if len(v) > 1 for x in v}
+    edges = [[m.span() for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", t or "")] for t in texts]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [x for x in QUERIES["op10_paragraph_dedup"](spark, str(tmp_path)).collect() if "passage" in x and x["passage"]]
+    got = {}
+    for x in rows:
+        first = [s for s, _ in edges[x.doc_id]].index(x.start)
+        assert edges[x.doc_id][first + x.words - 1][1] == x.end
+        assert x.paragraph == len([y for y in texts[x.doc_id][: x.start].split("\n")[:-1] if y])
+        for p in range(first, first + x.words - 50):
+            assert (x.doc_id, p) not in got
+            got[x.doc_id, p] = (x.keep_doc_id, x.removed)
+    assert got == {k: (v[0], v != k) for k, v in want.items()}
+    assert {x.doc_id for x in rows} == {0, 1, 2, 3, 4, 5, 8, 9, 10, 13, 14, 15}
+    assert passages.repeated_passages(none).count() == 0
+
+
 @pytest.mark.parametrize("bits", [1 << 26, 64])
 def test_thinned_keeps_what_is_wanted(spark, bits):
     docs = spark.createDataFrame([(i if i else None, str(i)) for i in range(3000)], "doc_id long, text string")
