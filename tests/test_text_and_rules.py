@@ -100,6 +100,15 @@ def test_json_names_cleaning_and_sections(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).columns == ["new"]
 
 
+def test_sections_keep_all_text_below_a_heading(spark):
+    html = ("<p>no</p><h1 class='a>b'>A <i>b</i> &amp; c</h1><style>p{}</style><p>x <b>bold</b> y &lt;z&gt;<br>next<p>open <a href='q'>link</a>"
+            "<ul><li>one</li><li>two\n three</li></ul><!-- <p>not</p> --><table><tr><th>k</th><td>v</td></tr></table><pre>l1\nl2</pre>tail"
+            "<script>var t='</p>';</script><H1>Second<p>z&nbsp;&#233;")
+    rows = L.split_sections(spark.createDataFrame([(1, html), (2, None), (3, "<p>x</p>")], "k long, h string"), "k", "h").orderBy("section_no").collect()
+    assert [(r["k"], r["section_no"], r["section_name"], r["body"]) for r in rows] == [
+        (1, 1, "A b & c", "x bold y <z>\nnext\nopen link\none\ntwo three\nk | v\nl1\nl2\ntail"), (1, 2, "Second", "z\u00a0é")]
+
+
 def test_tables_of_figures_are_dropped(spark):
     df = spark.createDataFrame([(1, "a | 12件\n3 | 4%"), (2, "name | plan\ntext | 5")], "k long, t string")
     got = {r["k"]: r["sentences"] for r in L.wordy_tables(df, "k", "t").collect()}
