@@ -16,11 +16,12 @@ PARTIAL_MARK = " (source says so only in part)"
 
 
 def verify_claims(claims: DataFrame, material: DataFrame, has_query: bool = True, max_items: int = K.BRIEF_MAX_ITEMS,
-                  max_text: int = K.BRIEF_MAX_TEXT, mark: str = "。") -> DataFrame:
+                  max_text: int = K.BRIEF_MAX_TEXT, mark: str = "。", full_texts: DataFrame | None = None) -> DataFrame:
     """Judge every claim; kept ones carry their usable sources, their text as shown and their position.
 
     claims: (claim_id, emp_id, section, seq, text, level, sources array<string>)
     material: (emp_id, source, doc_id, doc_type, status, text)
+    full_texts: (doc_id, text), any number of rows per document; their numbers count for everybody who has the document
     reason is null for kept claims; ``position`` is null for dropped claims and for those beyond ``max_items``.
     """
     c = claims.withColumn("text", F.trim("text"))
@@ -44,6 +45,11 @@ def verify_claims(claims: DataFrame, material: DataFrame, has_query: bool = True
     )
     stated = c.select("claim_id", "emp_id", F.explode(T.numbers("text")).alias("number"))
     given = material.select("emp_id", F.explode(T.numbers("text")).alias("number")).distinct()
+    if full_texts is not None:
+        # Only numbers that some claim states, and only documents of people with claims, are joined.
+        have = material.where(F.col("doc_id").isNotNull()).join(c.select("emp_id").distinct(), "emp_id", "left_semi").select("emp_id", "doc_id").distinct()
+        held = full_texts.select("doc_id", F.explode(T.numbers("text")).alias("number")).join(stated.select("number").distinct(), "number", "left_semi")
+        given = given.unionByName(have.join(held.distinct(), "doc_id").select("emp_id", "number")).distinct()
     extra = stated.join(given, ["emp_id", "number"], "left_anti").select("claim_id").distinct().withColumn("extra", F.lit(True))
 
     c = c.join(good, "claim_id", "left").join(extra, "claim_id", "left")

@@ -252,17 +252,24 @@ def material(c):
 
     d = c.documents.select(
         "doc_id", F.col("doc_code").alias("source"), "doc_type", D.doc_state().alias("status"),
-        F.concat("title", F.lit(" "), D.doc_date()).alias("text"),
+        F.concat_ws(" ", "title", D.doc_date()).alias("text"),
     )
     null = F.lit(None).cast("string")
     own = own_notes(c).select(
         "emp_id", F.concat(F.lit("career:"), "label").alias("source"), F.lit(None).cast("long").alias("doc_id"),
-        null.alias("doc_type"), null.alias("status"), F.col("body").alias("text"),
+        null.alias("doc_type"), null.alias("status"), F.concat_ws(" ", "body", "title", "note_date").alias("text"),
     )
-    docs_ = c.authors.select("emp_id", "doc_id").join(d, "doc_id").select("emp_id", "source", "doc_id", "doc_type", "status", "text")
+    note = notes(c).where("doc_id is not null").select("emp_id", "doc_id", F.col("body").alias("note"))
+    docs_ = c.authors.select("emp_id", "doc_id").join(d, "doc_id").join(note, ["emp_id", "doc_id"], "left")
+    docs_ = docs_.withColumn("text", F.concat_ws(" ", "text", "note")).select("emp_id", "source", "doc_id", "doc_type", "status", "text")
     return docs_.unionByName(own)
 
 
+def section_texts(c):
+    """(doc_id, text): every section in full."""
+    return c.raw_sections.select("doc_id", F.concat_ws("\n", "section_name", "body").alias("text"))
+
+
 NUMS = "list_distinct(regexp_extract_all(translate(text, '０１２３４５６７８９．', '0123456789.'), '[0-9]+(?:\\.[0-9]+)?'))"
 view("v_judged", f"""
 SELECT *, CASE WHEN section = 'relation' AND level = 'none' THEN '{G.NO_MATCH}' WHEN section = 'relation' AND level <> 'direct' THEN concat('{G.NOT_DIRECT}', text) ELSE text END AS stated,
@@ -280,7 +287,7 @@ view("v_verified", "SELECT *, " + CLIP.format(t="t", n="160") + """ AS shown FRO
 
 
 def verified(c):
-    return G.verify_claims(claims(c), material(c), mark=MARK)
+    return G.verify_claims(claims(c), material(c), mark=MARK, full_texts=section_texts(c))
 
 
 @query("G1_claim_verification", """

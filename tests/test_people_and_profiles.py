@@ -1,4 +1,7 @@
 import json
+import os
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +168,38 @@ def test_claims(spark):
     assert (r["kept_text"], r["n_dropped"], r["dropped"]) == ("PJ-2024-0001を見た。終わり", 1, "KZ-1999-0001も。")
 
 
+def test_numbers_in_full_texts_are_material(spark):
+    mat = spark.createDataFrame([(1, "A", 1, "project", "done", "cut"), (2, "B", 2, "project", "done", "cut")],
+                                "emp_id long, source string, doc_id long, doc_type string, status string, text string")
+    claims = spark.createDataFrame([(i, e, "ambition", i, f"cut {n}", None, [s]) for i, (e, n, s) in enumerate([(1, 7, "A"), (1, 8, "A"), (2, 8, "B"), (2, 7, "B")])],
+                                   "claim_id long, emp_id long, section string, seq int, text string, level string, sources array<string>")
+    texts = spark.createDataFrame([(1, "a ７ b"), (1, None), (2, "9"), (2, "8"), (3, "7 8")], "doc_id long, text string")
+    got = rows(G.verify_claims(claims, mat, full_texts=texts), "claim_id", "reason")
+    assert got == [(0, None), (1, "number not in material"), (2, None), (3, "number not in material")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_claims_of_the_corpus_are_held_against_bodies_and_texts(spark):
+    from knowhow.plans import profiles as plans
+    from knowhow.sources.corpus import Corpus
+
+    c = Corpus(spark, "/root/testdata/sf0.001")
+
+    def numbers(text):
+        return set(re.findall(r"[0-9]+(?:\.[0-9]+)?", unicodedata.normalize("NFKC", text or "")))
+
+    docs, have = {}, {}
+    for x in c.table("documents").collect():
+        docs.setdefault(x.doc_id // 4, set()).update(numbers(x.text))
+    for x in c.authors.collect():
+        have.setdefault(x.emp_id, set()).update(docs.get(x.doc_id, ()))
+    for x in plans.notes(c).collect():
+        have.setdefault(x.emp_id, set()).update(numbers(x.body) | numbers(x.title) | numbers(x.note_date))
+    stated = {x.claim_id: (x.emp_id, numbers(x.text)) for x in plans.claims(c).collect()}
+    dropped = [x.claim_id for x in plans.verified(c).where("reason = 'number not in material'").collect()]
+    assert dropped and all(stated[k][1] - have.get(stated[k][0], set()) for k in dropped)
+
+
 def test_query_metrics(spark):
     q = spark.createDataFrame([(1,), (2,)], "query_id long")
     people = spark.createDataFrame([(1, 5, 0.9), (1, 6, 0.8), (1, 7, 0.7)], "query_id long, emp_id long, score double")
