@@ -286,6 +286,16 @@ def neighbors(measures: DataFrame, t: float = K.NETWORK_T, known_range: int = K.
     return m.withColumn("surprise", surprise).withColumn("position", F.row_number().over(w)).where(F.col("position") <= top_n)
 
 
+def with_status(egos: DataFrame, people: DataFrame, nbrs: DataFrame) -> DataFrame:
+    """The neighbours with a status; every ego has a row: no_docs for those outside the population, ok for the others.
+
+    An ego without neighbours has one row with nulls.
+    """
+    e = egos.select("emp_id").distinct().join(people.select("emp_id", F.lit("ok").alias("status")).distinct(), "emp_id", "left")
+    e = e.withColumn("status", F.coalesce("status", F.lit("no_docs")))
+    return e.join(nbrs, "emp_id", "left").select(*nbrs.columns, "status")
+
+
 def shared_words(pairs: DataFrame, theme: DataFrame, top_n: int = 3) -> DataFrame:
     """Words both people stand for, by the smaller of the two weights."""
     a = pairs.select("emp_id", "other_id").join(theme, "emp_id").withColumnRenamed("weight", "w1")

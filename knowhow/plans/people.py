@@ -297,9 +297,9 @@ def nbrs(c, themes=None):
 @query("N7_neighbors", """
 SELECT emp_id, position, other_id, score, round(part_profile, 6) AS part_profile, round(part_theme, 6) AS part_theme, round(part_text, 6) AS part_text, round(part_known, 6) AS part_known FROM v_neighbors""")
 def _(c):
-    return nbrs(c).select(
+    return N.with_status(egos(c), population(c), nbrs(c)).select(
         "emp_id", F.col("position").cast("long").alias("position"), "other_id", "score", r("part_profile"), r("part_theme"),
-        r("part_text"), r("part_known"),
+        r("part_text"), r("part_known"), "status",
     )
 
 

@@ -200,6 +200,14 @@ def test_claims_of_the_corpus_are_held_against_bodies_and_texts(spark):
     assert dropped and all(stated[k][1] - have.get(stated[k][0], set()) for k in dropped)
 
 
+def test_every_ego_has_a_status(spark):
+    egos = spark.createDataFrame([(1,), (2,), (3,), (1,)], "emp_id long")
+    people = spark.createDataFrame([(1,), (3,), (4,)], "emp_id long")
+    near = spark.createDataFrame([(1, 4, 0.5), (1, 3, 0.4)], "emp_id long, other_id long, score double")
+    got = N.with_status(egos, people, near).collect()
+    assert {tuple(r) for r in got} == {(1, 4, 0.5, "ok"), (1, 3, 0.4, "ok"), (2, None, None, "no_docs"), (3, None, None, "ok")} and len(got) == 4
+
+
 def test_query_metrics(spark):
     q = spark.createDataFrame([(1,), (2,)], "query_id long")
     people = spark.createDataFrame([(1, 5, 0.9), (1, 6, 0.8), (1, 7, 0.7)], "query_id long, emp_id long, score double")
