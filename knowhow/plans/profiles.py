@@ -9,6 +9,7 @@ from knowhow.plans.ingest import CAREER_ITEMS, CLIP
 from knowhow.plans.people import common_keywords
 from knowhow.plans.registry import query, view
 from knowhow.plans.search import contribs, docs, people
+from knowhow.session import cut_lineage
 from knowhow.sources import loading as L
 
 MARK = "."  # the corpus ends its sentences with a plain full stop
@@ -287,7 +288,8 @@ view("v_verified", "SELECT *, " + CLIP.format(t="t", n="160") + """ AS shown FRO
 
 
 def verified(c):
-    return G.verify_claims(claims(c), material(c), mark=MARK, full_texts=section_texts(c))
+    # Read three times; written once, as the notes behind it make a large plan.
+    return G.verify_claims(claims(c), cut_lineage(material(c)), mark=MARK, full_texts=section_texts(c))
 
 
 @query("G1_claim_verification", """
