@@ -82,3 +82,24 @@ def thinned(docs: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 26) -
     mine = docs.withColumns({"__m": F.bitmap_bucket_number(place(F.col(key))), "__byte": F.floor(bit / 8).cast("int") + 1, "__bit": F.pow(F.lit(2), bit % 8).cast("int")})
     met = (F.col("__m") == F.col("__n")) & (byte.bitwiseAND(F.col("__bit")) != 0)
     return mine.join(F.broadcast(bitmap), met, "left_semi").drop("__m", "__byte", "__bit")
+
+
+def with_values(rows: DataFrame, values: DataFrame, key: str, n: str, share: int = 1024) -> DataFrame:
+    """rows with the columns of values, which has one row per key (null is a key) and says in `n` how many of rows have it.
+
+    Keys that hold more than 1/share of all rows, fewer than `share` of them by that count, are sent to all tasks and
+    their rows stay where they are; the others are joined by shuffle, none of them with more than that part of the rows.
+    """
+    total = values.agg(F.sum(n)).first()[0] or 0
+    values = values.withColumnRenamed(key, "__value")
+    frequent = F.col(n) * share > total
+    same = F.col(key).eqNullSafe(F.col("__value"))
+    often, seldom = values.where(frequent), values.where(~frequent)
+    hot = rows.join(F.broadcast(often), same)
+    cold = rows.join(F.broadcast(often.select("__value")), same, "left_anti").join(seldom, same)
+    return hot.unionByName(cold).drop("__value", n)
+
+
+def with_totals(rows: DataFrame, key: str, what: str, name: str) -> DataFrame:
+    """rows (a written table) with the sum of `what` over the rows of their key, null being a key, as column `name`."""
+    return with_values(rows, saved(rows.groupBy(key).agg(F.sum(what).alias(name), F.count(F.lit(1)).alias("__n")), "totals"), key, "__n")

@@ -129,3 +129,81 @@ def op9(spark, folder):
     from knowhow.llm.pieces import encode_documents
 
     return encode_documents(table(spark, folder, "documents"))
+
+
+@query("op11_vector_codes", r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS n, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS g
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (  -- a row per vector and part, components as columns of a list
+  SELECT vec_id, n, part, g[part * (len(g) // 16) + 1 : (part + 1) * (len(g) // 16)]::DOUBLE[] AS x FROM v, range(16) t(part)),
+books AS (
+  SELECT 0 AS round, part, n - 1 AS entry, x AS c FROM p WHERE n <= 64
+  UNION ALL
+  (WITH near AS (
+     SELECT p.part, p.vec_id,
+            min({'d': list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c), 'e': b.entry}).e AS entry,
+            any_value(p.x) AS x
+     FROM p JOIN books b USING (part) WHERE b.round < 2 GROUP BY ALL),
+   cells AS (
+     SELECT part, entry, k, sum(x[k]::HUGEINT) AS total, count(*) AS many
+     FROM near, range(1, 1000) t(k) WHERE k <= len(x) GROUP BY ALL),
+   means AS (
+     SELECT part, entry, list(((total - ((total % many) + many) % many) // many)::DOUBLE ORDER BY k) AS m FROM cells GROUP BY ALL)
+   SELECT b.round + 1, b.part, b.entry, coalesce(m.m, b.c)
+   FROM books b LEFT JOIN means m ON m.part = b.part AND m.entry = b.entry WHERE b.round < 2)),
+last AS (SELECT * FROM books WHERE round = 2),
+near AS (
+  SELECT p.part, p.vec_id,
+         min({'d': list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c) + list_inner_product(b.c, b.c), 'e': b.entry}) AS best
+  FROM p JOIN last b USING (part) GROUP BY ALL),
+codes AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(s, ',' ORDER BY part, entry)) AS h
+  FROM (SELECT part, entry, array_to_string(c::BIGINT[], ',') AS s FROM last))
+SELECT v.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256
+FROM codes JOIN v USING (vec_id), digest""")
+def op11(spark, folder):
+    from knowhow.llm.orchard_codes import vector_codes
+
+    return vector_codes(table(spark, folder, "embeddings"))
+
+
+@query("op12_byte_bpe")
+def op12(spark, folder):
+    from knowhow.llm.byte_bpe import decode_words, encode_words
+
+    ids = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), " ")
+    done = decode_words(encode_words(table(spark, folder, "documents")))
+    return done.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_centroids", r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE))::DOUBLE[] AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+  SELECT 0 AS round, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, x AS c FROM v QUALIFY cluster < 40
+  UNION ALL
+  (WITH near AS (
+     SELECT v.vec_id, min({'d': list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.c) + list_inner_product(c.c, c.c), 'e': c.cluster}).e AS cluster, any_value(v.x) AS x
+     FROM v, c WHERE c.round < 5 GROUP BY v.vec_id),
+   cells AS (SELECT cluster, k, sum(x[k]::HUGEINT) AS total, count(*) AS many FROM near, range(1, 65) t(k) GROUP BY ALL),
+   means AS (SELECT cluster, list(((total - ((total % many) + many) % many) // many)::DOUBLE ORDER BY k) AS m FROM cells GROUP BY cluster)
+   SELECT c.round + 1, c.cluster, coalesce(m.m, c.c) FROM c LEFT JOIN means m USING (cluster) WHERE c.round < 5)),
+last AS (SELECT *, sha256(array_to_string(c::BIGINT[], ',')) AS h FROM c WHERE round = 5),
+near AS (
+  SELECT v.vec_id, min({'d': list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.c) + list_inner_product(c.c, c.c), 'e': c.cluster}) AS best
+  FROM v, last c GROUP BY v.vec_id)
+SELECT vec_id, best.e::INT AS cluster, best.d::BIGINT AS distance, sum(best.d) OVER (PARTITION BY best.e)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+FROM near JOIN last ON last.cluster = best.e""")
+def op13(spark, folder):
+    from knowhow.llm.centroids import clustered
+
+    return clustered(table(spark, folder, "embeddings"))
