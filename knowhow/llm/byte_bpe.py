@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import saved, with_values
+from knowhow.llm.common import saved_in_buckets
 
 STRETCH = 1 << 16
 
@@ -70,34 +70,38 @@ def stretches(text: str, size: int = STRETCH):
 _CUT = regex.compile(r"\S(?=\s)")
 
 
-def _packed(numbers: list[np.ndarray]) -> bytes:
-    """Word numbers of a block's documents: two bytes each where they fit, told by the first byte."""
-    every = np.concatenate([*numbers, np.zeros(0, np.uint32)])
-    wide = bool(len(every)) and int(every.max()) > 0xFFFF
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(every.astype(np.uint32 if wide else np.uint16).tobytes())
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers, byte by byte of their order: the high bytes of frequent words' numbers are mostly zero."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint32 if data[0] else np.uint16)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _words(pattern: str, block_size: int):
-    """Blocks of documents: their distinct words, and which of them stand at the documents' positions."""
+    """Blocks of documents: their distinct words, the most frequent first, and which of them stand at the documents' positions."""
 
     def run(batches):
         find = regex.compile(pattern).findall
         number: dict[str, int] = {}
-        ids, counts, numbers, size, block = [], [], [], 0, 0
+        ids, counts, numbers, size, block, part, id_type = [], [], [], 0, 0, 0, pa.int64()
 
         def flush():
-            row = [f"{part}-{block}"], [list(number)], [ids], [counts], [_packed(numbers)]
-            kinds = pa.string(), pa.list_(pa.string()), id_type, pa.list_(pa.int64()), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["block", "words", "doc_ids", "counts", "numbers"])
+            every = np.concatenate([*numbers, np.zeros(0, np.uint32)])
+            order = np.argsort(-np.bincount(every, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            words = pa.array(list(number), pa.string()).take(pa.array(order, pa.int64()))
+            row = [pa.array([part << 32 | block]), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words, pa.array(ids, id_type), pa.array(counts, pa.int64()))),
+                   pa.array([_packed(rank[every])], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, ["block", "words", "doc_ids", "counts", "numbers"])
 
-        part, id_type = None, None
         for batch in batches:
-            if part is None and batch.num_rows:
-                part, id_type = batch.column("part")[0].as_py(), pa.list_(batch.column("doc_id").type)
+            if batch.num_rows:
+                part, id_type = batch.column("part")[0].as_py(), batch.column("doc_id").type
             for row in range(batch.num_rows):
                 text = batch.column("text")[row].as_py() or ""
                 total = 0
@@ -121,10 +125,20 @@ def _words(pattern: str, block_size: int):
 
 
 def _encoded(ranks: dict[bytes, int]):
+    """Equal words are neighbours here, so each is encoded when it is met first."""
+
     def run(batches):
+        last, ids = None, b""
         for batch in batches:
-            ids = [merged(w.encode(), ranks) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            words = batch.column("word").dictionary_encode()
+            new = words.dictionary.to_pylist()
+            if last is None or not new or new[0] != last:
+                known = [np.array(merged(w.encode(), ranks), "<u4").tobytes() for w in new]
+            else:
+                known = [ids] + [np.array(merged(w.encode(), ranks), "<u4").tobytes() for w in new[1:]]
+            if new:
+                last, ids = new[-1], known[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(known, pa.binary()).take(words.indices)], ["block", "at", "ids"])
 
     return run
 
@@ -132,24 +146,23 @@ def _encoded(ranks: dict[bytes, int]):
 def _reassembled(batches):
     for batch in batches:
         for row in range(batch.num_rows):
-            at = np.array(batch.column("ats")[row].as_py(), np.int64)
-            lists = batch.column("ids")[row].values
-            flat = lists.flatten().to_numpy()
-            length = lists.value_lengths().to_numpy().astype(np.int64)
-            start = np.cumsum(length) - length
+            pairs = batch.column("w")[row].values
+            at = pairs.field("at").to_numpy() if pairs is not None else np.zeros(0, np.int64)
+            coded = pairs.field("ids").to_pylist() if pairs is not None else []
+            flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+            length = np.array([len(c) >> 2 for c in coded], np.int64)
             # By word number: where its ids begin and how many there are.
             first, many = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-            first[at], many[at] = start, length
-            numbers, counts = _unpacked(batch.column("numbers")[row].as_py()), batch.column("counts")[row].as_py()
+            first[at], many[at] = np.cumsum(length) - length, length
+            numbers, counts = _unpacked(batch.column("numbers")[row].as_py()), batch.column("counts")[row].values.to_pylist()
             doc_ids, done, group, size = batch.column("doc_ids")[row].values, 0, [], 0
             for k, n in enumerate(counts):
                 mine = numbers[done : done + n]
                 done += n
-                length_here = many[mine]
-                ends = np.cumsum(length_here)
-                total = int(ends[-1]) if n else 0
-                group.append(flat[np.repeat(first[mine] - (ends - length_here), length_here) + np.arange(total)] if n else flat[:0])
-                size += total
+                here = many[mine]
+                ends = np.cumsum(here)
+                group.append(flat[np.repeat(first[mine] - (ends - here), here) + np.arange(ends[-1])] if n else flat[:0])
+                size += len(group[-1])
                 if size > 1 << 20 or k + 1 == len(counts):
                     bounds = np.cumsum([0, *map(len, group)]).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(group), pa.int32()))
@@ -157,29 +170,28 @@ def _reassembled(batches):
                     group, size = [], 0
 
 
-def encode_words(docs: DataFrame, path: str | None = None, pattern: str | None = None, block_size: int = 4 << 20) -> DataFrame:
+def encode_words(docs: DataFrame, path: str | None = None, pattern: str | None = None, block_size: int = 8 << 20) -> DataFrame:
     """doc_id, token_ids of every row of docs (doc_id, text; other columns are ignored).
 
-    The texts are cut into words by the pattern; neighbouring documents form a block of some block_size characters, which keeps its distinct
-    words once and, per position, the number of the word that stands there. The words of all blocks are
-    shuffled together, each distinct word is encoded once, its ids are joined back to the blocks that have it, and
-    every block puts its documents together by position. A word comes from a block once at most, so a frequent word is no
-    more rows than there are blocks; words that are frequent even so are joined without being moved.
+    The texts are cut into words by the pattern; neighbouring documents form a block of some block_size characters, which
+    keeps its distinct words once and, per position, the number of the word that stands there. The words of all blocks
+    are shuffled together by word, each distinct word is encoded once, its ids go back to the blocks that have it, and every
+    block puts its documents together by position. A word comes from a block once at most, so even the most frequent word
+    is no more rows than there are blocks. The blocks lie in buckets by their number, so they are written once and
+    never shuffled: only words and ids move.
 
     A null text counts as empty and has no ids; repeated rows and null doc_ids come out each. A long text is
     cut into words in stretches between white space, and lies in one block whole, as it does in its row.
     """
     ranks, pattern = vocabulary(path, pattern)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    blocks = saved(rows.mapInArrow(_words(pattern, block_size), f"block string, words array<string>, doc_ids array<{kind}>, counts array<long>, numbers binary"), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    coded = saved(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_encoded(ranks), "word string, n long, ids array<int>"), "words")
-    back = with_values(words, coded, "word", "n").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("w"))
-    whole = blocks.drop("words").join(back, "block", "left")
-    none = F.array().cast("array<struct<at:int,ids:array<int>>>")
-    work = whole.select("doc_ids", "counts", "numbers", F.coalesce("w", none).alias("w")).select("doc_ids", "counts", "numbers", F.col("w.at").alias("ats"), F.col("w.ids").alias("ids"))
-    return work.mapInArrow(_reassembled, f"doc_id {kind}, token_ids array<int>")
+    rows = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
+    layout = f"block long, words array<string>, doc_ids array<{kind}>, counts array<long>, numbers binary"
+    blocks = saved_in_buckets(rows.mapInArrow(_words(pattern, block_size), layout), "block", "blocks")
+    words = blocks.select("block", F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    back = words.mapInArrow(_encoded(ranks), "block long, at int, ids binary").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("w"))
+    whole = blocks.drop("words").join(back.hint("merge"), "block", "left")
+    return whole.select("doc_ids", "counts", "numbers", "w").mapInArrow(_reassembled, f"doc_id {kind}, token_ids array<int>")
 
 
 def decode_words(tokens: DataFrame, path: str | None = None) -> DataFrame:
