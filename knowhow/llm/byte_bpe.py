@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from functools import lru_cache
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +95,9 @@ def _words(pattern: str, block_size: int):
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
             words = pa.array(list(number), pa.string()).take(pa.array(order, pa.int64()))
-            row = [pa.array([part << 32 | block]), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words, pa.array(ids, id_type), pa.array(counts, pa.int64()))),
+            row = [pa.array([part << 32 | block]), pa.array([len(number)]), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (words, pa.array(ids, id_type), pa.array(counts, pa.int64()))),
                    pa.array([_packed(rank[every])], pa.binary())]
-            return pa.RecordBatch.from_arrays(row, ["block", "words", "doc_ids", "counts", "numbers"])
+            return pa.RecordBatch.from_arrays(row, ["block", "n_words", "words", "doc_ids", "counts", "numbers"])
 
         for batch in batches:
             if batch.num_rows:
@@ -124,21 +124,56 @@ def _words(pattern: str, block_size: int):
     return run
 
 
+def _places(words: pa.Array) -> np.ndarray:
+    """Places of words, 0 to 2**32 - 1, by their UTF-8."""
+    return np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def _dealt(groups: int):
+    """A block's words by group: neighbouring places form a group. Lengths and letters are packed, in the order of places."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column("words")[row].values
+                place = _places(words)
+                order = np.argsort(place, kind="stable")
+                group = place[order] * groups >> 32
+                words = words.take(pa.array(order)).cast(pa.large_binary())
+                ends = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+                letters = words.buffers()[2].to_pybytes()
+                first = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1))
+                bounds = [*first.tolist(), len(words)]
+                sizes = [_packed(np.diff(ends[i : j + 1])) for i, j in zip(bounds, bounds[1:], strict=False)]
+                text = [squeeze(letters[ends[i] : ends[j]]) for i, j in zip(bounds, bounds[1:], strict=False)]
+                block = np.full(len(first), batch.column("block")[row].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(group[first].astype(np.int64)), pa.array(sizes, pa.binary()), pa.array(text, pa.binary())], ["block", "group", "sizes", "letters"])
+
+    return run
+
+
 def _encoded(ranks: dict[bytes, int]):
-    """Equal words are neighbours here, so each is encoded when it is met first."""
+    """Rows come in the order of their group, and all of a word are in one group: a word is encoded when it is met first."""
 
     def run(batches):
-        last, ids = None, b""
+        open_up = zstandard.ZstdDecompressor().decompress
+        group, known = None, {}
         for batch in batches:
-            words = batch.column("word").dictionary_encode()
-            new = words.dictionary.to_pylist()
-            if last is None or not new or new[0] != last:
-                known = [np.array(merged(w.encode(), ranks), "<u4").tobytes() for w in new]
-            else:
-                known = [ids] + [np.array(merged(w.encode(), ranks), "<u4").tobytes() for w in new[1:]]
-            if new:
-                last, ids = new[-1], known[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(known, pa.binary()).take(words.indices)], ["block", "at", "ids"])
+            many, out = [], []
+            for mine, sizes, letters in zip(*(batch.column(c).to_pylist() for c in ("group", "sizes", "letters")), strict=True):
+                if mine != group:
+                    group, known = mine, {}
+                ends = np.cumsum(_unpacked(sizes)).tolist()
+                letters = open_up(letters)
+                words = [letters[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+                for w in words:
+                    if w not in known:
+                        known[w] = merged(w, ranks)
+                ids = [known[w] for w in words]
+                many.append(_packed(np.fromiter(map(len, ids), np.uint32, len(ids))))
+                out.append(_packed(np.fromiter((i for x in ids for i in x), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("group"), pa.array(many, pa.binary()), pa.array(out, pa.binary())], ["block", "group", "many", "ids"])
 
     return run
 
@@ -146,14 +181,14 @@ def _encoded(ranks: dict[bytes, int]):
 def _reassembled(batches):
     for batch in batches:
         for row in range(batch.num_rows):
-            pairs = batch.column("w")[row].values
-            at = pairs.field("at").to_numpy() if pairs is not None else np.zeros(0, np.int64)
-            coded = pairs.field("ids").to_pylist() if pairs is not None else []
-            flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-            length = np.array([len(c) >> 2 for c in coded], np.int64)
+            words = batch.column("words")[row].values
+            parts = sorted(batch.column("w")[row].as_py() or [], key=lambda x: x["group"])
+            flat = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x["ids"]) for x in parts)]).astype(np.int32)
+            length = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x["many"]) for x in parts)])
             # By word number: where its ids begin and how many there are.
-            first, many = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-            first[at], many[at] = np.cumsum(length) - length, length
+            order = np.argsort(_places(words), kind="stable")
+            first, many = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+            first[order], many[order] = np.cumsum(length) - length, length
             numbers, counts = _unpacked(batch.column("numbers")[row].as_py()), batch.column("counts")[row].values.to_pylist()
             doc_ids, done, group, size = batch.column("doc_ids")[row].values, 0, [], 0
             for k, n in enumerate(counts):
@@ -170,15 +205,16 @@ def _reassembled(batches):
                     group, size = [], 0
 
 
-def encode_words(docs: DataFrame, path: str | None = None, pattern: str | None = None, block_size: int = 8 << 20) -> DataFrame:
+def encode_words(docs: DataFrame, path: str | None = None, pattern: str | None = None, block_size: int = 16 << 20, group_words: int = 1 << 20) -> DataFrame:
     """doc_id, token_ids of every row of docs (doc_id, text; other columns are ignored).
 
     The texts are cut into words by the pattern; neighbouring documents form a block of some block_size characters, which
     keeps its distinct words once and, per position, the number of the word that stands there. The words of all blocks
-    are shuffled together by word, each distinct word is encoded once, its ids go back to the blocks that have it, and every
-    block puts its documents together by position. A word comes from a block once at most, so even the most frequent word
-    is no more rows than there are blocks. The blocks lie in buckets by their number, so they are written once and
-    never shuffled: only words and ids move.
+    are shuffled together in groups by a hash, each distinct word is encoded once in its group, its ids go back to the blocks
+    that have it, and every block puts its documents together by position. A word comes from a block once at most, so even
+    the most frequent word moves no more often than there are blocks, and a task keeps one group's distinct words in memory, at
+    most about group_words. Words of one block and group travel as one row. The blocks lie in buckets by
+    their number, so they are written once and never shuffled: only words and ids move.
 
     A null text counts as empty and has no ids; repeated rows and null doc_ids come out each. A long text is
     cut into words in stretches between white space, and lies in one block whole, as it does in its row.
@@ -186,12 +222,15 @@ def encode_words(docs: DataFrame, path: str | None = None, pattern: str | None =
     ranks, pattern = vocabulary(path, pattern)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
-    layout = f"block long, words array<string>, doc_ids array<{kind}>, counts array<long>, numbers binary"
+    layout = f"block long, n_words long, words array<string>, doc_ids array<{kind}>, counts array<long>, numbers binary"
     blocks = saved_in_buckets(rows.mapInArrow(_words(pattern, block_size), layout), "block", "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
-    back = words.mapInArrow(_encoded(ranks), "block long, at int, ids binary").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("w"))
-    whole = blocks.drop("words").join(back.hint("merge"), "block", "left")
-    return whole.select("doc_ids", "counts", "numbers", "w").mapInArrow(_reassembled, f"doc_id {kind}, token_ids array<int>")
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // group_words))
+    words = blocks.where("n_words > 0").select("block", "words").mapInArrow(_dealt(groups), "block long, group long, sizes binary, letters binary")
+    back = words.repartition("group").sortWithinPartitions("group").mapInArrow(_encoded(ranks), "block long, group long, many binary, ids binary")
+    back = back.groupBy("block").agg(F.collect_list(F.struct("group", "many", "ids")).alias("w"))
+    whole = blocks.join(back.hint("merge"), "block", "left")
+    return whole.select("words", "doc_ids", "counts", "numbers", "w").mapInArrow(_reassembled, f"doc_id {kind}, token_ids array<int>")
 
 
 def decode_words(tokens: DataFrame, path: str | None = None) -> DataFrame:
