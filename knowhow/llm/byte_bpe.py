@@ -78,7 +78,7 @@ def _packed(numbers: np.ndarray) -> bytes:
 
 def _unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _words(pattern: str, block_size: int):
@@ -183,7 +183,7 @@ def _reassembled(batches):
         for row in range(batch.num_rows):
             words = batch.column("words")[row].values
             parts = sorted(batch.column("w")[row].as_py() or [], key=lambda x: x["group"])
-            flat = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x["ids"]) for x in parts)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *(_unpacked(x["ids"]) for x in parts)])
             length = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x["many"]) for x in parts)])
             # By word number: where its ids begin and how many there are.
             order = np.argsort(_places(words), kind="stable")
@@ -205,7 +205,7 @@ def _reassembled(batches):
                     group, size = [], 0
 
 
-def encode_words(docs: DataFrame, path: str | None = None, pattern: str | None = None, block_size: int = 16 << 20, group_words: int = 1 << 20) -> DataFrame:
+def encode_words(docs: DataFrame, path: str | None = None, pattern: str | None = None, block_size: int = 8 << 20, group_words: int = 1 << 20) -> DataFrame:
     """doc_id, token_ids of every row of docs (doc_id, text; other columns are ignored).
 
     The texts are cut into words by the pattern; neighbouring documents form a block of some block_size characters, which
@@ -248,10 +248,10 @@ def decode_words(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         limit = len(table) - 1
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids = batch.column("token_ids")
             out = []
-            for row in range(batch.num_rows):
+            for row in range(len(ids)):
                 mine = ids[row].values
                 if mine is None:
                     out.append(None)
