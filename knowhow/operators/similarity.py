@@ -1,6 +1,8 @@
-"""Exact cosine search and joins over unit vectors.
+"""Cosine search and joins over unit vectors.
 
-Rows are hashed into equally sized blocks; every pair of blocks meets in one task, which multiplies the
+A short left side is sent to the tasks that read the right side, which stays where it is: each task keeps the best k per
+left row. ``approximate_top_k`` compares with the few rows that a stored index of signatures names. Everything else is
+exact and goes by blocks: rows are hashed into equally sized blocks; every pair of blocks meets in one task, which multiplies the
 two small matrices and keeps only what the caller asked for (best k per row, pairs above a cut-off, counts
 per similarity bin, or the full rows of a short left side). No task ever sees more than two blocks, however
 the ids, sources or copies are distributed. Similarities are rounded before they are compared, so that ties
@@ -13,11 +15,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from knowhow.functions.vector import dot, unit
+from knowhow.session import cut_lineage
+
 BLOCK_ROWS = 4096
 DIGITS = 6
 
@@ -145,15 +148,78 @@ def _join(left, right, mode, k=None, threshold=None, digits=DIGITS, drop_self=Fa
 
 
 def _cut(pairs, k):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("left_id").orderBy(F.desc("sim"), "right_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(left: DataFrame, right: DataFrame, k: int, **opts) -> DataFrame:
-    """(left_id, right_id, sim, rank): the k rows of ``right`` nearest to each row of ``left``."""
-    return _cut(_join(left, right, "top", k=k, **opts), k)
+def _short(left, rows):
+    """The left side as ids and unit vectors if it has at most so many rows, else None."""
+    table = left.select("id", "vec").limit(rows + 1).toArrow()
+    return _matrix(table)[:2] if 0 < table.num_rows <= rows else None
+
+
+def _chunks(batches, width, rows):
+    """Ids and unit vectors, some rows at a time; vectors of another length than the left side's are an error there too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            ids, mat, _ = _matrix(pa.Table.from_batches([batch.slice(at, rows)]))
+            if mat.shape[1] != width:
+                raise ValueError(f"vectors of {mat.shape[1]} and of {width} components")
+            yield ids, mat
+
+
+def _running_best(ids, mat, k, digits, drop_self, rows):
+    """For one task: the best k of its right rows per left row, whatever number of rows it reads."""
+
+    def prune(found):
+        q, other, sim = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((other, -sim, q))
+        q, other, sim = q[order], other[order], sim[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], other[keep], sim[keep]
+
+    def run(batches):
+        found, kth = [], np.full(len(ids), -np.inf)
+        for other, right in _chunks(batches, mat.shape[1], rows):
+            sim = np.round(mat @ right.T, digits)
+            allowed = sim >= kth[:, None]
+            if drop_self:
+                allowed &= ids[:, None] != other[None, :]
+            q, c = _best(sim, allowed, k)
+            found.append((q, other[c], sim[q, c]))
+            if sum(len(f[0]) for f in found) > 4 * k * len(ids):
+                found = [prune(found)]
+                q, _, sim = found[0]
+                full = np.bincount(q, minlength=len(ids)) >= k
+                kth[full] = sim[np.searchsorted(q, np.flatnonzero(full), "right") - 1]
+        if found:
+            q, other, sim = prune(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other), pa.array(sim)], ["left_id", "right_id", "sim"])
+
+    return run
+
+
+def _every_score(ids, mat, digits, drop_self, rows):
+    def run(batches):
+        for other, right in _chunks(batches, mat.shape[1], rows):
+            sim = np.round(mat @ right.T, digits)
+            q, c = np.nonzero(ids[:, None] != other[None, :]) if drop_self else (a.ravel() for a in np.indices(sim.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(other[c]), pa.array(sim[q, c])], ["left_id", "right_id", "sim"])
+
+    return run
+
+
+def top_k(left: DataFrame, right: DataFrame, k: int, digits: int = DIGITS, drop_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(left_id, right_id, sim, rank): the k rows of ``right`` nearest to each row of ``left``.
+
+    Up to ``block_rows`` left rows go to the tasks that read ``right``, and at most k rows per left row come
+    out of each; more of them meet ``right`` in blocks.
+    """
+    short = _short(left, block_rows)
+    if short is None:
+        return _cut(_join(left, right, "top", k=k, digits=digits, drop_self=drop_self, block_rows=block_rows), k)
+    best = right.select("id", "vec").mapInArrow(_running_best(*short, k, digits, drop_self, block_rows), _PAIR_SCHEMA)
+    return _cut(best, k)
 
 
 def self_top_k(df: DataFrame, k: int, drop_self: bool = True, **opts) -> DataFrame:
@@ -170,9 +236,13 @@ def pairs_between(left: DataFrame, right: DataFrame, threshold: float, **opts) -
     return _join(left, right, "pairs", threshold=threshold, **opts)
 
 
-def score_all(left: DataFrame, right: DataFrame, **opts) -> DataFrame:
-    """Every left-right similarity: for reports that score a whole population against a short list."""
-    return _join(left, right, "all", **opts)
+def score_all(left: DataFrame, right: DataFrame, digits: int = DIGITS, drop_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every left-right similarity: for reports that score a whole population against a short list, which goes to its rows."""
+    short = _short(left, block_rows)
+    if short is None:
+        return _join(left, right, "all", digits=digits, drop_self=drop_self, block_rows=block_rows)
+    rows = max(1, (1 << 20) // len(short[0]))
+    return right.select("id", "vec").mapInArrow(_every_score(*short, digits, drop_self, rows), _PAIR_SCHEMA)
 
 
 def pair_bins(df: DataFrame, digits: int = DIGITS, **opts) -> DataFrame:
@@ -193,26 +263,101 @@ def pair_percentiles(df: DataFrame, percents=(50, 90, 95, 99, 99.9), **opts) ->
     )
 
 
-def approximate_top_k(left: DataFrame, right: DataFrame, k: int, bucket: float = 0.6, tables: int = 12,
-                      max_distance: float = 1.25, seed: int = 7) -> DataFrame:
-    """Nearest rows through random projections; candidates are re-scored exactly (dot of unit vectors)."""
-    from pyspark.sql import Window
-
-    from knowhow.functions.vector import unit
-
-    def prep(df):
-        return df.select("id", unit("vec").alias("unit")).withColumn("features", array_to_vector("unit"))
-
-    a, b = prep(left), prep(right)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    )
-    joined = lsh.fit(b).approxSimilarityJoin(a, b, max_distance, distCol="dist")
-    # For unit vectors |a-b|^2 = 2 - 2 cos, and the join already measured the exact distance.
-    sims = joined.select(
-        F.col("datasetA.id").alias("left_id"),
-        F.col("datasetB.id").alias("right_id"),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, DIGITS).alias("sim"),
-    )
-    w = Window.partitionBy("left_id").orderBy(F.desc("sim"), "right_id")
-    return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+# ---- approximate search --------------------------------------------------------------------------------------
+
+class Signatures:
+    """Where unit vectors point, by several tables of two hashes each.
+
+    A hash turns a vector at random and names the axis it then lies closest to, of at most 64 axes with two directions each. A table's signature is
+    the pair of names. Near vectors share a signature in some table; of unrelated ones a pair in thousands does.
+    """
+
+    def __init__(self, width: int, tables: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.axes = min(width, 64)
+        self.turns = [[np.linalg.qr(rng.normal(size=(width, self.axes)))[0] for _ in range(2)] for _ in range(tables)]
+
+    def _sides(self, mat, turn):
+        along = mat @ turn
+        return np.concatenate([along, -along], axis=1)
+
+    def of(self, mat: np.ndarray) -> np.ndarray:
+        """(table, row): each row's own signature."""
+        return np.stack([self._sides(mat, a).argmax(axis=1) * 2 * self.axes + self._sides(mat, b).argmax(axis=1) for a, b in self.turns])
+
+    def near(self, mat: np.ndarray, probes: int) -> np.ndarray:
+        """(table, row, probe): the signatures that vectors close to a row have most likely, its own first."""
+        few = min(2 * self.axes, 12)
+        out = []
+        for pair in self.turns:
+            loss, name = [], []
+            for turn in pair:
+                sides = self._sides(mat, turn)
+                name.append(np.argsort(-sides, axis=1, kind="stable")[:, :few])
+                loss.append((sides.max(axis=1, keepdims=True) - np.take_along_axis(sides, name[-1], 1)) ** 2)
+            both = (loss[0][:, :, None] + loss[1][:, None, :]).reshape(len(mat), -1)
+            best = np.argsort(both, axis=1, kind="stable")[:, :probes]
+            out.append(np.take_along_axis(name[0], best // few, 1) * 2 * self.axes + np.take_along_axis(name[1], best % few, 1))
+        return np.stack(out)
+
+
+class SignatureIndex:
+    """A stored index: a row (tab, sig, id) per table and vector, in the order of (tab, sig), and how it was made."""
+
+    def __init__(self, rows: DataFrame, width: int, tables: int, seed: int):
+        self.rows, self.width, self.tables, self.seed = rows, width, tables, seed
+
+
+def build_index(df: DataFrame, width: int, tables: int = 32, seed: int = 7, path: str | None = None) -> SignatureIndex:
+    """Index of all rows of df (id, vec) with ``width`` components; written to ``path``, or to the shared folder."""
+
+    def run(batches):
+        known = Signatures(width, tables, seed)
+        for ids, mat in _chunks(batches, width, 1024):
+            sig = known.of(mat)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(ids))), pa.array(sig.ravel().astype(np.int32)), pa.array(np.tile(ids, tables))],
+                ["tab", "sig", "id"])
+
+    rows = df.select("id", "vec").mapInArrow(run, "tab int, sig int, id long")
+    rows = rows.repartitionByRange("tab", "sig", "id").sortWithinPartitions("tab", "sig", "id")
+    if path is None:
+        return SignatureIndex(cut_lineage(rows), width, tables, seed)
+    rows.write.parquet(path)
+    return SignatureIndex(df.sparkSession.read.schema("tab int, sig int, id long").parquet(path), width, tables, seed)
+
+
+def candidate_pairs(left: DataFrame, index: SignatureIndex, probes: int = 14) -> DataFrame:
+    """(left_id, right_id), each once: the indexed rows with one of the signatures probed for a left row."""
+    width, tables, seed = index.width, index.tables, index.seed
+
+    def run(batches):
+        known = Signatures(width, tables, seed)
+        for ids, mat in _chunks(batches, width, 512):
+            sig = known.near(mat, probes)
+            n, p = sig.shape[1:]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.arange(tables, dtype=np.int32), n * p)), pa.array(sig.ravel().astype(np.int32)), pa.array(np.tile(np.repeat(ids, p), tables))],
+                ["tab", "sig", "left_id"])
+
+    asked = left.select("id", "vec").mapInArrow(run, "tab int, sig int, left_id long")
+    return index.rows.join(asked, ["tab", "sig"]).select("left_id", F.col("id").alias("right_id")).distinct()
+
+
+def approximate_top_k(left: DataFrame, right: DataFrame, k: int, index: SignatureIndex, probes: int = 14) -> DataFrame:
+    """(left_id, right_id, sim, rank) as top_k, of the candidates that ``index`` (of ``right``) names.
+
+    Candidates are scored exactly, with no cut on their number or distance. A left row that has fewer than k of them is searched
+    exactly instead, so every left row gets k rows if ``right`` has as many.
+    """
+    pairs = cut_lineage(candidate_pairs(left, index, probes))
+    ours = left.select(F.col("id").alias("left_id"), unit("vec").alias("u"))
+    theirs = right.select(F.col("id").alias("right_id"), unit("vec").alias("v"))
+    scored = pairs.join(theirs, "right_id").join(ours, "left_id").select("left_id", "right_id", F.round(dot("u", "v"), DIGITS).alias("sim"))
+    found = _cut(scored, k)
+    enough = pairs.groupBy("left_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    rest = left.join(enough.select(F.col("left_id").alias("id")), "id", "left_anti")
+    if rest.isEmpty():
+        return found
+    exact = top_k(rest, right, k)
+    return found.join(enough, "left_id", "left_semi").unionByName(exact)

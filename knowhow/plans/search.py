@@ -9,6 +9,7 @@ from knowhow.functions import text as T
 from knowhow.functions.vector import dot, norm, unit
 from knowhow.operators import fulltext, ranking as R, similarity
 from knowhow.plans.registry import query, view
+from knowhow.session import cut_lineage
 from knowhow.sources.corpus import Corpus
 
 VEC_MIN = 0.2  # the corpus' vectors are far less alike than those of a text model
@@ -124,12 +125,39 @@ def _(c):
     return vec(c).select("query_id", "section_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("R3_approximate_top_k")
-def _(c):
+def approximate(c):
+    theirs = R.as_vectors(c.section_vectors, "section_id", "embedding")
+    width = c.table("embeddings").agg(F.max(F.size("embedding"))).first()[0] or 1
     hits = similarity.approximate_top_k(
-        R.as_vectors(c.queries, "query_id", "qvec"), R.as_vectors(c.sections, "section_id", "embedding"), 10
+        R.as_vectors(c.queries, "query_id", "qvec"), theirs, 10, similarity.build_index(theirs, width)
     )
-    return hits.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("section_id"), "sim", "rank")
+    return hits.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("section_id"), "sim", F.col("rank").cast("long").alias("rank"))
+
+
+@query("R3_approximate_top_k")
+def _(c):
+    return approximate(c)
+
+
+@query("R3_approximate_nearest", """
+SELECT query_id, section_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, section_id) AS rank FROM v_sims) WHERE rank <= 2""")
+def _(c):
+    return approximate(c).where("rank <= 2").select("query_id", "section_id", "sim")
+
+
+@query("R3_recall", """
+SELECT query_id, 10::BIGINT AS found, count(*) FILTER (sim >= 0.4) AS near, true AS mean_recall_090
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, section_id) AS rank FROM v_sims) WHERE rank <= 10 GROUP BY query_id""")
+def _(c):
+    """Per query how many of its ten nearest are closer than unrelated vectors are, and whether nine tenths of those are found."""
+    got = cut_lineage(approximate(c).select("query_id", "section_id"))
+    exact = vec(c, 10).where("score >= 0.4").select("query_id", "section_id")
+    hits = exact.join(got.withColumn("hit", F.lit(1)), ["query_id", "section_id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("near"), F.count("hit").alias("hits"))
+    q = got.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")).join(hits, "query_id", "left").na.fill(0)
+    q = cut_lineage(q.withColumn("_one", F.lit(1)))
+    mean = q.groupBy("_one").agg((F.sum("hits") >= 0.9 * F.sum("near")).alias("mean_recall_090"))
+    return q.join(mean, "_one").select("query_id", "found", "near", "mean_recall_090")
 
 
 @query("R4_fulltext_any_term", "SELECT query_id, section_id, score, rank FROM v_fts")

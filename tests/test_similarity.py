@@ -68,13 +68,46 @@ def test_left_right_and_zero_vector(spark, vecs):
     assert [r["right_id"] for r in rows if r["left_id"] == 1][0] == 5
 
 
-def test_approximate_search_recall(spark):
-    v = np.random.default_rng(1).normal(size=(400, 16))
-    q = frame(spark, v[:20] + 0.1 * np.random.default_rng(2).normal(size=(20, 16)))
-    df = frame(spark, v)
-    exact = {(r["left_id"], r["right_id"]) for r in S.top_k(q, df, 1).collect()}
-    near = {(r["left_id"], r["right_id"]) for r in S.approximate_top_k(q, df, 1).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+def test_approximate_search_on_64_dimensions(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(150, 64))
+    v = centres[rng.integers(0, 150, 3000)] + 0.6 * rng.normal(size=(3000, 64))
+    q, df = frame(spark, v[:150] + 0.1 * rng.normal(size=(150, 64))), frame(spark, v)
+    index = S.build_index(df, 64, path=str(tmp_path / "index"))
+    pairs = S.candidate_pairs(q, index).count()
+    assert pairs < 0.05 * 150 * 3000
+    exact = {(r.left_id, r.right_id): r.sim for r in S.top_k(q, df, 10).collect()}
+    near = {(r.left_id, r.right_id): r.sim for r in S.approximate_top_k(q, df, 10, index).collect()}
+    found = exact.keys() & near.keys()
+    assert len(near) == 1500 and len(found) >= 0.9 * len(exact) and all(abs(exact[p] - near[p]) <= 1e-6 for p in found)
+    assert index.rows.count() == 32 * 3000
+
+
+def test_queries_without_enough_candidates_are_searched_exactly(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 64))
+    q, df = frame(spark, np.vstack([rng.normal(size=(4, 64)), np.zeros((1, 64))])), frame(spark, v)
+    index = S.build_index(df, 64, tables=1)
+    got = sorted((r.left_id, r["rank"], r.right_id) for r in S.approximate_top_k(q, df, 40, index, probes=1).collect())
+    want = sorted((r.left_id, r["rank"], r.right_id) for r in S.top_k(q, df, 40).collect())
+    assert got == want
+
+
+def test_short_and_long_left_sides_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(500, 8)), 1)
+    v[100:200] = v[:100]
+    df = frame(spark, v).repartition(7)
+    for drop in (False, True):
+        short, long = (sorted(map(tuple, S.top_k(df, df, 9, drop_self=drop, block_rows=n).collect())) for n in (500, 64))
+        assert short == long and len(short) == 4500
+        short, long = (sorted(map(tuple, S.score_all(df, df, drop_self=drop, block_rows=n).collect())) for n in (500, 200))
+        assert short == long
+    small = S.top_k(df.where("id < 3"), df, 9, block_rows=16)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, S.top_k(df, df, 9).where("left_id < 3").collect()))
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    assert S.top_k(df.where("id < 0"), df, 9).count() == 0 and S.top_k(df, df.where("id < 0"), 9).count() == 0
 
 
 def components(n, edges):
