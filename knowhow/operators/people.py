@@ -123,13 +123,19 @@ def _lengths(raw: DataFrame) -> DataFrame:
     return raw.groupBy("emp_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
 
 
-def person_terms(doc_terms: DataFrame, authors: DataFrame, n_docs: DataFrame, materialise: bool = False) -> DataFrame:
+def person_lengths(weights: DataFrame, authors: DataFrame) -> DataFrame:
+    """(emp_id, length) of the people's term rows; longer than 0."""
+    return _lengths(_raw_person_terms(weights, authors)).where("length > 0")
+
+
+def person_terms(doc_terms: DataFrame, authors: DataFrame, n_docs: DataFrame, materialise: bool = False,
+                 weights: DataFrame | None = None) -> DataFrame:
     """(emp_id, term, weight): TF-IDF over the person's documents, unit length per person.
 
     Terms are weighted per document first, so that only one aggregation runs at person level; ``materialise``
-    writes its result once for callers that read the table several times.
+    writes its result once for callers that read the table several times. ``weights`` may hold the weighted terms already.
     """
-    raw = _raw_person_terms(document_weights(doc_terms, n_docs), authors)
+    raw = _raw_person_terms(document_weights(doc_terms, n_docs) if weights is None else weights, authors)
     raw = cut_lineage(raw) if materialise else raw
     return raw.join(_lengths(raw), "emp_id").select(
         "emp_id", "term", F.when(F.col("length") > 0, F.col("raw") / F.col("length")).otherwise(0.0).alias("weight")
@@ -148,14 +154,15 @@ def _match(mine: DataFrame, rows: DataFrame, item: str, small: int, salt: int =
     return rows.withColumn("_s", F.pmod(F.xxhash64(item), F.lit(salt)).cast("int")).join(mine, ["term", "_s"])
 
 
-def text_closeness(egos: DataFrame, weights: DataFrame, authors: DataFrame, small: int = 1_000_000) -> DataFrame:
+def text_closeness(egos: DataFrame, weights: DataFrame, authors: DataFrame, lengths: DataFrame | None = None,
+                   small: int = 1_000_000) -> DataFrame:
     """(emp_id, other_id, sim): the cosine of ``term_closeness`` without a table of all people's terms.
 
     A person's row is the sum of their documents' rows, so the egos are multiplied with documents and the products
     summed per person; people's term rows are only needed for their lengths. ``weights`` (see
-    ``document_weights``) is read three times and should be materialised.
+    ``document_weights``) is read twice or more and should be materialised; so should ``lengths`` (see ``person_lengths``).
     """
-    lengths = cut_lineage(_lengths(_raw_person_terms(weights, authors))).where("length > 0")
+    lengths = cut_lineage(person_lengths(weights, authors)) if lengths is None else lengths
     mine = _raw_person_terms(weights, authors.join(egos.select("emp_id"), "emp_id", "left_semi"))
     dots = _match(mine, weights, "doc_id", small).groupBy("emp_id", "doc_id").agg(F.sum(F.col("raw") * F.col("w")).alias("dot"))
     other = authors.select(F.col("emp_id").alias("other_id"), "doc_id")

@@ -167,7 +167,7 @@ SELECT emp_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY emp_id)) AS we
   FROM fx_authors a JOIN {t} t USING (doc_id) JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM {t} GROUP BY 1) f USING (term)
   CROSS JOIN (SELECT count(*) AS n_docs FROM fx_documents) d GROUP BY 1, 2)"""
 view("v_doc_keywords", "SELECT doc_id, keyword AS term, count AS n FROM fx_keywords WHERE keyword NOT IN (SELECT term FROM v_stop)")
-view("v_doc_words", "SELECT doc_id, term, sum(n) AS n FROM fx_terms WHERE term NOT IN (SELECT term FROM v_stop) GROUP BY 1, 2")
+view("v_doc_words", "SELECT doc_id, term, sum(n) AS n FROM v_section_terms WHERE term NOT IN (SELECT term FROM v_stop) GROUP BY 1, 2")
 view("v_theme", WEIGHTS.format(t="v_doc_keywords"))
 view("v_text", WEIGHTS.format(t="v_doc_words"))
 
@@ -183,16 +183,23 @@ def doc_keywords(c):
 
 def doc_words(c):
     stop = N.organisation_stopwords(c.departments)
-    return c.terms.join(stop, "term", "left_anti").groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+    return c.index.join(stop, "term", "left_anti").groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
 
 
 def theme(c):
-    return N.person_terms(doc_keywords(c), c.authors, n_docs(c), materialise=True)
+    return c.stored("theme", lambda: N.person_terms(doc_keywords(c), c.authors, n_docs(c), materialise=True))
+
+
+def text_weights(c):
+    return c.stored("text_weights", lambda: N.document_weights(doc_words(c), n_docs(c)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+
+
+def text_lengths(c):
+    return c.stored("text_lengths", lambda: N.person_lengths(text_weights(c), c.authors))
 
 
 def close_text(c):
-    weights = cut_lineage(N.document_weights(doc_words(c), n_docs(c)))
-    return N.text_closeness(egos(c), weights, c.authors)
+    return N.text_closeness(egos(c), text_weights(c), c.authors, text_lengths(c))
 
 
 @query("N1_person_keyword_tfidf", "SELECT emp_id, term, round(weight, 9) AS weight FROM v_theme")
@@ -202,7 +209,7 @@ def _(c):
 
 @query("N1_person_text_tfidf", "SELECT emp_id, count(*) AS terms, round(max(weight), 9) AS top, round(sum(weight), 6) AS total FROM v_text GROUP BY 1")
 def _(c):
-    return N.person_terms(doc_words(c), c.authors, n_docs(c), materialise=True).groupBy("emp_id").agg(
+    return N.person_terms(doc_words(c), c.authors, n_docs(c), materialise=True, weights=text_weights(c)).groupBy("emp_id").agg(
         F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 9).alias("top"), F.round(F.sum("weight"), 6).alias("total")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knowhow.functions import text as T
 from knowhow.functions.vector import dot, norm, unit
-from knowhow.operators import fulltext, ranking as R, similarity
+from knowhow.operators import fulltext, inverted, ranking as R, similarity
 from knowhow.plans.registry import query, view
 from knowhow.session import cut_lineage
 from knowhow.sources.corpus import Corpus
@@ -22,7 +22,7 @@ def r(c, digits=6):
 # ---- shared pieces -------------------------------------------------------------------------------------------
 
 def query_terms(c: Corpus):
-    return fulltext.query_terms(c.queries, T.plain_tokens("text"))
+    return fulltext.query_terms(c.queries, T.query_terms("text"))
 
 
 def vec(c: Corpus, k=100):
@@ -30,7 +30,7 @@ def vec(c: Corpus, k=100):
 
 
 def fts(c: Corpus, n=100):
-    return fulltext.search(query_terms(c), c.terms, n)
+    return fulltext.ranked(inverted.search(c.index, query_terms(c)), n)
 
 
 def hybrid(c: Corpus, **opts):
@@ -58,13 +58,12 @@ SELECT q.query_id, s.section_id, s.doc_id, s.section_role, round(list_dot_produc
 view("v_vec", """
 SELECT query_id, section_id, CAST(round(CAST(sim AS DECIMAL(9, 6)), 4) AS DOUBLE) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, section_id) AS rank FROM v_sims) WHERE rank <= 100""")
-view("v_query_terms", r"""
-SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM fx_queries)
-WHERE length(term) >= 2""")
+view("v_section_terms", "SELECT doc_id AS section_id, doc_id // 4 AS doc_id, term, count(*) AS n FROM v_terms GROUP BY ALL")
+view("v_query_terms", "SELECT DISTINCT doc_id AS query_id, term FROM v_q_terms")
 view("v_fts", """
 SELECT query_id, section_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM (
-    SELECT q.query_id, t.section_id, CAST(sum(t.n) AS DOUBLE) AS score FROM v_query_terms q JOIN fx_terms t USING (term)
+    SELECT q.query_id, t.section_id, CAST(sum(t.n) AS DOUBLE) AS score FROM v_query_terms q JOIN v_section_terms t USING (term)
     GROUP BY q.query_id, t.section_id)) WHERE rank <= 100""")
 HYBRID = """
 SELECT *, vec_part + fts_part AS score FROM (

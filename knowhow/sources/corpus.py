@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knowhow.functions import text as T
-from knowhow.session import cut_lineage
+from knowhow.operators import inverted
+from knowhow.sources.stored import stored, version
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +35,9 @@ def _pad(c, width):
 
 
 class Corpus:
+    #: Tables that stored ones are derived from.
+    TABLES = ("nation", "customer", "orders", "lineitem", "documents", "embeddings", "benchmark")
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
@@ -47,6 +51,14 @@ class Corpus:
             self._read[name] = spread(df, "doc_id") if name == "documents" else df
         return self._read[name]
 
+    @cached_property
+    def version(self) -> int:
+        return version(self.spark, [f"{self.folder}/{t}.parquet" for t in self.TABLES])
+
+    def stored(self, name: str, build, layout=None) -> DataFrame:
+        """A table derived from this folder that every query of the session reads from where the first wrote it."""
+        return stored(self.spark, (self.folder, self.version, name), build, layout)
+
     def _one_row(self, table: str, name: str) -> DataFrame:
         """Row count of a table as a one-row frame, joined to every row through a literal key."""
         return self.table(table).agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1))
@@ -185,6 +197,11 @@ class Corpus:
         """(section_id, doc_id, term, n)"""
         return T.term_counts(self._sections_base, ["section_id", "doc_id"], T.plain_tokens("body"))
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """Search terms of all sections (part, term, section_id, doc_id, n), see operators.inverted."""
+        return self.stored("index", lambda: inverted.postings(self._sections_base), inverted.by_part)
+
     @cached_property
     def keywords(self) -> DataFrame:
         """(doc_id, keyword, count): the five most frequent words of four letters and more."""
@@ -229,10 +246,10 @@ class Corpus:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        """(emp_id, vec): role-weighted mean of the person's document vectors, written once like a stored table."""
+        """(emp_id, vec): role-weighted mean of the person's document vectors, a stored table."""
         from knowhow.operators.ranking import person_vectors
 
-        return cut_lineage(person_vectors(self.section_vectors, self.authors))
+        return self.stored("profiles", lambda: person_vectors(self.section_vectors, self.authors))
 
     @cached_property
     def career_sheets(self) -> DataFrame:
