@@ -196,11 +196,21 @@ def _(c):
     return L.unpivot_items(c.career_sheets, ["emp_no", "conv_id"], CAREER_ITEMS).select("emp_no", "conv_id", "memo_kind", "body")
 
 
-@query("S15_split_at_headings", """
-SELECT page_id, CAST(section_no AS BIGINT) AS section_no, trim(regexp_extract(part, '^([^<]*)', 1)) AS section_name,
-  array_to_string(list_filter(list_transform(regexp_extract_all(part, '<p[^>]*>([^<]*)', 1), lambda p: trim(p)), lambda p: p <> ''), chr(10)) AS body
-FROM (SELECT page_id, unnest(range(0, len(parts))) AS section_no, unnest(parts) AS part
-      FROM (SELECT page_id, string_split_regex(html, '<h1[^>]*>') AS parts FROM pages)) WHERE section_no > 0""")
+@query("S15_split_at_headings", r"""
+WITH seen AS (  -- what a reader sees, cut at the headings
+  SELECT page_id, string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+    '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g'), '(?i)<h1[^>]*>') AS parts FROM pages),
+part AS (SELECT page_id, unnest(range(0, len(parts))) AS section_no, unnest(parts) AS part FROM seen),
+cut AS (
+  SELECT page_id, section_no, regexp_extract(part, '(?is)^(.*?)</h1>', 1) AS name,
+    string_split(regexp_replace(regexp_replace(regexp_replace(regexp_extract(part, '(?is)</h1>(.*)$', 1), '\s+', ' ', 'g'),
+      '(?i)</?(?:p|br|li|ul|ol|div|nav|article|footer|section|header|table|tr|pre|h[1-6]|body|html)(?:\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS lines
+  FROM part WHERE section_no > 0)
+SELECT page_id, CAST(section_no AS BIGINT) AS section_no, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(name, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS section_name,
+  array_to_string(list_filter(list_transform(lines, lambda l: trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+    l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS body
+FROM cut""")
 def _(c):
     x = L.split_sections(c.table("pages"), "page_id", "html")
     return x.withColumn("section_no", F.col("section_no").cast("long"))

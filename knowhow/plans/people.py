@@ -302,7 +302,9 @@ def nbrs(c, themes=None):
 
 
 @query("N7_neighbors", """
-SELECT emp_id, position, other_id, score, round(part_profile, 6) AS part_profile, round(part_theme, 6) AS part_theme, round(part_text, 6) AS part_text, round(part_known, 6) AS part_known FROM v_neighbors""")
+SELECT e.emp_id, position, other_id, score, round(part_profile, 6) AS part_profile, round(part_theme, 6) AS part_theme, round(part_text, 6) AS part_text, round(part_known, 6) AS part_known,
+  CASE WHEN e.emp_id IN (SELECT emp_id FROM v_pop) THEN 'ok' ELSE 'no_docs' END AS status
+FROM v_egos e LEFT JOIN v_neighbors n ON n.emp_id = e.emp_id""")
 def _(c):
     return N.with_status(egos(c), population(c), nbrs(c)).select(
         "emp_id", F.col("position").cast("long").alias("position"), "other_id", "score", r("part_profile"), r("part_theme"),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html.entities import name2codepoint
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -167,81 +166,45 @@ def unpivot_items(sheets: DataFrame, ids: list[str], items: list[str]) -> DataFr
     )
 
 
-BLOCKS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+BLOCKS = (
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody tfoot thead tr ul".split())
-UNSEEN = frozenset(("script", "style"))
-
-
-class _Sections(HTMLParser):
-    """Name and lines of every level-1 heading's part."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found, self.name, self.parts, self.lines = [], None, [], []
-        self.pre = self.unseen = 0
-
-    def end_line(self) -> None:
-        text, self.parts = re.sub(r"[ \t\n\r\f\v]+", " ", "".join(self.parts)).strip(" "), []
-        if self.found and text:
-            self.found[-1][1].append(text)
-
-    def end_name(self) -> None:
-        if self.name is not None:
-            self.found[-1][0] = re.sub(r"[ \t\n\r\f\v]+", " ", "".join(self.name)).strip(" ")
-            self.name = None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.unseen += tag in UNSEEN
-        if tag == "h1":
-            self.end_line()
-            self.end_name()
-            self.found.append(["", []])
-            self.name = []
-        elif self.name is not None and tag == "br":
-            self.name.append(" ")
-        elif tag in BLOCKS:
-            self.end_name()  # a heading that nothing closed
-            self.end_line()
-        elif tag in ("td", "th") and "".join(self.parts).strip():
-            self.parts.append(" | ")
-        self.pre += tag == "pre"
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in ("h1", "br", "hr"):  # a slash closes nothing else that holds text
-            self.pre -= tag == "pre"
-            self.unseen -= tag in UNSEEN
-
-    def handle_endtag(self, tag: str) -> None:
-        self.unseen = max(0, self.unseen - (tag in UNSEEN))
-        self.pre = max(0, self.pre - (tag == "pre"))
-        if tag == "h1":
-            self.end_name()
-        elif tag in BLOCKS:
-            self.end_line()
-
-    def handle_data(self, data: str) -> None:
-        if self.unseen or not self.found:
-            return
-        if self.name is not None:
-            self.name.append(data)
-            return
-        for k, piece in enumerate(data.split("\n") if self.pre else [data]):
-            if k:
-                self.end_line()
-            self.parts.append(piece)
-
-
-def _html_sections(html: str | None) -> list[tuple[str, str]] | None:
-    if html is None:
-        return None
-    parser = _Sections()
-    parser.feed(html)
-    parser.close()
-    parser.end_name()
-    parser.end_line()
-    return [(name, "\n".join(lines)) for name, lines in parser.found]
+ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*>"""
+# An end tag of h1 without a heading before it ends no line.
+BLOCK_TAG = rf"(?i)</?(?:{'|'.join(b for b in BLOCKS if b != 'h1')})(?![a-z0-9]){ATTRIBUTES}"
+WHITE = r"[ \t\n\r\f\x0B]+"
+CELL, LINE = "\u0001", "\u0002"
+
+
+def _character(number: Column) -> Column:
+    """The character with this code; the replacement character where there is none."""
+    fine = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    code = F.unhex(F.lpad(F.hex(F.when(fine, number).otherwise(F.lit(0xFFFD)).cast("long")), 8, "0"))
+    return F.decode(code, "UTF-32")
+
+
+def decoded_entities(text: Column) -> Column:
+    """Character references replaced, each once: numbers, and the named ones of HTML 4. Others stay as they are."""
+    names = F.create_map(*[x for n, c in sorted(name2codepoint.items()) for x in (F.lit(n), F.lit(chr(c)))])
+
+    def one(piece):
+        name = F.regexp_extract(piece, "^(#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,8}|[A-Za-z0-9]+);?", 1)
+        tail = F.regexp_replace(piece, "^(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,8}|[A-Za-z0-9]+);?", "")
+        hexa = F.conv(F.regexp_extract(name, "^#[xX](.*)$", 1), 16, 10).cast("long")
+        number = F.regexp_extract(name, "^#([0-9]+)$", 1).try_cast("long")
+        known = F.when(name.rlike("^#[xX]"), _character(hexa)).when(name.startswith("#"), _character(number)).otherwise(F.try_element_at(names, name))
+        return F.when(known.isNotNull(), F.concat(known, tail)).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
+
+
+def _without_tags(text: Column) -> Column:
+    return F.regexp_replace(text, rf"</?[a-zA-Z]{ATTRIBUTES}", "")
+
+
+def _squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
 def split_sections(docs: DataFrame, key: str, html: str) -> DataFrame:
@@ -249,11 +212,23 @@ def split_sections(docs: DataFrame, key: str, html: str) -> DataFrame:
 
     Text before the first heading is ignored. Ends of blocks (paragraphs, list items, table rows, line breaks) and
     line breaks in pre become line breaks, cells of a row are parted by " | ", other tags fall away, entities are decoded,
-    white space is squeezed, empty lines, comments, scripts and styles are left out.
+    white space is squeezed, empty lines, comments, scripts and styles are left out. A null page has no sections.
     """
-    parts = F.udf(_html_sections, "array<struct<section_name: string, body: string>>")
-    s = docs.select(key, F.posexplode(parts(html)).alias("_n", "s"))
-    return s.select(key, (F.col("_n") + 1).alias("section_no"), "s.section_name", "s.body")
+    seen = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!(?!--)[^>]*>", "")
+    pieces = F.split(seen, r"(?i)(?=<pre\b)|(?<=</pre>)")
+    lined = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike(r"(?i)^<pre\b"), F.replace(x, F.lit("\n"), F.lit("<br>"))).otherwise(x)), "")
+    parts = F.split(F.regexp_replace(lined, WHITE, " "), rf"(?i)<h1(?![a-z0-9]){ATTRIBUTES}")
+    s = docs.select(key, F.posexplode(parts).alias("section_no", "part")).where("section_no > 0")
+    # A heading ends at its end tag, or where a block begins.
+    end = F.regexp_instr("part", F.lit(rf"(?i)</h1(?![a-z0-9]){ATTRIBUTES}|<(?:{'|'.join(BLOCKS)})(?![a-z0-9]){ATTRIBUTES}"))
+    name = F.when(end > 0, F.substring("part", F.lit(1), end - 1)).otherwise(F.col("part"))
+    rest = F.when(end > 0, F.substr("part", end)).otherwise(F.lit(""))
+    name = _squeezed(decoded_entities(_without_tags(F.regexp_replace(name, rf"(?i)<br(?![a-z0-9]){ATTRIBUTES}", " "))))
+    rest = F.regexp_replace(rest, rf"(?i)<br(?![a-z0-9]){ATTRIBUTES}|{BLOCK_TAG}", LINE)
+    rest = _without_tags(F.regexp_replace(rest, rf"(?i)<t[dh](?![a-z0-9]){ATTRIBUTES}", CELL))
+    lines = F.transform(F.split(decoded_entities(rest), LINE), lambda x: _squeezed(F.replace(F.regexp_replace(x, rf"^[ {CELL}]+", ""), F.lit(CELL), F.lit(" | "))))
+    body = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    return s.select(key, "section_no", name.alias("section_name"), body.alias("body"))
 
 
 # A cell that is only figures, units and date marks (fixed pattern).

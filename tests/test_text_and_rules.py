@@ -1,3 +1,7 @@
+import os
+import random
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +9,9 @@ from knowhow.functions import text as T
 from knowhow.operators import rules as V
 from knowhow.sources import loading as L
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from html_sections import sections_of  # noqa: E402
+
 
 def one(spark, text, expr):
     return spark.createDataFrame([(text,)], "t string").select(expr.alias("v")).first()["v"]
@@ -109,6 +116,20 @@ def test_sections_keep_all_text_below_a_heading(spark):
         (1, 1, "A b & c", "x bold y <z>\nnext\nopen link\none\ntwo three\nk | v\nl1\nl2\ntail"), (1, 2, "Second", "z\u00a0é")]
 
 
+def test_sections_equal_those_of_a_parser(spark):
+    r = random.Random(2)
+    pieces = ["<p>", "</p>", "<h1>", "</h1>", "<h1 a='>'>", "<b>", "</b>", "<br>", "<br/>", "<div>", "</div>", "<td>", "</td>", "<tr>", "<a href=\"x>y\">", "text", " two words ", "\n",
+              "&amp;", "&lt;p&gt;", "&#x41;", "&eacute;", "&nosuch;", "a & b", "<!-- c -->", "<pre>l1\nl2</pre>", "<style>p{}</style>", "<script>'</p>'</script>"]
+    pages = ["".join(r.choice(pieces) for _ in range(r.randint(1, 40))) for _ in range(400)]
+    pages += [row.html for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(300).collect()]
+    df = spark.createDataFrame(list(enumerate(pages)), "k long, h string")
+    got = {}
+    for row in L.split_sections(df, "k", "h").orderBy("k", "section_no").collect():
+        got.setdefault(row["k"], []).append((row["section_name"], row["body"]))
+    wrong = [(k, p) for k, p in enumerate(pages) if got.get(k, []) != sections_of(p)]
+    assert not wrong, (wrong[0][1], got.get(wrong[0][0]), sections_of(wrong[0][1]), len(wrong))
+
+
 def test_tables_of_figures_are_dropped(spark):
     df = spark.createDataFrame([(1, "a | 12件\n3 | 4%"), (2, "name | plan\ntext | 5")], "k long, t string")
     got = {r["k"]: r["sentences"] for r in L.wordy_tables(df, "k", "t").collect()}
