@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from knowhow import constants as K
 from knowhow.functions import text as T
-from knowhow.operators import people as N, similarity
+from knowhow.operators import network, people as N, similarity
 from knowhow.plans.registry import query, view
 from knowhow.plans.search import r
 from knowhow.session import cut_lineage
@@ -191,7 +191,7 @@ def theme(c):
 
 
 def text_weights(c):
-    return c.stored("text_weights", lambda: N.document_weights(doc_words(c), n_docs(c)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+    return c.stored("text_weights", lambda: N.document_weights(doc_words(c), n_docs(c)).repartitionByRange("doc_id", "term").sortWithinPartitions("doc_id", "term"))
 
 
 def text_lengths(c):
@@ -199,7 +199,7 @@ def text_lengths(c):
 
 
 def close_text(c):
-    return N.text_closeness(egos(c), text_weights(c), c.authors, text_lengths(c))
+    return network.text_closeness(egos(c), text_weights(c), c.authors, text_lengths(c))
 
 
 @query("N1_person_keyword_tfidf", "SELECT emp_id, term, round(weight, 9) AS weight FROM v_theme")
@@ -297,8 +297,11 @@ view("v_neighbors", neighbors_sql(0.5, 2))
 view("v_neighbors_fact", neighbors_sql(0.0, 1, False))
 
 
-def nbrs(c, themes=None):
-    return N.neighbors(measures(c, themes))
+def nbrs(c, **opts):
+    found = network.nearest_people(
+        egos(c), population(c), c.profiles, theme(c), text_weights(c), text_lengths(c), c.departments, c.authors, **opts)
+    use = opts.get("use_profile", True)
+    return N.neighbors(measures(c, use_profile=use), **opts) if found is None else found
 
 
 @query("N7_neighbors", """
@@ -314,7 +317,7 @@ def _(c):
 
 @query("N7_neighbors_facts_only", "SELECT emp_id, position, other_id, score FROM v_neighbors_fact")
 def _(c):
-    return N.neighbors(measures(c, use_profile=False), t=0.0, known_range=1, use_profile=False).select(
+    return nbrs(c, t=0.0, known_range=1, use_profile=False).select(
         "emp_id", F.col("position").cast("long").alias("position"), "other_id", "score"
     )
 
@@ -330,7 +333,7 @@ SELECT emp_id, other_id, term, "both", position FROM (SELECT n.emp_id, n.other_i
   FROM v_neighbors n JOIN v_theme a ON a.emp_id = n.emp_id JOIN v_theme b ON b.emp_id = n.other_id AND b.term = a.term) WHERE position <= 3""")
 def _(c):
     t = theme(c)
-    return N.shared_words(nbrs(c, t), t).withColumn("position", F.col("position").cast("long"))
+    return N.shared_words(nbrs(c), t).withColumn("position", F.col("position").cast("long"))
 
 
 @query("N10_person_terms", """
@@ -360,7 +363,7 @@ SELECT x.emp_id, x.other_id AS a, y.other_id AS b, round(sum(ta.weight * tb.weig
 JOIN v_theme ta ON ta.emp_id = x.other_id JOIN v_theme tb ON tb.emp_id = y.other_id AND ta.term = tb.term GROUP BY 1, 2, 3 HAVING sum(ta.weight * tb.weight) >= 0.25""")
 def _(c):
     t = theme(c)
-    return N.neighbour_edges(cut_lineage(nbrs(c, t).select("emp_id", "other_id")), t).select("emp_id", "a", "b", r("sim", 6))
+    return N.neighbour_edges(cut_lineage(nbrs(c).select("emp_id", "other_id")), t).select("emp_id", "a", "b", r("sim", 6))
 
 
 @query("N11_main_reason", """
@@ -377,10 +380,9 @@ SWEEP = [0.0, 0.5, 1.0]
     f"SELECT {t}::DOUBLE AS t, CAST(level AS BIGINT) AS level, count(*) AS people, count(*) FILTER (surprise) AS surprises FROM ({neighbors_sql(t, 2)}) GROUP BY level"
     for t in SWEEP))
 def _(c):
-    m = cut_lineage(measures(c))
     out = None
     for t in SWEEP:
-        one = N.neighbors(m, t=t).groupBy("level").agg(
+        one = nbrs(c, t=t).groupBy("level").agg(
             F.count(F.lit(1)).alias("people"), F.count(F.when(F.col("surprise"), 1)).alias("surprises")
         ).select(F.lit(t).alias("t"), F.col("level").cast("long").alias("level"), "people", "surprises")
         out = one if out is None else out.unionByName(one)
