@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowhow.functions import text as T
+from knowhow.session import cut_lineage
 
 PARTS = 64
 
@@ -22,7 +23,8 @@ def part_of(term, parts: int = PARTS):
 def postings(sections: DataFrame, text: str = "body", parts: int = PARTS) -> DataFrame:
     """Postings of sections (section_id, doc_id, text), in the order in which they are stored."""
     tokens = F.transform(T.terms(text), lambda t: t["term"])
-    counted = T.term_counts(sections, ["section_id", "doc_id"], tokens)
+    # Written before it is dealt by range, which reads it twice.
+    counted = cut_lineage(T.term_counts(sections, ["section_id", "doc_id"], tokens))
     placed = counted.select(part_of("term", parts).alias("part"), "term", "section_id", "doc_id", "n")
     return placed.repartitionByRange("part", "term", "section_id").sortWithinPartitions("part", "term", "section_id")
 
@@ -37,12 +39,10 @@ def term_statistics(index: DataFrame) -> DataFrame:
 
 
 def look_up(index: DataFrame, wanted: DataFrame, parts: int = PARTS) -> DataFrame:
-    """Postings of the terms in ``wanted`` (term, any other columns), with those columns.
-
-    The hash of the term is part of the join: where the wanted terms are few enough for Spark to send them to all tasks, their
-    hashes tell the scan which folders to leave out.
-    """
-    return index.join(wanted.withColumn("part", part_of("term", parts)), ["part", "term"]).drop("part")
+    """Postings of the terms in ``wanted`` (term, any other columns), with those columns. Only the folders of those terms are read."""
+    placed = wanted.withColumn("part", part_of("term", parts))
+    folders = [r.part for r in placed.select("part").where("part is not null").distinct().collect()]  # at most `parts` numbers
+    return index.where(F.col("part").isin(folders)).join(placed, ["part", "term"]).drop("part")
 
 
 def search(index: DataFrame, query_terms: DataFrame, parts: int = PARTS) -> DataFrame:

@@ -169,12 +169,20 @@ SELECT {k}, unnest(list_transform(list_zip(ch, ch[2:]), lambda p: p[1] || p[2]))
   SELECT {k}, string_split(regexp_replace({t}, '\s+', '', 'g'), '') AS ch FROM {s})"""
 view("v_grams", "SELECT section_id, term, count(*) AS n FROM (" + GRAMS.format(k="section_id", t="body", s="fx_sections_base") + ") WHERE term IS NOT NULL GROUP BY ALL")
 view("v_query_grams", "SELECT DISTINCT query_id, term FROM (" + GRAMS.format(k="query_id", t="text", s="fx_queries") + ") WHERE term IS NOT NULL")
-view("v_bm25", r"""
+BM25 = r"""
 SELECT q.query_id, g.section_id, sum(ln(1 + (w.nn - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) * g.n * 2.5::DOUBLE / (g.n + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.len / w.avg_len))) AS score
-FROM v_query_grams q JOIN v_grams g USING (term) JOIN (SELECT term, count(*) AS df FROM v_grams GROUP BY term) d USING (term)
+FROM {q} q JOIN v_grams g USING (term) JOIN (SELECT term, count(*) AS df FROM v_grams GROUP BY term) d USING (term)
 JOIN (SELECT section_id, greatest(length(regexp_replace(body, '\s+', '', 'g')) - 1, 0) AS len FROM fx_sections_base) l USING (section_id)
 CROSS JOIN (SELECT count(*) AS nn, avg(greatest(length(regexp_replace(body, '\s+', '', 'g')) - 1, 0)) AS avg_len FROM fx_sections_base) w
-GROUP BY q.query_id, g.section_id""")
+GROUP BY q.query_id, g.section_id"""
+view("v_bm25", BM25.replace("{q}", "v_query_grams"))
+view("v_word_probes", "SELECT query_id, min(term) AS text FROM v_query_terms GROUP BY query_id")
+view("v_word_probe_grams", "SELECT DISTINCT query_id, term FROM (" + GRAMS.format(k="query_id", t="text", s="v_word_probes") + ") WHERE term IS NOT NULL")
+view("v_word_probe", BM25.replace("{q}", "v_word_probe_grams"))
+BM25_TOP = """
+SELECT query_id, section_id, score, rank FROM (
+  SELECT query_id, section_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, section_id) AS rank FROM {s})
+WHERE rank <= {k}"""
 
 
 @query("R5_bm25_character_bigrams", "SELECT query_id, section_id, round(score, 6) AS score FROM v_bm25")
@@ -183,6 +191,20 @@ def _(c):
     return s.select("query_id", "section_id", r("score"))
 
 
+@query("R5_bm25_top_k", BM25_TOP.format(s="v_bm25", k=100))
+def _(c):
+    s = fulltext.bm25(c.sections, c.queries, k=100)
+    return s.select("query_id", "section_id", r("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("R5_keyword_probe", BM25_TOP.format(s="v_word_probe", k=5))
+def _(c):
+    """The best sections for one word of each query alone."""
+    probes = query_terms(c).groupBy("query_id").agg(F.min("term").alias("text"))
+    s = fulltext.bm25(c.sections, probes, k=5)
+    return s.select("query_id", "section_id", r("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # ---- R6 - R9: fusion -----------------------------------------------------------------------------------------
 
 @query("R6_rrf", """

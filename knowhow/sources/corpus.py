@@ -207,11 +207,14 @@ class Corpus:
         """(doc_id, keyword, count): the five most frequent words of four letters and more."""
         from pyspark.sql import Window
 
-        c = self.terms.where(F.length("term") >= 4).groupBy("doc_id", "term").agg(F.sum("n").alias("count"))
-        w = Window.partitionBy("doc_id").orderBy(F.desc("count"), "term")
-        return c.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select(
-            "doc_id", F.col("term").alias("keyword"), "count"
-        )
+        def build():
+            c = self.terms.where(F.length("term") >= 4).groupBy("doc_id", "term").agg(F.sum("n").alias("count"))
+            w = Window.partitionBy("doc_id").orderBy(F.desc("count"), "term")
+            return c.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select(
+                "doc_id", F.col("term").alias("keyword"), "count"
+            )
+
+        return self.stored("keywords", build)
 
     @cached_property
     def queries(self) -> DataFrame:

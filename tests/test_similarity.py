@@ -1,7 +1,11 @@
+import contextlib
+import io
+import re
+
 import numpy as np
 import pytest
 
-from knowhow.operators import clusters as C, similarity as S
+from knowhow.operators import clusters as C, fulltext, inverted, similarity as S
 
 
 def frame(spark, vecs, groups=None):
@@ -110,6 +114,55 @@ def test_short_and_long_left_sides_give_the_same(spark):
     assert S.top_k(df.where("id < 0"), df, 9).count() == 0 and S.top_k(df, df.where("id < 0"), 9).count() == 0
 
 
+def test_bm25_equals_the_formula(spark):
+    texts = [(1, "ab cd"), (2, "abab"), (3, ""), (4, None), (5, "xyz 漢字 漢字"), (6, "a"), (7, "ab cd"), (8, "😀ab😀ab")]
+    queries = [(1, "ab"), (2, "漢字 xy"), (3, None), (4, "q"), (5, "abcd 😀a")]
+    grams = {i: [t[j : j + 2] for j in range(len(t) - 1)] for i, t in ((i, "".join((t or "").split())) for i, t in texts)}
+    mean = sum(map(len, grams.values())) / len(texts)
+    want = {}
+    for q, t in queries:
+        t = "".join((t or "").split())
+        for g in {t[j : j + 2] for j in range(len(t) - 1)}:
+            df = sum(g in x for x in grams.values())
+            for i, x in grams.items():
+                if g in x:
+                    n = x.count(g)
+                    want[q, i] = want.get((q, i), 0) + np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(x) / mean))
+    items = spark.createDataFrame(texts, "section_id long, body string").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    for block in (2_000_000, 1):
+        got = {(r.query_id, r.section_id): r.score for r in fulltext.bm25(items, asked, block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    top = {(r.query_id, r["rank"]): r.section_id for r in fulltext.bm25(items, asked, k=2).collect()}
+    for q in (1, 2, 5):
+        order = sorted((-round(s, 6), i) for (p, i), s in want.items() if p == q)
+        assert [top[q, n + 1] for n in range(min(2, len(order)))] == [i for _, i in order[:2]]
+    assert fulltext.bm25(items.where("section_id < 0"), asked).count() == 0 and fulltext.bm25(items, asked.where("query_id < 0"), k=3).count() == 0
+
+
+def test_text_index_after_changes(spark, tmp_path):
+    rows = [(i, i // 4, f"alpha beta word{i % 7} word{i % 3} AB-12") for i in range(60)] + [(60, 15, None), (61, 15, "")]
+    sections = spark.createDataFrame(rows, "section_id long, doc_id long, body string")
+    inverted.by_part(inverted.postings(sections).write).parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    changed = spark.createDataFrame([(5, 1, "gamma gamma"), (70, 17, "alpha new")], "section_id long, doc_id long, body string")
+    removed = spark.createDataFrame([(6,)], "section_id long")
+    after = inverted.with_changes(index, changed, removed)
+    keep = sections.where("section_id not in (5, 6)").unionByName(changed)
+    cols = ["term", "section_id", "doc_id", "n"]
+    assert sorted(map(tuple, after.select(*cols).collect())) == sorted(map(tuple, inverted.postings(keep).select(*cols).collect()))
+    q = spark.createDataFrame([(1, "gamma"), (1, "new"), (2, "nowhere"), (3, "ab-12")], "query_id long, term string")
+    got = {(r.query_id, r.section_id): r.score for r in inverted.search(after, q).collect()}
+    assert got == {(1, 5): 2.0, (1, 70): 1.0} | {(3, i): 1.0 for i in range(60) if i not in (5, 6)}
+    stats = {r.term: (r.df, r.total, r.most) for r in inverted.term_statistics(after).collect()}
+    assert stats["gamma"] == (1, 2, 2) and stats["alpha"] == (59, 59, 1)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        inverted.look_up(index, q).explain("formatted")
+    assert re.search(r"PartitionFilters: \[[^\n]*part#\d+ (IN|=|INSET)", out.getvalue())
+    assert len({r.part for r in index.select("part").distinct().collect()}) > 3
+
+
 def components(n, edges):
     parent = list(range(n))
 
