@@ -130,16 +130,21 @@ SELECT a.* FROM fx_authors a JOIN v_rev_docs USING (doc_id) JOIN fx_employees e
 
 
 def registration(c):
-    """New versions of every document still under way: the last section and inactive authors are gone."""
-    docs = c.documents.where(F.coalesce("result", "pj_status").isin("in_review", "running"))
-    ids = docs.select("doc_id")
-    sections = c.raw_sections.where("section_no <= 3").join(ids, "doc_id", "left_semi").drop("section_id", "embedding")
-    authors = c.authors.join(ids, "doc_id", "left_semi").join(
-        c.employees.where("is_active").select("emp_id"), "emp_id", "left_semi"
-    )
+    """New versions of every document still under way, which arrive under other ids: the last section and inactive authors are gone."""
+    under_way = c.documents.where(F.coalesce("result", "pj_status").isin("in_review", "running"))
+    here = under_way.select("doc_id")
+    arrivals = under_way.withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    docs = L.registered_ids(arrivals, c.documents)
+    ids = arrivals.select((F.col("doc_id") - 1_000_000_000).alias("arrived"), "doc_code").join(docs.select("doc_code", "doc_id"), "doc_code")
+    ids = ids.select("arrived", "doc_id")
+
+    def arrived(rows):
+        return rows.join(here, "doc_id", "left_semi").withColumnRenamed("doc_id", "arrived").join(ids, "arrived").drop("arrived")
+
+    sections = arrived(c.raw_sections.where("section_no <= 3")).drop("section_id", "embedding")
+    authors = arrived(c.authors).join(c.employees.where("is_active").select("emp_id"), "emp_id", "left_semi")
     stored = {"documents": c.documents, "sections": c.raw_sections, "authors": c.authors, "keywords": c.keywords}
-    new_keywords = L.document_keywords(docs, sections)
-    return L.merge_registration(stored, docs, sections, authors, new_keywords)
+    return L.merge_registration(stored, docs, sections, authors, L.document_keywords(docs, sections))
 
 
 @query("S11_registration_sections", """

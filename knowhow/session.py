@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,8 +62,15 @@ def rank_within(df: DataFrame, keys: list[str], *order, name: str = "position")
     return ranked.join(first, keys).withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for sessions that were started in another directory."""
+    root = Path(__file__).resolve().parent.parent
+    made = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "knowhow"), "zip", root, "knowhow")
+    spark.sparkContext.addPyFile(made)
+
+
 def local_session(cpus: int = 8, name: str = "knowhow") -> SparkSession:
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -71,3 +80,5 @@ def local_session(cpus: int = 8, name: str = "knowhow") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark

@@ -110,12 +110,29 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(incoming.select(*stored.columns))
 
 
+def registered_ids(arrivals: DataFrame, stored: DataFrame) -> DataFrame:
+    """Arrivals (doc_id, doc_code, ...) under the ids they are stored by: the code says which document it is.
+
+    A known code takes the stored document's id, whatever id it arrives with. A new code keeps its own id unless that
+    is null, belongs to another stored code or comes with several codes; then it gets one of at least 2**62 that
+    follows from the code, the same on every run.
+    """
+    known = stored.select("doc_code", F.col("doc_id").alias("_known"))
+    taken = stored.select("doc_id", F.lit(True).alias("_taken"))
+    several = arrivals.groupBy("doc_id").agg(F.count_distinct("doc_code").alias("_codes"))
+    x = arrivals.join(known, "doc_code", "left").join(taken, "doc_id", "left").join(several, "doc_id", "left")
+    made = F.pmod(F.xxhash64("doc_code"), F.lit(1 << 62)) + F.lit(1 << 62)
+    own = F.when(F.col("_taken").isNull() & (F.col("_codes") == 1), F.col("doc_id"))
+    return x.withColumn("doc_id", F.coalesce("_known", own, made)).select(*arrivals.columns)
+
+
 def merge_registration(stored: dict[str, DataFrame], docs: DataFrame, sections: DataFrame, authors: DataFrame,
                        keywords: DataFrame) -> dict[str, DataFrame]:
     """Register new versions of documents over the stored tables.
 
     Sections keep their id, lose their vector and are cut at the new length; authors are replaced except that
-    kept ones stay in place; keywords are replaced. ``affected`` lists everybody whose profile must be rebuilt.
+    kept ones stay in place; keywords are replaced. ``affected`` lists everybody whose profile must be rebuilt;
+    ``changed`` has the new rows of each table by themselves. Ids are those of ``registered_ids``.
     """
     ids = docs.select("doc_id").distinct()
     new_sections = sections.join(
@@ -124,25 +141,16 @@ def merge_registration(stored: dict[str, DataFrame], docs: DataFrame, sections:
     old_authors = stored["authors"].join(ids, "doc_id", "left_semi")
     removed = old_authors.join(authors.select("doc_id", "emp_id"), ["doc_id", "emp_id"], "left_anti")
     counts = ids
+    changed = {"documents": docs, "sections": new_sections, "authors": authors, "keywords": keywords}
+    changed = {t: df.select(*stored[t].columns) for t, df in changed.items()}
     old_sections = stored["sections"].join(ids, "doc_id", "left_semi")
     dropped = old_sections.join(sections.select("doc_id", "section_no"), ["doc_id", "section_no"], "left_anti")
     for name, df in (("sections", sections), ("authors", authors), ("keywords", keywords),
                      ("removed_sections", dropped), ("removed_authors", removed)):
         counts = counts.join(df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name)), "doc_id", "left")
-    return {
-        "documents": upsert(stored["documents"], docs, ["doc_id"]),
-        "sections": stored["sections"].join(ids, "doc_id", "left_anti").unionByName(
-            new_sections.select(*stored["sections"].columns)
-        ),
-        "authors": stored["authors"].join(ids, "doc_id", "left_anti").unionByName(
-            authors.select(*stored["authors"].columns)
-        ),
-        "keywords": stored["keywords"].join(ids, "doc_id", "left_anti").unionByName(
-            keywords.select(*stored["keywords"].columns)
-        ),
-        "counts": counts.na.fill(0),
-        "affected": authors.select("emp_id").unionByName(removed.select("emp_id")).distinct(),
-    }
+    tables = {t: stored[t].join(ids, "doc_id", "left_anti").unionByName(df) for t, df in changed.items()}
+    affected = authors.select("emp_id").unionByName(removed.select("emp_id")).distinct()
+    return tables | {"counts": counts.na.fill(0), "affected": affected, "changed": changed}
 
 
 def document_keywords(docs: DataFrame, sections: DataFrame, top_n: int = 5) -> DataFrame:

@@ -247,3 +247,38 @@ def test_stream_of_registrations(spark, tmp_path):
     two = S.load_state(spark, state, 2)
     assert [(r["section_id"], r["body"]) for r in two["sections"].collect()] == [(first_id, "pump noise")]
     assert "valve" not in {r["keyword"] for r in two["keywords"].collect()}
+    # The code says which document it is: a known code under another id, a new code under a known id, and one without an id.
+    arrive("c.json", doc(77, "IDEA-2026-0001", "third text"), doc(1, "IDEA-2026-0002", "other document"), doc(0, "IDEA-2026-0003", "no id", doc_id=None),
+           doc(9, "IDEA-2026-0004", "x", sections=[]))
+    S.start(spark, str(arrivals), state, str(tmp_path / "cp"), model=lambda texts: [[float(len(t))] for t in texts]).awaitTermination()
+    three = S.load_state(spark, state, 3)
+    ids = {r["doc_code"]: r["doc_id"] for r in three["documents"].collect()}
+    assert ids["IDEA-2026-0001"] == 1 and min(ids["IDEA-2026-0002"], ids["IDEA-2026-0003"]) >= 1 << 62 and len(ids) == 3
+    bodies = {r["doc_id"]: (r["body"], r["embedding"]) for r in three["sections"].collect()}
+    assert bodies[1][0] == "third text" and set(bodies) == set(ids.values()) and all(v and v[0] > 0 for _, v in bodies.values())
+    refused = {(r["doc_code"], r["rule"]) for v in (1, 3) for r in spark.read.parquet(f"{state}/v{v}/refused").collect()}
+    assert refused == {("bad code", "code form"), ("IDEA-2026-0004", "no section")}
+    # Between whole versions a version holds only its own batch; the same arrivals again give the same tables.
+    assert spark.read.parquet(f"{state}/v3/documents").count() == 3
+    arrive("d.json", doc(5, "IDEA-2026-0002", "other document"))
+    S.start(spark, str(arrivals), state, str(tmp_path / "cp"), model=lambda texts: [[float(len(t))] for t in texts]).awaitTermination()
+    four = S.load_state(spark, state, 4)
+    same = ("documents", "sections", "keywords")
+    assert all(sorted(map(str, three[t].collect())) == sorted(map(str, four[t].collect())) for t in same)
+    assert spark.read.parquet(f"{state}/v4/documents").count() == 1
+
+
+def test_whole_tables_are_written_every_so_many_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "WHOLE_EVERY", 2)
+    state = str(tmp_path)
+    empty = {
+        "documents": "doc_id long, doc_code string, doc_type string, title string", "authors": "doc_id long, emp_id long", "keywords": "doc_id long, keyword string, count long",
+        "sections": "section_id long, doc_id long, section_no int, body string, embedding array<float>"}
+    S.save_state({t: spark.createDataFrame([], s) for t, s in empty.items()}, state, 0)
+    for v in range(3):
+        batch = spark.createDataFrame(
+            [(i, f"IDEA-2026-000{i}", "idea", f"t{v}", *[None] * 6, [(1, "issue", "problem", f"body {v}")], [(7, "poster", 1)]) for i in (v, v + 1)], S.ARRIVAL)
+        S.register_batch(spark, batch, state, v)
+        got = {r["doc_id"]: r["title"] for r in S.load_state(spark, state, v + 1)["documents"].collect()}
+        assert got == {i: f"t{min(i, v)}" for i in range(v + 2)}
+        assert spark.read.parquet(f"{state}/v{v + 1}/documents").count() == (v + 2 if (v + 1) % 2 == 0 else 2)
