@@ -1,8 +1,8 @@
 """A stored text index: which sections hold which search terms, and how often.
 
 Postings are rows (part, term, section_id, doc_id, n), in folders by a hash of the term, so that a look-up reads only the
-folders of its terms, and in the order of (term, section_id). Ranges of (term, section_id) are dealt to writers, so a term in every section
-is many files and not one task's work. Changed sections go to a delta that hides their older postings.
+folders of its terms, and in the order of (term, section_id). A folder is written by several tasks, so a term in every section is not one task's
+work. Changed sections go to a delta that hides their older postings.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knowhow.functions import text as T
-from knowhow.session import cut_lineage
 
 PARTS = 64
 
@@ -20,13 +19,17 @@ def part_of(term, parts: int = PARTS):
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def postings(sections: DataFrame, text: str = "body", parts: int = PARTS) -> DataFrame:
-    """Postings of sections (section_id, doc_id, text), in the order in which they are stored."""
+def postings(sections: DataFrame, text: str = "body", parts: int = PARTS, spread: int = 16) -> DataFrame:
+    """Postings of sections (section_id, doc_id, text), in the order in which they are stored.
+
+    Texts are dealt by section before their terms are counted, so that the many rows of terms move once only, to
+    where they are stored.
+    """
     tokens = F.transform(T.terms(text), lambda t: t["term"])
-    # Written before it is dealt by range, which reads it twice.
-    counted = cut_lineage(T.term_counts(sections, ["section_id", "doc_id"], tokens))
+    dealt = sections.select("section_id", "doc_id", F.col(text).alias("text")).repartition("section_id")
+    counted = T.term_counts(dealt.select("section_id", "doc_id", F.col("text").alias(text)), ["section_id", "doc_id"], tokens)
     placed = counted.select(part_of("term", parts).alias("part"), "term", "section_id", "doc_id", "n")
-    return placed.repartitionByRange("part", "term", "section_id").sortWithinPartitions("part", "term", "section_id")
+    return placed.repartition("part", F.pmod(F.xxhash64("section_id"), F.lit(spread))).sortWithinPartitions("part", "term", "section_id")
 
 
 def by_part(writer):

@@ -191,7 +191,7 @@ def theme(c):
 
 
 def text_weights(c):
-    return c.stored("text_weights", lambda: cut_lineage(N.document_weights(doc_words(c), n_docs(c))).repartitionByRange("doc_id", "term").sortWithinPartitions("doc_id", "term"))
+    return c.stored("text_weights", lambda: N.document_weights(doc_words(c), n_docs(c)).repartition("doc_id").sortWithinPartitions("doc_id"))
 
 
 def text_lengths(c):
