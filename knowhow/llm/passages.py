@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import saved
+from knowhow.llm.common import saved, with_values
 from knowhow.llm.shingles import _powers, mix, words_of
 
 #: Bits of the map of repeated anchors (8 MB). Where it fills up more windows are compared, with the same result.
@@ -24,6 +24,14 @@ def _rolling(word: np.ndarray, k: int, seed: int) -> np.ndarray:
         return mix((total[k:] - total[:-k]) * inverse[: len(word) - k + 1])
 
 
+def _spans(word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start to before its end."""
+    with np.errstate(over="ignore"):
+        power, inverse = _powers(len(word))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(word ^ np.uint64(13)) * power)])
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def _sliding(f, x: np.ndarray, size: int) -> np.ndarray:
     """f over every `size` neighbours."""
     out, have = x, 1
@@ -84,8 +92,12 @@ def _edges(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chars[start], chars[end], line[start]
 
 
-def _windows(length: int, bits, chunk: int = 1 << 16):
-    """Every window that has a repeated anchor, and few others."""
+def _segments(length: int, bits, most: int = 1024):
+    """Stretches of windows that share a repeated anchor, and few others: one row each, at most `most` windows long.
+
+    `segment` hashes all words of the stretch, `windows` each window; `starts`, `ends` and `lines` say where its windows
+    lie, counted from `start` and `paragraph`. `own` is false if two windows of the stretch are equal.
+    """
 
     def run(batches):
         known = np.frombuffer(bits.value, np.uint8)
@@ -99,7 +111,6 @@ def _windows(length: int, bits, chunk: int = 1 << 16):
                 at = np.flatnonzero(whole & ((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
                 if not len(at):
                     continue
-                h1, h2 = (_rolling(word, length, seed)[at].view(np.int64) for seed in (12, 13))
                 text = owner[at]
                 pos = at - np.searchsorted(owner, text)
                 start, end, line, name = (np.empty(len(at), np.int64) for _ in range(4))
@@ -109,12 +120,28 @@ def _windows(length: int, bits, chunk: int = 1 << 16):
                     first, last, lines = _edges(body)
                     start[x:y], end[x:y], line[x:y] = first[pos[x:y]], last[pos[x:y] + length - 1], lines[pos[x:y]]
                     name[x:y] = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
-                for x in range(0, len(at), chunk):
-                    now = slice(x, x + chunk)
-                    yield pa.RecordBatch.from_arrays(
-                        [t.column("doc_id").take(pa.array(text[now])), *(pa.array(v[now]) for v in (name, pos)), pa.array(line[now], pa.int32()),
-                         *(pa.array(v[now]) for v in (start, end, h1, h2))],
-                        ["doc_id", "name", "pos", "paragraph", "start", "end", "h1", "h2"])
+                new = np.concatenate([[True], (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]])])
+                head = np.flatnonzero(new)
+                since = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+                head = np.flatnonzero(since % most == 0)
+                size = np.diff(np.append(head, len(at)))
+                window = _rolling(word, length, 12)[at]
+                by = np.repeat(np.arange(len(head)), size)
+                order = np.lexsort((window, by))
+                twice = (np.diff(window[order]) == 0) & (np.diff(by[order]) == 0)
+                own = np.ones(len(head), bool)
+                own[by[order][1:][twice]] = False
+                bounds = pa.array(np.append(head, len(at)).astype(np.int32))
+
+                def lists(values, kind, bounds=bounds):
+                    return pa.ListArray.from_arrays(bounds, pa.array(values, kind))
+
+                t = pa.RecordBatch.from_arrays(
+                    [pa.array(least[at[head]].view(np.int64)), pa.array(_spans(word, at[head], at[head] + size + length - 1).view(np.int64)),
+                     t.column("doc_id").take(pa.array(text[head])), *(pa.array(v[head]) for v in (name, pos)), pa.array(line[head], pa.int32()), pa.array(start[head]),
+                     pa.array(own), lists(window.view(np.int64), pa.int64()), *(lists(v - np.repeat(w[head], size), pa.int32()) for v, w in ((start, start), (end, start), (line, line)))],
+                    ["anchor", "segment", "doc_id", "name", "pos", "paragraph", "start", "own", "windows", "starts", "ends", "lines"])
+                yield from (t.slice(x, 4096) for x in range(0, t.num_rows, 4096))
 
     return run
 
@@ -142,24 +169,64 @@ def repeated_passages(docs: DataFrame, least_run: int = 51) -> DataFrame:
     begins in, occurrences is that of its most frequent window. Equal rows give one row. Words of a removed run that
     also lie in a run that is not removed belong to a first place: leave them to keep every passage once.
 
-    Equal windows have the same least half window (their anchor). Anchors are counted first; only windows whose
-    anchor occurs twice are sent anywhere, each once, so the work is linear in the text also for large groups.
+    Equal windows have the same least half window (their anchor). Anchors are counted first. Neighbouring windows with
+    one anchor that occurs twice form a segment, one row; such segments lie alike in equal passages, wherever lines end. Equal
+    segments are one row from here on. Only where segments of one anchor differ, as at a passage's ends, are their
+    windows compared one by one, each with its count. What was found goes back to all places of a segment, and
+    pieces that continue each other become runs. The work is linear in the text also for large groups, and
+    frequent segments and windows are joined without a shuffle by their key.
     """
     texts = docs.select("doc_id", "text")
     spark = docs.sparkSession
     anchors = texts.mapInArrow(_anchors(least_run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(_bitmap(anchors))
-    windows = saved(texts.mapInArrow(
-        _windows(least_run, bits), "doc_id long, name long, pos long, paragraph int, start long, end long, h1 long, h2 long"), "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "paragraph")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = windows.join(firsts, ["h1", "h2"]).select(
-        "doc_id", "name", "pos", "paragraph", "start", "end", "n", F.col("first.doc_id").alias("keep_doc_id"),
-        F.col("first.paragraph").alias("keep_paragraph"), (F.col("pos") - F.col("first.pos")).alias("shift"))
+    layout = "anchor long, segment long, doc_id long, name long, pos long, paragraph int, start long, own boolean, windows array<long>, starts array<int>, ends array<int>, lines array<int>"
+    places = saved(texts.mapInArrow(_segments(least_run, bits), layout).withColumn("key", F.struct("anchor", "segment")).drop("anchor", "segment"), "segments")
+    pieces = _pieces(places.select("key", "own", "windows", "lines", F.struct("doc_id", "pos", "paragraph").alias("place")))
+    met = with_values(places.drop("own", "windows"), pieces, "key", "rows").select("*", F.explode("pieces").alias("p"))
+    first_at, last_at = F.col("p.at") + 1, F.col("p.at") + F.col("p.size")
+    met = met.select(
+        "doc_id", "name", (F.col("pos") + F.col("p.at")).alias("pos"), (F.col("pos") + last_at).alias("until"),
+        (F.col("paragraph") + F.element_at("lines", first_at)).alias("paragraph"), (F.col("start") + F.element_at("starts", first_at)).alias("start"),
+        (F.col("start") + F.element_at("ends", last_at)).alias("end"), F.col("p.n").alias("n"), F.col("p.keep_doc_id").alias("keep_doc_id"),
+        F.col("p.keep_paragraph").alias("keep_paragraph"), (F.col("pos") - F.col("p.keep_shift")).alias("shift"))
     run = ["doc_id", "name", "keep_doc_id", "shift"]
-    # Windows of one run follow each other, so their position and rank grow together.
-    same = same.withColumn("run", F.col("pos") - F.dense_rank().over(Window.partitionBy(*run).orderBy("pos")))
-    runs = same.groupBy(*run, "run").agg(
+    # Pieces of one run follow each other without a gap; those of equal rows lie on one another.
+    by_pos = Window.partitionBy(*run).orderBy("pos")
+    met = met.withColumn("gap", F.coalesce((F.col("pos") > F.lag("until").over(by_pos)).cast("int"), F.lit(0)))
+    met = met.withColumn("run", F.sum("gap").over(by_pos))
+    runs = met.groupBy(*run, "run").agg(
         F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"),
-        (F.max("pos") - F.min("pos") + least_run).alias("words"), F.min("keep_paragraph").alias("keep_paragraph"), F.max("n").alias("occurrences"))
+        (F.max("until") - F.min("pos") + least_run - 1).alias("words"), F.min("keep_paragraph").alias("keep_paragraph"), F.max("n").alias("occurrences"))
     first = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("shift") == 0)
     return runs.select("doc_id", "paragraph", "start", "end", "words", "keep_doc_id", "keep_paragraph", "occurrences", (~first).alias("removed"))
+
+
+def _pieces(places: DataFrame) -> DataFrame:
+    """(key, rows, pieces) of the segments with repeated windows: stretches (at, size) whose first places (keep_doc_id,
+    keep_shift: position less that of the segment's first window; keep_paragraph) follow each other."""
+    kinds = places.groupBy("key").agg(
+        F.min(F.struct("place", "lines")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("own").alias("own"), F.first("windows").alias("windows"))
+    kinds = saved(kinds, "segment-kinds")
+    anchors = kinds.groupBy("key.anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_and("own").alias("own"))
+    mixed = saved(anchors.where("kinds > 1 OR NOT own").select("anchor", F.col("kinds").alias("n_kinds")), "mixed-anchors")
+    told = with_values(kinds.withColumn("anchor", F.col("key.anchor")), mixed, "anchor", "n_kinds").drop("anchor")
+    alone = kinds.where("rows > 1 AND own").join(mixed, F.col("key.anchor") == F.col("anchor"), "left_anti")
+    piece = F.struct(
+        F.lit(0).alias("at"), F.size("windows").alias("size"), F.col("rows").alias("n"), F.col("first.place.doc_id").alias("keep_doc_id"),
+        F.col("first.place.pos").alias("keep_shift"), F.col("first.place.paragraph").alias("keep_paragraph"))
+    whole = alone.select("key", "rows", F.array(piece).alias("pieces"))
+
+    place = F.struct(F.col("first.place.doc_id").alias("doc_id"), (F.col("first.place.pos") + F.col("at")).alias("pos"),
+                     (F.col("first.place.paragraph") + F.get(F.col("first.lines"), F.col("at"))).alias("paragraph"))
+    single = saved(told.select("key", "rows", "first", F.posexplode("windows").alias("at", "h")).select(
+        "key", "rows", "at", F.struct("key.anchor", "h").alias("window"), place.alias("place")), "windows")
+    firsts = single.groupBy("window").agg(F.min("place").alias("first"), F.sum("rows").alias("n"), F.count(F.lit(1)).alias("windows")).where("n > 1")
+    same = with_values(single.drop("place"), saved(firsts, "repeated-windows"), "window", "windows").select(
+        "key", "rows", "at", "n", F.col("first.doc_id").alias("keep_doc_id"), (F.col("first.pos") - F.col("at")).alias("keep_shift"), F.col("first.paragraph").alias("keep_paragraph"))
+    stretch = ["key", "keep_doc_id", "keep_shift"]
+    same = same.repartition("key").withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*stretch).orderBy("at")))
+    some = same.groupBy(*stretch, "rows", "run").agg(
+        F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("size"), F.max("n").alias("n"), F.min("keep_paragraph").alias("keep_paragraph"))
+    parts = some.groupBy("key", "rows").agg(F.collect_list(F.struct("at", "size", "n", "keep_doc_id", "keep_shift", "keep_paragraph")).alias("pieces"))
+    return saved(whole.unionByName(parts), "pieces")
