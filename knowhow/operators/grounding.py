@@ -12,6 +12,8 @@ from knowhow.functions import text as T
 STRENGTH, RECORD, AMBITION, CAVEAT, RELATION = "strength", "track_record", "ambition", "caveat", "relation"
 NO_MATCH = "The material has no experience that matches the query directly (closest note as source)."
 NOT_DIRECT = "not direct: "
+# How a model likes to begin (fixed value): adds nothing under a person's name.
+OPENER = "^この人(は|が)[、,]?"
 PARTIAL_MARK = " (source says so only in part)"
 
 
@@ -23,6 +25,8 @@ def verify_claims(claims: DataFrame, material: DataFrame, has_query: bool = True
     material: (emp_id, source, doc_id, doc_type, status, text)
     full_texts: (doc_id, text), any number of rows per document; their numbers count for everybody who has the document
     reason is null for kept claims; ``position`` is null for dropped claims and for those beyond ``max_items``.
+    ``sources`` are the named ones that may be used, ``bad_sources`` the others; the latter are told for claims that
+    got as far as the check of their sources.
     """
     c = claims.withColumn("text", F.trim("text"))
     no_relation = (F.col("section") == RELATION) & F.coalesce(F.col("level") == "none", F.lit(False))
@@ -59,17 +63,23 @@ def verify_claims(claims: DataFrame, material: DataFrame, has_query: bool = True
         .when(F.col("extra"), "number not in material")
         .when(none & (F.col("section") != CAVEAT) & ~F.col("no_relation"), "no source")
     )
+    told = F.regexp_replace("text", OPENER, "")
     shown = F.when(F.col("no_relation"), F.lit(NO_MATCH)).when(
         (F.col("section") == RELATION) & ~F.coalesce(F.col("level") == "direct", F.lit(False)),
-        F.concat(F.lit(NOT_DIRECT), "text"),
-    ).otherwise(F.col("text"))
-    c = c.withColumn("reason", reason).withColumn("shown", T.clip(shown, max_text, mark))
+        F.concat(F.lit(NOT_DIRECT), told),
+    ).otherwise(told)
+    nothing = F.array().cast("array<string>")
+    usable_ones = F.coalesce("good", nothing)
+    bad = F.filter(F.coalesce("sources", nothing), lambda x: x.isNotNull() & ~F.array_contains(usable_ones, x))
+    c = c.withColumn("reason", reason)
+    c = c.withColumn("bad_sources", F.when(F.col("reason").isNull() | (F.col("reason") == "no source"), bad).otherwise(nothing))
+    c = c.withColumn("shown", T.clip(shown, max_text, mark))
     w = Window.partitionBy("emp_id", "section").orderBy("seq", "claim_id")
     kept = c.where(F.col("reason").isNull()).withColumn("position", F.row_number().over(w)).where(F.col("position") <= max_items)
     c = c.join(kept.select("claim_id", "position"), "claim_id", "left")
     return c.select(
         "claim_id", "emp_id", "section", "seq", "level", "reason", "position", "shown",
-        F.coalesce("good", F.array().cast("array<string>")).alias("sources"),
+        usable_ones.alias("sources"), "bad_sources",
     )
 
 

@@ -220,12 +220,13 @@ def _(c):
 
 view("v_claims", """
 SELECT conv_id * 1000 + turn AS claim_id, emp_id, (['strength', 'track_record', 'ambition', 'caveat', 'relation'])[CAST(turn % 5 AS INT) + 1] AS section, turn AS seq,
-  CASE WHEN turn % 2 = 0 THEN concat(text, ' ', turn * 7) ELSE text END AS text, (['none', 'direct', 'partial'])[CAST(turn % 3 AS INT) + 1] AS level, s1.doc_code AS source1, s2.doc_code AS source2
+  concat(CASE WHEN turn % 3 = 1 THEN 'この人は、' ELSE '' END, CASE WHEN turn % 2 = 0 THEN concat(text, ' ', turn * 7) ELSE text END) AS text, (['none', 'direct', 'partial'])[CAST(turn % 3 AS INT) + 1] AS level, s1.doc_code AS source1, s2.doc_code AS source2
 FROM (SELECT *, conv_id * 3 % (SELECT count(*) FROM customer) AS emp_id FROM conversations) v
 LEFT JOIN (SELECT emp_id, min(doc_id) AS doc_id FROM fx_authors GROUP BY 1) f USING (emp_id) LEFT JOIN fx_documents s1 ON s1.doc_id = f.doc_id LEFT JOIN fx_documents s2 ON s2.doc_id = v.conv_id""")
 
 
 def claims(c):
+    """Turns of the conversations as statements about a person; every third begins as models like to."""
     n = c._one_row("customer", "n")
     t = F.col("turn")
     v = c._with(c.table("conversations"), n).withColumn("emp_id", F.col("conv_id") * 3 % F.col("n"))
@@ -237,32 +238,38 @@ def claims(c):
     levels = F.array(*[F.lit(x) for x in ("none", "direct", "partial")])
     return v.select(
         (F.col("conv_id") * 1000 + t).alias("claim_id"), "emp_id", F.get(names, (t % 5).cast("int")).alias("section"),
-        t.alias("seq"), F.when(t % 2 == 0, F.concat("text", F.lit(" "), (t * 7).cast("string"))).otherwise(F.col("text")).alias("text"),
+        t.alias("seq"), F.concat(F.when(t % 3 == 1, "この人は、").otherwise(""), F.when(t % 2 == 0, F.concat("text", F.lit(" "), (t * 7).cast("string"))).otherwise(F.col("text"))).alias("text"),
         F.get(levels, (t % 3).cast("int")).alias("level"), F.array_compact(F.array("source1", "source2")).alias("sources"),
     )
 
 
 view("v_material", """
-SELECT a.emp_id, d.doc_code AS source, d.doc_id, d.doc_type, coalesce(d.result, d.pj_status) AS status, concat(d.title, ' ', l.note_date) AS text
-FROM fx_authors a JOIN fx_documents d USING (doc_id) JOIN v_labels l USING (doc_id)
-UNION ALL SELECT emp_id, concat('career:', label), NULL, NULL, NULL, body FROM v_own_notes""")
+SELECT a.emp_id, d.doc_code AS source, d.doc_id, d.doc_type, coalesce(d.result, d.pj_status) AS status, concat_ws(' ', d.title, l.note_date, n.body) AS text
+FROM fx_authors a JOIN fx_documents d USING (doc_id) JOIN v_labels l USING (doc_id) LEFT JOIN v_notes n ON n.emp_id = a.emp_id AND n.doc_id = a.doc_id
+WHERE a.emp_id IN (SELECT emp_id FROM v_claims)
+UNION ALL SELECT emp_id, concat('career:', label), NULL, NULL, NULL, concat_ws(' ', body, note_date) FROM v_own_notes WHERE emp_id IN (SELECT emp_id FROM v_claims)""")
 
 
-def material(c):
+def material(c, people):
+    """Notes and own notes of the people (emp_id); other people's are not built."""
     from knowhow.functions import derive as D
 
-    d = c.documents.select(
+    authors = c.authors.join(people, "emp_id", "left_semi").select("emp_id", "doc_id")
+    documents = c.documents.join(authors, "doc_id", "left_semi")
+    d = documents.select(
         "doc_id", F.col("doc_code").alias("source"), "doc_type", D.doc_state().alias("status"),
         F.concat_ws(" ", "title", D.doc_date()).alias("text"),
     )
     null = F.lit(None).cast("string")
-    own = own_notes(c).select(
+    own = own_notes(c).join(people, "emp_id", "left_semi").select(
         "emp_id", F.concat(F.lit("career:"), "label").alias("source"), F.lit(None).cast("long").alias("doc_id"),
         null.alias("doc_type"), null.alias("status"), F.concat_ws(" ", "body", "title", "note_date").alias("text"),
     )
-    note = notes(c).where("doc_id is not null").select("emp_id", "doc_id", F.col("body").alias("note"))
-    docs_ = c.authors.select("emp_id", "doc_id").join(d, "doc_id").join(note, ["emp_id", "doc_id"], "left")
-    docs_ = docs_.withColumn("text", F.concat_ws(" ", "text", "note")).select("emp_id", "source", "doc_id", "doc_type", "status", "text")
+    excerpt = P.note_bodies(documents, c.raw_sections, mark=MARK).where("body <> ''")
+    docs_ = authors.join(d, "doc_id").join(excerpt, "doc_id", "left")
+    docs_ = docs_.join(summaries(c).select("emp_id", "doc_id", F.col("body").alias("summary")), ["emp_id", "doc_id"], "left")
+    note = F.when(F.col("body").isNotNull(), F.coalesce("summary", "body"))
+    docs_ = docs_.withColumn("text", F.concat_ws(" ", "text", note)).select("emp_id", "source", "doc_id", "doc_type", "status", "text")
     return docs_.unionByName(own)
 
 
@@ -273,12 +280,14 @@ def section_texts(c):
 
 NUMS = "list_distinct(regexp_extract_all(translate(text, '０１２３４５６７８９．', '0123456789.'), '[0-9]+(?:\\.[0-9]+)?'))"
 view("v_judged", f"""
-SELECT *, CASE WHEN section = 'relation' AND level = 'none' THEN '{G.NO_MATCH}' WHEN section = 'relation' AND level <> 'direct' THEN concat('{G.NOT_DIRECT}', text) ELSE text END AS stated,
+SELECT *, CASE WHEN section = 'relation' AND level = 'none' THEN '{G.NO_MATCH}' WHEN section = 'relation' AND level <> 'direct' THEN concat('{G.NOT_DIRECT}', regexp_replace(trim(text), '{G.OPENER}', '')) ELSE regexp_replace(trim(text), '{G.OPENER}', '') END AS stated,
   CASE WHEN section = 'strength' AND n_good = 0 THEN 'no document source' WHEN extra THEN 'number not in material'
     WHEN n_good = 0 AND section <> 'caveat' AND NOT (section = 'relation' AND level = 'none') THEN 'no source' END AS reason
 FROM (SELECT c.*, coalesce(g.n, 0) AS n_good, coalesce(g.sources, '') AS good, c.claim_id IN (
     SELECT claim_id FROM (SELECT claim_id, emp_id, unnest({NUMS}) AS number FROM v_claims) s
-    WHERE (emp_id, number) NOT IN (SELECT (emp_id, number) FROM (SELECT DISTINCT emp_id, unnest({NUMS}) AS number FROM v_material WHERE emp_id IN (SELECT emp_id FROM v_claims)))) AS extra
+    WHERE (emp_id, number) NOT IN (SELECT (emp_id, number) FROM (SELECT emp_id, unnest({NUMS}) AS number FROM v_material UNION
+      SELECT a.emp_id, number FROM fx_authors a JOIN (SELECT doc_id, unnest({NUMS}) AS number FROM (SELECT doc_id, concat(section_name, chr(10), body) AS text FROM fx_sections_base)) USING (doc_id)
+      WHERE number IN (SELECT unnest({NUMS}) FROM v_claims) AND a.emp_id IN (SELECT emp_id FROM v_claims)))) AS extra
   FROM v_claims c LEFT JOIN (
     SELECT claim_id, count(*) AS n, string_agg(source, ',' ORDER BY i) AS sources FROM (
       SELECT k.claim_id, k.source, min(k.i) AS i FROM (SELECT claim_id, emp_id, section, source1 AS source, 1 AS i FROM v_claims UNION ALL SELECT claim_id, emp_id, section, source2, 2 FROM v_claims) k
@@ -288,16 +297,21 @@ view("v_verified", "SELECT *, " + CLIP.format(t="t", n="160") + """ AS shown FRO
 
 
 def verified(c):
-    # Read three times; written once, as the notes behind it make a large plan.
-    return G.verify_claims(claims(c), cut_lineage(material(c)), mark=MARK, full_texts=section_texts(c))
+    # Both are read several times and written once, as the views behind them make a large plan.
+    said = cut_lineage(claims(c))
+    given = cut_lineage(material(c, said.select("emp_id").distinct()))
+    return G.verify_claims(said, given, mark=MARK, full_texts=section_texts(c))
 
 
 @query("G1_claim_verification", """
-SELECT claim_id, section, coalesce(reason, '') AS reason, CASE WHEN position <= 3 THEN position ELSE 0 END AS position, shown, good AS sources FROM v_verified""")
+SELECT claim_id, section, coalesce(reason, '') AS reason, CASE WHEN position <= 3 THEN position ELSE 0 END AS position, shown, good AS sources,
+  CASE WHEN reason IS NULL OR reason = 'no source' THEN array_to_string(list_filter([source1, source2], lambda x: x IS NOT NULL AND NOT list_contains(string_split(good, ','), x)), ',') ELSE '' END AS bad_sources
+FROM v_verified""")
 def _(c):
     return verified(c).select(
         "claim_id", "section", F.coalesce("reason", F.lit("")).alias("reason"),
         F.coalesce(F.col("position").cast("long"), F.lit(0)).alias("position"), "shown", F.array_join("sources", ",").alias("sources"),
+        F.array_join("bad_sources", ",").alias("bad_sources"),
     )
 
 

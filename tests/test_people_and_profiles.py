@@ -151,15 +151,16 @@ def test_claims(spark):
     claims = spark.createDataFrame(
         [(1, 1, "strength", 1, "good", None, ["PJ-2024-0001", "fake"]), (2, 1, "strength", 2, "career only", None, ["career:effort"]),
          (3, 1, "track_record", 1, "cut 30%", None, ["PJ-2024-0001"]), (4, 1, "track_record", 2, "stopped", None, ["PJ-2024-0002"]),
-         (5, 1, "ambition", 1, "cut 99", None, ["career:effort"]), (6, 1, "caveat", 1, "careful", None, []), (7, 1, "relation", 1, "", "none", []),
-         (8, 1, "relation", 2, "near", "partial", ["PJ-2024-0002"]), (9, 1, "ambition", 2, " ", None, ["career:effort"])]
+         (5, 1, "ambition", 1, "cut 99", None, ["career:effort"]), (6, 1, "caveat", 1, " この人は、careful", None, ["fake"]), (7, 1, "relation", 1, "", "none", []),
+         (8, 1, "relation", 2, "この人がnear この人は", "partial", ["PJ-2024-0002", "fake", "fake"]), (9, 1, "ambition", 2, " ", None, ["career:effort"])]
         + [(10 + i, 1, "ambition", 3 + i, f"w{'i' * i}", None, ["career:effort", "career:effort"]) for i in range(5)],
         "claim_id long, emp_id long, section string, seq int, text string, level string, sources array<string>")
     got = {r["claim_id"]: r for r in G.verify_claims(claims, mat).collect()}
     assert {k for k, r in got.items() if r["reason"] is None} == {1, 3, 6, 7, 8, 10, 11, 12, 13, 14}
     assert got[2]["reason"] == "no document source" and got[4]["reason"] == "no source" and got[5]["reason"] == "number not in material"
     assert got[1]["sources"] == ["PJ-2024-0001"] and got[10]["sources"] == ["career:effort"]
-    assert got[7]["shown"] == G.NO_MATCH and got[8]["shown"] == G.NOT_DIRECT + "near"
+    assert got[7]["shown"] == G.NO_MATCH and got[8]["shown"] == G.NOT_DIRECT + "near この人は" and got[6]["shown"] == "careful"
+    assert [got[k]["bad_sources"] for k in (1, 2, 4, 5, 6, 7, 8)] == [["fake"], [], ["PJ-2024-0002"], [], ["fake"], [], ["fake", "fake"]]
     assert [got[k]["position"] for k in (10, 11, 12, 13)] == [1, 2, 3, None]
     assert all(r["section"] != "relation" for r in G.verify_claims(claims, mat, has_query=False).collect())
     msg = spark.createDataFrame([(1, "PJ-2024-0001を見た。KZ-1999-0001も。終わり")], "message_id long, text string")
