@@ -302,10 +302,11 @@ class Signatures:
 
 
 class SignatureIndex:
-    """A stored index: a row (tab, sig, id) per table and vector, in the order of (tab, sig), and how it was made."""
+    """A stored index and how it was made: a row (tab, sig, id) per table and distinct vector, in the order of (tab, sig),
+    under the vector's least id, and `copies` (id, copy) of the vectors that several rows have."""
 
-    def __init__(self, rows: DataFrame, width: int, tables: int, seed: int):
-        self.rows, self.width, self.tables, self.seed = rows, width, tables, seed
+    def __init__(self, rows: DataFrame, copies: DataFrame, width: int, tables: int, seed: int):
+        self.rows, self.copies, self.width, self.tables, self.seed = rows, copies, width, tables, seed
 
 
 def build_index(df: DataFrame, width: int, tables: int = 32, seed: int = 7, path: str | None = None) -> SignatureIndex:
@@ -319,16 +320,24 @@ def build_index(df: DataFrame, width: int, tables: int = 32, seed: int = 7, path
                 [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(ids))), pa.array(sig.ravel().astype(np.int32)), pa.array(np.tile(ids, tables))],
                 ["tab", "sig", "id"])
 
-    rows = df.select("id", "vec").mapInArrow(run, "tab int, sig int, id long")
+    # Equal vectors, by two 64-bit hashes, share all signatures; one of them stands for all.
+    named = df.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
+    alike = named.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = cut_lineage(named.join(cut_lineage(alike), ["h1", "h2"]).select(F.col("first").alias("id"), F.col("id").alias("copy")))
+    later = copies.where("id <> copy").select(F.col("copy").alias("id"))
+    rows = df.select("id", "vec").join(later, "id", "left_anti").mapInArrow(run, "tab int, sig int, id long")
     rows = rows.repartitionByRange("tab", "sig", "id").sortWithinPartitions("tab", "sig", "id")
     if path is None:
-        return SignatureIndex(cut_lineage(rows), width, tables, seed)
-    rows.write.parquet(path)
-    return SignatureIndex(df.sparkSession.read.schema("tab int, sig int, id long").parquet(path), width, tables, seed)
+        return SignatureIndex(cut_lineage(rows), copies, width, tables, seed)
+    read = df.sparkSession.read
+    rows.write.parquet(f"{path}/rows")
+    copies.write.parquet(f"{path}/copies")
+    return SignatureIndex(
+        read.schema("tab int, sig int, id long").parquet(f"{path}/rows"), read.schema("id long, copy long").parquet(f"{path}/copies"), width, tables, seed)
 
 
 def candidate_pairs(left: DataFrame, index: SignatureIndex, probes: int = 14) -> DataFrame:
-    """(left_id, right_id), each once: the indexed rows with one of the signatures probed for a left row."""
+    """(left_id, right_id), each once: the indexed vectors with one of the signatures probed for a left row."""
     width, tables, seed = index.width, index.tables, index.seed
 
     def run(batches):
@@ -347,15 +356,25 @@ def candidate_pairs(left: DataFrame, index: SignatureIndex, probes: int = 14) ->
 def approximate_top_k(left: DataFrame, right: DataFrame, k: int, index: SignatureIndex, probes: int = 14) -> DataFrame:
     """(left_id, right_id, sim, rank) as top_k, of the candidates that ``index`` (of ``right``) names.
 
-    Candidates are scored exactly, with no cut on their number or distance. A left row that has fewer than k of them is searched
+    Candidates are scored exactly, with no cut on their number or distance, equal vectors once: of the k best, the k least
+    copies of each come in. A left row that has fewer than k of them is searched
     exactly instead, so every left row gets k rows if ``right`` has as many.
     """
     pairs = cut_lineage(candidate_pairs(left, index, probes))
     ours = left.select(F.col("id").alias("left_id"), unit("vec").alias("u"))
     theirs = right.select(F.col("id").alias("right_id"), unit("vec").alias("v"))
     scored = pairs.join(theirs, "right_id").join(ours, "left_id").select("left_id", "right_id", F.round(dot("u", "v"), DIGITS).alias("sim"))
-    found = _cut(scored, k)
-    enough = pairs.groupBy("left_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    found, many = _cut(scored, k), F.lit(1)
+    if not index.copies.isEmpty():
+        best = cut_lineage(found)
+        least = Window.partitionBy("id").orderBy("copy")
+        mine = index.copies.join(best.select(F.col("right_id").alias("id")).distinct(), "id", "left_semi")
+        mine = mine.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k).groupBy("id").agg(F.collect_list("copy").alias("copies"))
+        whole = best.join(mine.withColumnRenamed("id", "right_id"), "right_id", "left")
+        found = _cut(whole.select("left_id", F.explode(F.coalesce("copies", F.array("right_id"))).alias("right_id"), "sim"), k)
+        sizes = index.copies.groupBy(F.col("id").alias("right_id")).agg(F.count(F.lit(1)).alias("n_copies"))
+        pairs, many = pairs.join(sizes, "right_id", "left"), F.coalesce("n_copies", F.lit(1))
+    enough = pairs.groupBy("left_id").agg(F.sum(many).alias("n")).where(F.col("n") >= k)
     rest = left.join(enough.select(F.col("left_id").alias("id")), "id", "left_anti")
     if rest.isEmpty():
         return found

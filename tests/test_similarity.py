@@ -87,6 +87,17 @@ def test_approximate_search_on_64_dimensions(spark, tmp_path):
     assert index.rows.count() == 32 * 3000
 
 
+@pytest.mark.parametrize("copies, k", [(3, 10), (40, 10), (40, 50)])
+def test_equal_vectors_are_indexed_once(spark, copies, k):
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(20, 64))] * copies)[rng.permutation(20 * copies)]
+    q, df = frame(spark, v[:7]), frame(spark, np.vstack([v, rng.normal(size=(5, 64))]))
+    index = S.build_index(df, 64)
+    assert index.rows.count() == 32 * 25 and index.copies.count() == 20 * copies
+    got, want = (sorted((r.left_id, r["rank"], r.right_id) for r in x.where("sim > 0.99").collect()) for x in (S.approximate_top_k(q, df, k, index), S.top_k(q, df, k)))
+    assert got == want and len(got) == 7 * min(copies, k)
+
+
 def test_queries_without_enough_candidates_are_searched_exactly(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 64))
