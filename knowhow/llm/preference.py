@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import positions
+from knowhow.llm.common import positions, saved
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -49,12 +49,13 @@ def _mask(turns: Column) -> Column:
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
     """key, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask, usable; one row per pair in both tables.
 
-    chosen and rejected: key, turns (as turns_of gives them). The longest common prefix of turns (equal role and text)
+    chosen and rejected: key (null is a key like others), turns (as turns_of gives them). The longest common prefix of turns (equal role and text)
     is rendered once; what follows on each side is its completion. Masks hold the character spans of a completion
     that count in the loss. A pair is usable if both completions have such a span. If one side is a prefix of the
     other its completion is empty.
     """
-    both = chosen.select(key, F.col("turns").alias("c")).join(rejected.select(key, F.col("turns").alias("r")), key)
+    other = rejected.select(F.col(key).alias(f"{key}_"), F.col("turns").alias("r"))
+    both = chosen.select(key, F.col("turns").alias("c")).join(other, F.col(key).eqNullSafe(F.col(f"{key}_"))).drop(f"{key}_")
     same = F.zip_with("c", "r", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     shared = F.array_position(same, False)
     both = both.withColumn("n", F.when(shared == 0, F.size(same)).otherwise(shared - 1).cast("int"))
@@ -66,20 +67,25 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id
 
 
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides for conversations that come without labels, one pair per conversation with a reply.
+    """Chosen and rejected sides for conversations that come without labels, one pair per conversation.
 
-    Chosen is the conversation up to its last assistant turn; rejected ends instead with the last assistant turn of
-    the next conversation (by conv_id; the last takes the first's), a fluent reply to something else. Neighbours
-    are found by position, so common openings or copies need no group of their own.
+    Chosen is the whole conversation. Rejected leaves it at one of its assistant turns, taken by a hash of conv_id, and goes on as the next
+    conversation does from its own such turn to its end (by conv_id; the last takes the first's): fluent, but about something
+    else. A conversation without an assistant turn is its own rejected side, so its pair is not usable; neither is one
+    whose continuations are equal. Null conv_ids form one conversation. Neighbours are found by position, so common
+    openings or copies need no group of their own.
     """
     turns = turns_of(conversations)
-    replies = F.filter(F.col("turns"), lambda t: t["role"] == "assistant")
-    last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"] == "assistant"), True)
-    sides = turns.where(F.size(replies) > 0).select("conv_id", F.slice("turns", F.lit(1), last.cast("int")).alias("before"), F.element_at("turns", last.cast("int") + 1).alias("reply"))
-    placed = positions(sides.withColumn("_all", F.lit(0)), ["_all"], ["conv_id"], "pos").drop("_all")
+    spots = F.array_compact(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
+    leave = F.when(F.size(spots) > 0, F.get(spots, F.pmod(F.xxhash64("conv_id"), F.size(spots)).cast("int")))
+    turns = saved(turns.withColumn("leave", leave), "turns")
+    with_reply = turns.where("leave IS NOT NULL")
+    placed = positions(with_reply.select("conv_id", F.lit(0).alias("_all")), ["_all"], ["conv_id"], "pos").select("conv_id", "pos")
     n = placed.count()
-    offer = placed.select(F.pmod(F.col("pos") - 1, F.lit(max(n, 1))).alias("pos"), F.col("reply").alias("other"))
-    pairs = placed.join(offer, "pos")
-    chosen = pairs.select(F.col("conv_id").alias("pair_id"), F.concat("before", F.array("reply")).alias("turns"))
-    rejected = pairs.select(F.col("conv_id").alias("pair_id"), F.concat("before", F.array("other")).alias("turns"))
-    return chosen, rejected
+    offer = placed.select(F.pmod(F.col("pos") - 1, F.lit(max(n, 1))).alias("pos"), F.col("conv_id").alias("other_id"))
+    after = placed.join(offer, "pos").select(F.col("conv_id").alias("mine"), "other_id")
+    tails = with_reply.select(F.col("conv_id").alias("theirs"), F.slice("turns", F.col("leave") + 1, F.size("turns")).alias("tail"))
+    swapped = with_reply.join(after, F.col("conv_id").eqNullSafe(F.col("mine"))).join(tails, F.col("other_id").eqNullSafe(F.col("theirs")))
+    swapped = swapped.select("conv_id", F.concat(F.slice("turns", F.lit(1), F.col("leave")), "tail").alias("turns"))
+    rejected = swapped.unionByName(turns.where("leave IS NULL").select("conv_id", "turns"))
+    return tuple(side.select(F.col("conv_id").alias("pair_id"), "turns") for side in (turns, rejected))

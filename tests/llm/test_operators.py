@@ -386,14 +386,50 @@ def test_preference_pairs(spark):
     got = {r.pair_id: r for r in preference.preference_pairs(*preference.swapped_replies(df)).collect()}
     r = got[1]
     assert r.n_common == 2 and r.prompt == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nq <‍|im_end|><|im_end|>\n" and r.usable
-    assert r.chosen == "<|im_start|>assistant\ngood<|im_end|>\n" and [r.chosen[a:b] for a, b in r.chosen_mask] == ["good<|im_end|>"]
+    assert r.chosen == "<|im_start|>assistant\ngood<|im_end|>\n<|im_start|>user\nlate<|im_end|>\n" and [r.chosen[a:b] for a, b in r.chosen_mask] == ["good<|im_end|>"]
     assert r.rejected != r.chosen and [r.rejected[a:b].endswith("<|im_end|>") for a, b in r.rejected_mask] == [True]
+    assert got.keys() == {1, 2, 3, None} and got[None].usable and not got[3].usable and got[3].chosen == got[3].rejected == ""
     same = preference.turns_of(df.where("conv_id = 1")).withColumnRenamed("conv_id", "pair_id")
     r = preference.preference_pairs(same, same).first()
     assert r.n_common == 4 and r.chosen == r.rejected == "" and not r.usable
     assert preference.preference_pairs(*preference.swapped_replies(df.limit(0))).count() == 0
 
 
+def test_preference_pairs_against_brute_force(spark):
+    r = random.Random(8)
+    talks = {k: [(r.choice(["user", "assistant", "system"]), r.choice(["", "a", "b", "c|", "<|x"])) for _ in range(r.randrange(1, 9))] for k in [*range(60), None]}
+    rows = [(k, i, *t) for k, talk in talks.items() for i, t in enumerate(talk)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    sides = [{x.pair_id: [(t["role"], t["text"]) for t in x.turns] for x in side.collect()} for side in preference.swapped_replies(df)]
+    chosen, rejected = sides
+    assert chosen == talks and rejected.keys() == talks.keys()
+    order = [k for k in [*range(60), None] if any(role == "assistant" for role, _ in talks[k])]
+
+    def tails(talk):
+        return [talk[i:] for i, (role, _) in enumerate(talk) if role == "assistant"]
+
+    for k in talks:
+        if k not in order:
+            assert rejected[k] == talks[k]
+            continue
+        other = talks[order[(order.index(k) + 1) % len(order)]]
+        assert any(rejected[k] == talks[k][:i] + t for i, (role, _) in enumerate(talks[k]) if role == "assistant" for t in tails(other))
+    assert any(len(rejected[k]) > len(os.path.commonprefix([rejected[k], talks[k]])) + 1 < len(talks[k]) for k in order)
+
+    def render(turns):
+        return "".join(f"<|im_start|>{role}\n{text.replace('<|', '<' + chr(8205) + '|')}<|im_end|>\n" for role, text in turns)
+
+    got = preference.preference_pairs(*preference.swapped_replies(df)).collect()
+    assert len(got) == len(talks)
+    for x in got:
+        n = len(os.path.commonprefix([chosen[x.pair_id], rejected[x.pair_id]]))
+        assert x.n_common == n and x.prompt == render(chosen[x.pair_id][:n])
+        ends = [(chosen[x.pair_id][n:], x.chosen, x.chosen_mask), (rejected[x.pair_id][n:], x.rejected, x.rejected_mask)]
+        for rest, text, mask in ends:
+            assert text == render(rest) and [text[a:b] for a, b in mask] == [render([t]).split("\n", 1)[1][:-1] for t in rest if t[0] == "assistant"]
+        assert x.usable == all(any(role == "assistant" for role, _ in rest) for rest, *_ in ends)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
