@@ -20,6 +20,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(*tables: DataFrame) -> None:
+    """Removes the files of saved() tables; only for those that nothing still to be computed reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def saved_in_buckets(df: DataFrame, key: str, name: str) -> DataFrame:
     """As saved(), with as many buckets by key as shuffles have partitions: a join by that key leaves these rows in place.
 

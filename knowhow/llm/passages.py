@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import saved, with_values
+from knowhow.llm.common import deleted, saved, with_values
 from knowhow.llm.shingles import _powers, mix, words_of
 
 #: Bits of the map of repeated anchors (8 MB). Where it fills up more windows are compared, with the same result.
@@ -222,11 +222,14 @@ def _pieces(places: DataFrame) -> DataFrame:
     single = saved(told.select("key", "rows", "first", F.posexplode("windows").alias("at", "h")).select(
         "key", "rows", "at", F.struct("key.anchor", "h").alias("window"), place.alias("place")), "windows")
     firsts = single.groupBy("window").agg(F.min("place").alias("first"), F.sum("rows").alias("n"), F.count(F.lit(1)).alias("windows")).where("n > 1")
-    same = with_values(single.drop("place"), saved(firsts, "repeated-windows"), "window", "windows").select(
+    firsts = saved(firsts, "repeated-windows")
+    same = with_values(single.drop("place"), firsts, "window", "windows").select(
         "key", "rows", "at", "n", F.col("first.doc_id").alias("keep_doc_id"), (F.col("first.pos") - F.col("at")).alias("keep_shift"), F.col("first.paragraph").alias("keep_paragraph"))
     stretch = ["key", "keep_doc_id", "keep_shift"]
     same = same.repartition("key").withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*stretch).orderBy("at")))
     some = same.groupBy(*stretch, "rows", "run").agg(
         F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("size"), F.max("n").alias("n"), F.min("keep_paragraph").alias("keep_paragraph"))
     parts = some.groupBy("key", "rows").agg(F.collect_list(F.struct("at", "size", "n", "keep_doc_id", "keep_shift", "keep_paragraph")).alias("pieces"))
-    return saved(whole.unionByName(parts), "pieces")
+    pieces = saved(whole.unionByName(parts), "pieces")
+    deleted(kinds, mixed, single, firsts)
+    return pieces

@@ -5,6 +5,7 @@ import random
 import re
 import sys
 import zlib
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import check
 from knowhow.llm import exact_dedup, mixing, near_dedup, paragraph_dedup, passages, pieces, preference, quality, sharding, url_filter, vp_search
-from knowhow.llm.common import positions, thinned
+from knowhow.llm.common import deleted, positions, saved, thinned
 from knowhow.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -203,6 +204,13 @@ def test_thinned_keeps_what_is_wanted(spark, bits):
     assert thinned(docs, "doc_id", wanted.limit(0), bits).count() == 0
 
 
+def test_deleted_tables_leave_others(spark, tmp_path):
+    gone, stays, empty = (saved(spark.range(n), "a table") for n in (5, 7, 0))
+    files = gone.inputFiles() + empty.inputFiles()
+    deleted(gone, empty)
+    assert stays.count() == 7 and files and not any(os.path.exists(unquote(urlparse(x).path)) for x in files)
+
+
 def test_positions_in_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.lit(None)).alias("k"), (F.col("id") % 7).alias("v"), F.col("id"))
     got = positions(df, ["k"], ["v", "id"], "pos").collect()
