@@ -1,7 +1,8 @@
 """Cosine search and joins over unit vectors.
 
 A short left side is sent to the tasks that read the right side, which stays where it is: each task keeps the best k per
-left row. ``approximate_top_k`` compares with the few rows that a stored index of signatures names. Everything else is
+left row. ``approximate_top_k`` compares with the few rows that a stored index of signatures names. The best k and the pairs
+above a cut-off within one frame go by cells around pivots (``pivots.py``). Everything else is
 exact and goes by blocks: rows are hashed into equally sized blocks; every pair of blocks meets in one task, which multiplies the
 two small matrices and keeps only what the caller asked for (best k per row, pairs above a cut-off, counts
 per similarity bin, or the full rows of a short left side). No task ever sees more than two blocks, however
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knowhow.functions.vector import dot, unit
+from knowhow.operators import pivots
 from knowhow.session import cut_lineage
 
 BLOCK_ROWS = 4096
@@ -124,6 +126,41 @@ def _n_blocks(df, block_rows):
     return max(1, math.ceil(df.count() / block_rows))
 
 
+def _kth(k, digits, drop_self):
+    """For the rows of one block: the similarity of the k-th best among them, -1 where there are fewer."""
+
+    def run(table: pa.Table) -> np.ndarray:
+        ids, mat, groups = _matrix(table)
+        sim = np.round(mat @ mat.T, digits)
+        allowed = np.ones(sim.shape, dtype=bool)
+        if groups is not None:
+            allowed &= ~_shared(groups, groups, sim.shape)
+        if drop_self:
+            allowed &= ids[:, None] != ids[None, :]
+        if len(ids) < k:
+            return np.full(len(ids), -1.0)
+        best = -np.partition(-np.where(allowed, sim, -1.0), k - 1, axis=1)[:, k - 1]
+        out = np.empty(len(ids))
+        out[np.argsort(table.column("id").to_numpy(), kind="stable")] = best
+        return out
+
+    return run
+
+
+def _self_tiles(df, n, mode, k=None, threshold=None, digits=DIGITS, drop_self=False, block_rows=BLOCK_ROWS):
+    inside = _kth(k, digits, drop_self) if mode == "top" else None
+    return pivots.tiles(df, n, block_rows, threshold=threshold, inside=inside)
+
+
+def _self_join(df, mode, digits=DIGITS, drop_self=False, block_rows=BLOCK_ROWS, **wanted):
+    """One block is one task; more rows are dealt to cells, and only cells that may hold a wanted pair meet."""
+    n = df.count()
+    if n <= block_rows:
+        return _join(df, None, mode, digits=digits, drop_self=drop_self, block_rows=block_rows, **wanted)
+    run = _kernel(mode, wanted.get("k"), wanted.get("threshold"), digits, True, drop_self, _arrow_schema(mode))
+    return _self_tiles(df, n, mode, digits=digits, drop_self=drop_self, block_rows=block_rows, **wanted).apply(run, _PAIR_SCHEMA)
+
+
 def _join(left, right, mode, k=None, threshold=None, digits=DIGITS, drop_self=False, block_rows=BLOCK_ROWS):
     """Columns: id (long), vec (array), optionally grp (array<long>): rows sharing an element never match."""
     schema = _arrow_schema(mode)
@@ -223,12 +260,12 @@ def top_k(left: DataFrame, right: DataFrame, k: int, digits: int = DIGITS, drop_
 
 
 def self_top_k(df: DataFrame, k: int, drop_self: bool = True, **opts) -> DataFrame:
-    return _cut(_join(df, None, "top", k=k, drop_self=drop_self, **opts), k)
+    return _cut(_self_join(df, "top", k=k, drop_self=drop_self, **opts), k)
 
 
 def pairs_above(df: DataFrame, threshold: float, **opts) -> DataFrame:
     """(left_id < right_id, sim) with sim >= threshold."""
-    return _join(df, None, "pairs", threshold=threshold, **opts)
+    return _self_join(df, "pairs", threshold=threshold, **opts)
 
 
 def pairs_between(left: DataFrame, right: DataFrame, threshold: float, **opts) -> DataFrame:

@@ -257,3 +257,45 @@ def test_document_pair_percentiles(spark):
     s = spark.createDataFrame(rows, "section_id long, doc_id long, embedding array<double>")
     for r in C.pair_percentiles(s, (90.0, 99.0)).collect():
         assert r["sim"] == pytest.approx(np.percentile(doc_sim, r["pct"]), abs=2e-6)
+
+
+@pytest.mark.parametrize("block_rows", [64, 200])
+def test_pivots_give_the_pairs_of_all_blocks(spark, block_rows):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(12, 16))[rng.integers(0, 12, 600)] + 0.15 * rng.normal(size=(600, 16))
+    v[100:220] = v[0]  # copies fill more than a block
+    v[300:303] = 0.0
+    v[303:420] = rng.normal(size=(117, 16))
+    sim = cosines(np.where(v.any(axis=1, keepdims=True), v, 1.0))
+    sim[300:303, :] = 0.0
+    sim[:, 300:303] = 0.0
+    df = frame(spark, v).repartition(5)
+    for threshold in (0.9, 0.3, 0.0, -0.2):
+        got = {(r.left_id, r.right_id): r.sim for r in S.pairs_above(df, threshold, block_rows=block_rows).collect()}
+        want = {(i, j): sim[i, j] for i, j in zip(*np.triu_indices(600, 1)) if sim[i, j] >= threshold}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) <= 1e-6 for p in want)
+    groups = [[i % 5] if i % 3 else [] for i in range(600)]
+    for k in (1, 7):
+        rows = sorted(map(tuple, S.self_top_k(frame(spark, v, groups), k, block_rows=block_rows).collect()))
+        assert rows == sorted(map(tuple, S.self_top_k(frame(spark, v, groups), k, block_rows=1000).collect()))
+        assert len(rows) == 600 * k
+
+
+def test_pivots_leave_out_most_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    n = 3000
+    v = rng.normal(size=(25, 64))[rng.integers(0, 25, n)] + 0.25 * rng.normal(size=(n, 64))
+    df = frame(spark, v)
+    every = n * (n - 1) / 2
+    assert S._self_tiles(df, n, "pairs", threshold=0.8, block_rows=300).compared() < 0.25 * every
+    assert S._self_tiles(df, n, "top", k=5, drop_self=True, block_rows=300).compared() < 0.5 * every
+
+
+def test_self_joins_of_one_direction_and_of_nothing(spark):
+    same = frame(spark, [[1.0, 2.0]] * 90)
+    assert S.pairs_above(same, 0.999, block_rows=20).count() == 90 * 89 // 2
+    assert S.self_top_k(same, 3, block_rows=20).where("sim = 1").count() == 270
+    zero = frame(spark, [[0.0, 0.0]] * 50)
+    assert S.pairs_above(zero, 0.0, block_rows=20).count() == 50 * 49 // 2 and S.pairs_above(zero, 0.1, block_rows=20).count() == 0
+    empty = same.where("id < 0")
+    assert S.pairs_above(empty, 0.5).count() == 0 and S.self_top_k(empty, 3).count() == 0
