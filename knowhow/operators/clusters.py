@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowhow.functions.vector import unit
+from knowhow.functions.vector import dot, unit
 from knowhow.operators import similarity
-from knowhow.session import cut_lineage
+from knowhow.session import cut_lineage, written
 
 
 def document_department(documents: DataFrame, authors: DataFrame) -> DataFrame:
@@ -38,36 +37,23 @@ def document_pairs(sections: DataFrame, threshold: float) -> DataFrame:
     return p.groupBy(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).agg(F.max("sim").alias("sim"))
 
 
-def pair_percentiles(sections: DataFrame, percents=(99.0, 99.5)) -> DataFrame:
-    """(pct, sim): percentiles over all document pairs, from the upper tail only.
+def section_pairs(sections: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim), a < b: sections of different documents whose similarity reaches the threshold."""
+    s = sections.select(F.col("section_id").alias("id"), F.col("embedding").alias("vec"), F.array("doc_id").alias("grp"))
+    return similarity.pairs_above(s, threshold).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "sim")
+
+
+def pair_percentiles(sections: DataFrame, percents=(99.0, 99.5), block_rows: int = 2048) -> DataFrame:
+    """(pct, sim): linearly interpolated percentiles over all document pairs, in one pass.
 
-    The section-pair histogram tells where to start; the cut-off is lowered until the tail holds every order
-    statistic that the lowest percentile needs.
+    The task that holds two blocks of documents forms the best similarity of each document pair and returns how often each
+    rounded value occurs. Only pairs with a document that is larger than a block leave their task, to be completed.
     """
-    n = sections.select("doc_id").distinct().count()
-    total = n * (n - 1) // 2
-    need = total - math.floor((total - 1) * min(percents) / 100.0)
-    s = sections.select(F.col("section_id").alias("id"), F.col("embedding").alias("vec"), F.array("doc_id").alias("grp"))
-    bins = sorted(similarity.pair_bins(s, digits=2).collect(), reverse=True)  # at most 201 rows
-    factor = 2
-    while True:
-        seen, start = 0, -1.0
-        for b in bins:
-            seen += b["n"]
-            if seen >= factor * need:
-                start = b["sim"]
-                break
-        tail = document_pairs(sections, start - 0.005)
-        m = tail.count()
-        if m >= need or start == -1.0:
-            break
-        factor *= 2
-    out = None
-    for p in percents:
-        inside = ((total - 1) * p / 100.0 - (total - m)) / max(m - 1, 1)
-        one = tail.agg(F.round(F.percentile("sim", float(inside)), 6).alias("sim")).select(F.lit(float(p)).alias("pct"), "sim")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = sections.select("section_id", "doc_id", "embedding", F.lit(0).cast("long").alias("cluster"), F.lit(0).alias("component"))
+    found = _tiles(rows, _count_tile, "a long, b long, bin long, n long", block_rows)
+    completed = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("bin").alias("bin")).select("bin", F.lit(1).cast("long").alias("n"))
+    bins = found.where("a IS NULL").select("bin", "n").unionByName(completed).groupBy("bin").agg(F.sum("n").alias("n"))
+    return similarity.percentiles_of(bins.select((F.col("bin") / 10**similarity.DIGITS).alias("sim"), "n"), percents)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -149,6 +135,57 @@ def average_linkage(sections: DataFrame, threshold: float, block_rows: int = 102
     return labels
 
 
+def average_linkage_of_sections(sections: DataFrame, threshold: float) -> DataFrame:
+    """(section_id, doc_id, cluster): sections merge while the mean similarity between two clusters reaches the threshold;
+    two sections of one document count as 0. The threshold must be above 0.
+
+    The mean between clusters is the product of their vector sums, less what sections of common documents add, over the
+    product of their sizes. So a round needs only sums per cluster and per cluster and document, which add up
+    when clusters merge; sections' vectors are read once.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0: only clusters with a similar pair are looked at")
+    pairs = cut_lineage(section_pairs(sections, threshold))
+    items = sections.select(F.col("section_id").alias("doc_id"), F.col("doc_id").alias("document"))
+    labels = cut_lineage(items.select("doc_id", F.col("doc_id").alias("cluster")))
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("section_id")).distinct()
+    parts = sections.join(touched, "section_id", "left_semi").select(
+        F.col("section_id").alias("cluster"), F.col("doc_id").alias("document"), unit("embedding").alias("total"), F.lit(1).cast("long").alias("n")
+    )
+    parts = cut_lineage(parts)
+    joined = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("sim").alias("link"))
+    while True:
+        labels, merged = _merge_best(labels, joined)
+        if not merged:
+            break
+        now = labels.select(F.col("doc_id").alias("member"), F.col("cluster").alias("into"))
+        parts = parts.join(now, F.col("cluster") == F.col("member"))  # a cluster is named after its lowest section
+        parts = written(parts.groupBy(F.col("into").alias("cluster"), "document").agg(_vector_sum("total").alias("total"), F.sum("n").alias("n")))
+        joined = _mean_links(_cluster_pairs(pairs, labels).select("x", "y").distinct(), parts).where(F.col("link") >= threshold - 1e-9)
+    return labels.join(items, "doc_id").select(F.col("doc_id").alias("section_id"), F.col("document").alias("doc_id"), "cluster")
+
+
+def _vector_sum(column):
+    """Sum of arrays by place, combined before the shuffle."""
+    return vector_to_array(Summarizer.sum(array_to_vector(F.col(column).cast("array<double>"))))
+
+
+def _mean_links(wanted, parts):
+    """(x, y, link) for pairs of clusters. ``parts``: (cluster, document, total, n)."""
+    def side(df, name):
+        return df.select(F.col("cluster").alias(name), F.col("total").alias(f"t{name}"), F.col("n").alias(f"n{name}"))
+
+    whole = parts.groupBy("cluster").agg(_vector_sum("total").alias("total"), F.sum("n").alias("n"))
+    links = wanted.join(side(whole, "x"), "x").join(side(whole, "y"), "y")
+    links = links.select("x", "y", dot("tx", "ty").alias("total"), (F.col("nx") * F.col("ny")).alias("pairs"))
+    mine = parts.select(F.col("cluster").alias("x"), "document", F.col("total").alias("tx"))
+    theirs = parts.select(F.col("cluster").alias("y"), "document", F.col("total").alias("ty"))
+    common = wanted.join(mine, "x").join(theirs, ["y", "document"]).groupBy("x", "y").agg(F.sum(dot("tx", "ty")).alias("same"))
+    return links.join(common, ["x", "y"], "left").select(
+        "x", "y", ((F.col("total") - F.coalesce("same", F.lit(0.0))) / F.col("pairs")).alias("link")
+    )
+
+
 def _cluster_pairs(pairs, labels):
     """Document pairs as pairs of different clusters (x < y)."""
     a = labels.select(F.col("doc_id").alias("a"), F.col("cluster").alias("ca"))
@@ -166,16 +203,17 @@ def _merge_best(labels, joined):
         F.max_by(F.struct("x", "y"), F.struct("link", -F.col("x"), -F.col("y"))).alias("b")
     ).select("me", "b.x", "b.y")
     mutual = best.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    move = cut_lineage(mutual.select(F.col("y").alias("cluster"), F.col("x").alias("into")))
+    move = written(mutual.select(F.col("y").alias("cluster"), F.col("x").alias("into")))
     merged = move.limit(1).count() > 0
     labels = labels.join(move, "cluster", "left").select("doc_id", F.coalesce("into", "cluster").alias("cluster"))
-    return (cut_lineage(labels) if merged else labels), merged
+    return (written(labels) if merged else labels), merged
 
 
 _DOC_SCHEMA = pa.schema([
     ("x", pa.int64()), ("y", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
     ("total", pa.float64()), ("pairs", pa.int64()), ("low", pa.float64()),
 ])
+_COUNT_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())])
 
 
 def _doc_matrix(table):
@@ -193,19 +231,44 @@ def _doc_matrix(table):
     return mat / length, start, ids, table.column("cluster").to_numpy()[first], split
 
 
-def _tile(key, left, right):
-    if not len(left) or not len(right):
-        return pa.table({f.name: pa.array([], f.type) for f in _DOC_SCHEMA}, schema=_DOC_SCHEMA)
+def _document_sims(key, left, right):
+    """Documents of the two blocks and, per pair of them that counts here, row, column, best similarity, and whether it is final."""
     lm, ls, ld, lc, lsplit = _doc_matrix(left)
     rm, rs, rd, rc, rsplit = _doc_matrix(right)
     sim = np.round(lm @ rm.T, similarity.DIGITS)
-    sim = np.maximum.reduceat(np.maximum.reduceat(sim, ls, axis=0), rs, axis=1)  # document pairs
+    sim = np.maximum.reduceat(np.maximum.reduceat(sim, ls, axis=0), rs, axis=1)
     same_block = key[1].as_py() == key[2].as_py()
-    keep = ld[:, None] < rd[None, :] if same_block else ld[:, None] != rd[None, :]
-    i, j = np.nonzero(keep)
-    x, y, s = np.minimum(lc[i], rc[j]), np.maximum(lc[i], rc[j]), sim[i, j]
+    i, j = np.nonzero(ld[:, None] < rd[None, :] if same_block else ld[:, None] != rd[None, :])
     a, b = np.minimum(ld[i], rd[j]), np.maximum(ld[i], rd[j])
-    part = lsplit[i] | rsplit[j]
+    return a, b, lc[i], rc[j], sim[i, j], lsplit[i] | rsplit[j]
+
+
+def _count_tile(key, left, right):
+    """How often each best similarity occurs; pairs with a split document one by one."""
+    if not len(left) or not len(right):
+        return _empty(_COUNT_SCHEMA)
+    a, b, _, _, s, part = _document_sims(key, left, right)
+    bins = np.rint(s * 10**similarity.DIGITS).astype(np.int64)
+    values, counts = np.unique(bins[~part], return_counts=True)
+    n, m = len(values), int(part.sum())
+    return pa.table(
+        {
+            "a": pa.array([None] * n + a[part].tolist(), pa.int64()), "b": pa.array([None] * n + b[part].tolist(), pa.int64()),
+            "bin": np.concatenate([values, bins[part]]), "n": np.concatenate([counts, np.ones(m)]).astype(np.int64),
+        },
+        schema=_COUNT_SCHEMA,
+    )
+
+
+def _empty(schema):
+    return pa.table({f.name: pa.array([], f.type) for f in schema}, schema=schema)
+
+
+def _tile(key, left, right):
+    if not len(left) or not len(right):
+        return _empty(_DOC_SCHEMA)
+    a, b, lc, rc, s, part = _document_sims(key, left, right)
+    x, y = np.minimum(lc, rc), np.maximum(lc, rc)
     # Pairs with a split document are not final here and go on one by one; all others are summed per cluster pair.
     keys, inv = np.unique(np.stack([x[~part], y[~part]], axis=1), axis=0, return_inverse=True)
     inv, whole = inv.ravel(), s[~part]
@@ -224,12 +287,9 @@ def _tile(key, left, right):
     )
 
 
-def _cluster_sums(labelled, block_rows=1024, group="component"):
-    """(x, y, link, low): mean and lowest document-pair similarity per pair of clusters within each group.
-
-    ``labelled``: (section_id, doc_id, embedding, cluster, component). A group is cut into blocks of whole documents
-    by hash; pairs of blocks of the same group meet in one task, which returns sums per pair of clusters. A document
-    with more sections than a block is split, and the best of its parts is taken per document pair afterwards.
+def _tiles(labelled, kernel, schema, block_rows=1024, group="component"):
+    """``labelled``: (section_id, doc_id, embedding, cluster, component). A group is cut into blocks of whole documents
+    by hash; pairs of blocks of the same group meet in one task. A document with more sections than a block is split.
     """
     sizes = labelled.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     parts = labelled.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_parts"))
@@ -241,9 +301,15 @@ def _cluster_sums(labelled, block_rows=1024, group="component"):
     cols = ["doc_id", "embedding", "cluster", "split"]
     a = a.select(F.col(group).alias("g"), F.col("own").alias("lb"), F.col("other").alias("rb"), *cols)
     b = b.select(F.col(group).alias("g"), F.col("other").alias("lb"), F.col("own").alias("rb"), *[F.col(c).alias(c) for c in cols])
-    tiles = a.groupBy("g", "lb", "rb").cogroup(b.groupBy("g", "lb", "rb")).applyInArrow(
-        _tile, "x long, y long, a long, b long, total double, pairs long, low double"
-    )
+    return a.groupBy("g", "lb", "rb").cogroup(b.groupBy("g", "lb", "rb")).applyInArrow(kernel, schema)
+
+
+def _cluster_sums(labelled, block_rows=1024):
+    """(x, y, link, low): mean and lowest document-pair similarity per pair of clusters within each component.
+
+    A task returns sums per pair of clusters; of a split document the best of its parts is taken per document pair afterwards.
+    """
+    tiles = _tiles(labelled, _tile, "x long, y long, a long, b long, total double, pairs long, low double", block_rows)
     # Rows without documents are distinguished by nothing but their cluster pair and are simply added up here.
     once = tiles.groupBy("x", "y", "a", "b").agg(
         F.when(F.col("a").isNull(), F.sum("total")).otherwise(F.max("low")).alias("total"),
@@ -299,8 +365,6 @@ def remove_common(vectors: DataFrame, key: str) -> DataFrame:
     v = vectors.select(key, array_to_vector("vec").alias("features"))
     model = PCA(k=1, inputCol="features", outputCol="pc").fit(v)
     axis = [float(x) for x in model.pc.toArray()[:, 0]]  # one direction, as long as a vector
-    from pyspark.ml.stat import Summarizer
-
     mean = vector_to_array(Summarizer.mean(F.col("features")))
     centre = v.agg(mean.alias("m")).withColumn("_one", F.lit(1))
     d = F.array(*[F.lit(x) for x in axis])

@@ -290,7 +290,11 @@ def pair_bins(df: DataFrame, digits: int = DIGITS, **opts) -> DataFrame:
 
 def pair_percentiles(df: DataFrame, percents=(50, 90, 95, 99, 99.9), **opts) -> DataFrame:
     """(pct, sim): linearly interpolated percentiles over all unordered pairs."""
-    bins = pair_bins(df, **opts)
+    return percentiles_of(pair_bins(df, **opts), percents)
+
+
+def percentiles_of(bins: DataFrame, percents) -> DataFrame:
+    """(pct, sim): linearly interpolated percentiles of values that occur ``n`` times each."""
     points = F.array(*[F.struct(F.lit(float(p)).alias("pct"), F.lit(i).alias("i")) for i, p in enumerate(percents)])
     ps = F.percentile("sim", [float(p) / 100.0 for p in percents], F.col("n"))
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +31,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut_lineage``, for loops that join their own results: a checkpoint keeps the estimated size of its plan, and
+    products of such estimates grow to numbers of so many digits that planning takes longer than the work."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def global_rank(df: DataFrame, *order, name: str = "position") -> DataFrame:
     """0-based position of every row in the total order, without a one-task sort.
 

@@ -231,6 +231,35 @@ def test_linkages_match_one_merge_at_a_time(spark, block_rows):
     assert {r["doc_id"]: r["cluster"] for r in full.collect()} == linkage(doc_sim, 0.55, "complete")
 
 
+def test_linkage_of_sections_matches_one_merge_at_a_time(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 8))
+    v = np.concatenate([c + 0.4 * rng.normal(size=(9, 8)) for c in centres])
+    docs = np.r_[np.repeat(np.arange(18), 2), np.full(9, 3), np.arange(9) + 40]  # one document holds a whole group
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = u @ u.T
+    sim[docs[:, None] == docs[None, :]] = 0.0
+    rows = [(i, int(docs[i]), [float(x) for x in v[i]]) for i in range(len(v))]
+    s = spark.createDataFrame(rows, "section_id long, doc_id long, embedding array<double>")
+    for th in (0.5,):
+        got = {r.section_id: r.cluster for r in C.average_linkage_of_sections(s, th).collect()}
+        assert got == linkage(sim, th, "average") and 1 < len(set(got.values())) < len(v)
+    assert {r.doc_id for r in C.average_linkage_of_sections(s, 0.7).where("section_id = 40").collect()} == {3}
+
+
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_percentiles_of_document_pairs(spark, block_rows):
+    v = np.random.default_rng(8).normal(size=(70, 6))
+    v[20:40] = v[3]
+    docs = np.r_[np.repeat(np.arange(25), 2), np.full(20, 30)]  # one document of many sections
+    sim, ids = cosines(v), np.unique(docs)
+    best = [sim[np.ix_(docs == a, docs == b)].max() for i, a in enumerate(ids) for b in ids[i + 1 :]]
+    rows = [(i, int(docs[i]), [float(x) for x in v[i]]) for i in range(len(v))]
+    s = spark.createDataFrame(rows, "section_id long, doc_id long, embedding array<double>")
+    for r in C.pair_percentiles(s, (10.0, 50.0, 99.0), block_rows=block_rows).collect():
+        assert r.sim == pytest.approx(np.percentile(best, r.pct), abs=2e-6)
+
+
 def test_lowest_similarity_with_a_split_document(spark):
     rng = np.random.default_rng(21)
     docs = np.array([0] * 30 + [1] * 3 + [2] * 20 + [3, 4, 5])  # two documents larger than a block
