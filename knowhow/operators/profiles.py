@@ -56,11 +56,15 @@ def document_notes(documents: DataFrame, bodies: DataFrame, authors: DataFrame,
 
 
 def own_notes(memos: DataFrame, limit: int = K.MEMO_CHARS, mark: str = "。") -> DataFrame:
-    """Self-written items (emp_id, memo_kind, body, updated_at) in the shape of notes."""
+    """Self-written items (emp_id, memo_kind, body, updated_at, optionally created_at) in the shape of notes.
+
+    An item that was never changed has the day it was made.
+    """
     null = F.lit(None).cast("string")
+    dates = [F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in ("updated_at", "created_at") if c in memos.columns]
     return memos.select(
         "emp_id", F.lit(None).cast("long").alias("doc_id"), F.lit("career").alias("kind"),
-        F.coalesce("memo_kind", F.lit("self")).alias("label"), F.substring(F.col("updated_at").cast("string"), 1, 10).alias("note_date"),
+        F.coalesce("memo_kind", F.lit("self")).alias("label"), F.substring(F.coalesce(*dates), 1, 10).alias("note_date"),
         null.alias("role"), null.alias("title"), T.clip("body", limit, mark).alias("body"), F.lit("").alias("tags"),
     )
 

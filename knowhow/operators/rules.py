@@ -225,6 +225,12 @@ def section_completeness(documents: DataFrame, sections: DataFrame, key: str) ->
     )
 
 
+def is_skipped_file(name="file_name") -> Column:
+    """Temporary copies and files of another kind take no part in a batch."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(name.startswith("~$") | ~F.lower(name).endswith(".docx"), F.lit(True))
+
+
 def batch_codes(batch: DataFrame, existing: DataFrame, key: str, code: str = "doc_code") -> DataFrame:
     """A code used by several files stops all of them; a code already stored is noted as an overwrite."""
     n = batch.groupBy(code).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(code)
@@ -233,6 +239,23 @@ def batch_codes(batch: DataFrame, existing: DataFrame, key: str, code: str = "do
     return union(twice, over)
 
 
+def batch_issues(documents: DataFrame, authors: DataFrame, sections: DataFrame, employees: DataFrame, departments: DataFrame,
+                 existing: DataFrame, allowed: dict[str, list[str]], key: str = "file_id") -> DataFrame:
+    """Every rule that looks at a batch of files, over the files that are not skipped."""
+    files = documents.where(~is_skipped_file())
+    authors, sections = (df.join(files.select(key), key, "left_semi") for df in (authors, sections))
+    dated = files.withColumn("submitted_at", F.coalesce(iso_date("submitted_at"), "submitted_at"))
+    return union(
+        required_columns(files, key, REQUIRED), code_pattern(files, key), value_pattern(authors, key, "emp_no", EMP_NO_PATTERN),
+        orphans(files, key, "owner_dept", departments, "dept_code"), date_form(dated, key, ["submitted_at"]),
+        allowed_values(files, key, allowed),
+        max_length(files, key, {"title": K.MAX_TITLE, "source_file": K.MAX_SOURCE_FILE, "result_reason": K.MAX_REASON}),
+        cross_field(files, key), author_rules(authors, files, employees, departments, key), repeated_person(authors, key),
+        role_counts(files, authors, key), section_rules(sections, files, key), section_completeness(files, sections, key),
+        batch_codes(files, existing, key),
+    )
+
+
 def note_consistency(notes: DataFrame, key: str = "note_id") -> DataFrame:
     """No document exactly for self-written notes; a model exactly for summaries; an item kind exactly for own notes."""
     own = F.col("body_source") == "self"
@@ -272,7 +295,7 @@ def verdicts(files: DataFrame, issues: DataFrame, key: str = "file_id", name: st
         F.max(F.col("severity") == "problem").alias("problem"), F.max(F.col("severity") == "note").alias("note")
     )
     f = files.withColumn("_k", F.col(key).cast("string")).join(worst, "_k", "left")
-    skipped = F.col(name).startswith("~$") | ~F.lower(name).endswith(".docx")
+    skipped = is_skipped_file(name)
     verdict = (
         F.when(skipped, "skipped").when(F.col("problem"), "rejected").when(F.col("note"), "loadable with notes")
         .otherwise("loadable")

@@ -8,7 +8,7 @@ from knowhow import constants as K
 from knowhow.functions import derive as D, text as T
 from knowhow.functions.vector import dot
 from knowhow.operators import rules as V
-from knowhow.plans.registry import query, view
+from knowhow.plans.registry import SQL, query, view
 from knowhow.plans.search import GRAMS
 from knowhow.sources import loading as L
 from knowhow.sources.corpus import Incoming
@@ -407,11 +407,14 @@ def _(c):
     return V.section_completeness(i.documents, i.sections, "file_id")
 
 
+view("v_files", r"SELECT * FROM in_documents WHERE regexp_matches(file_name, '^[^~].*[.][dD][oO][cC][xX]$')")
+
+
 @query("V17_codes_in_batch", issue_sql("""
-SELECT file_id, 'problem', 'code in several files', doc_code FROM in_documents WHERE doc_code IN (SELECT doc_code FROM in_documents GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT file_id, 'note', 'overwrite', doc_code FROM in_documents WHERE doc_code IN (SELECT doc_code FROM v_stored)"""))
+SELECT file_id, 'problem', 'code in several files', doc_code FROM v_files WHERE doc_code IN (SELECT doc_code FROM v_files GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT file_id, 'note', 'overwrite', doc_code FROM v_files WHERE doc_code IN (SELECT doc_code FROM v_stored)"""))
 def _(c):
-    return V.batch_codes(Incoming(c).documents, stored_codes(c), "file_id")
+    return V.batch_codes(Incoming(c).documents.where(~V.is_skipped_file()), stored_codes(c), "file_id")
 
 
 view("v_stored", "SELECT DISTINCT concat(split_part(doc_code, '-', 1), '-2026-', split_part(doc_code, '-', 3)) AS doc_code FROM fx_documents WHERE doc_type = 'project'")
@@ -471,22 +474,33 @@ def _(c):
     return V.note_consistency(turn_notes(c))
 
 
-@query("V20_batch_verdicts", """
-WITH problem AS (
-  SELECT file_id FROM in_documents WHERE result = 'in_review' AND decided_at IS NOT NULL OR pj_status IN ('done', 'cancelled') AND ended_at IS NULL OR pj_status IN ('planned', 'running') AND ended_at IS NOT NULL
-  UNION SELECT file_id FROM in_documents WHERE length(trim(title)) > 200
-  UNION SELECT file_id FROM in_documents WHERE doc_code IN (SELECT doc_code FROM in_documents GROUP BY 1 HAVING count(*) > 1)),
-note AS (SELECT file_id FROM in_documents WHERE doc_code IN (SELECT doc_code FROM v_stored))
-SELECT verdict, count(*) AS files FROM (SELECT CASE WHEN starts_with(file_name, '~$') OR NOT lower(file_name) LIKE '%.docx' THEN 'skipped'
-  WHEN file_id IN (SELECT file_id FROM problem) THEN 'rejected' WHEN file_id IN (SELECT file_id FROM note) THEN 'loadable with notes' ELSE 'loadable' END AS verdict
-  FROM in_documents) GROUP BY verdict""")
-def _(c):
-    d = Incoming(c).documents
-    issues = V.union(
-        V.cross_field(d, "file_id"), V.max_length(d, "file_id", {"title": K.MAX_TITLE}),
-        V.batch_codes(d, stored_codes(c), "file_id"),
-    )
-    return V.verdicts(d, issues).groupBy("verdict").agg(F.count(F.lit(1)).alias("files"))
+# What the rules' own statements find in the batch; a file that is skipped takes no part in V17.
+view("v_batch_issues", " UNION ALL ".join(
+    f"SELECT row_key, severity FROM ({SQL[name]}) q{i}" for i, name in enumerate([
+        "V1_required_columns", "V6_code_form", "V8_allowed_values", "V9_length_limits", "V10_cross_field", "V12_author_rules",
+        "V13_person_twice", "V14_role_counts", "V15_section_rules", "V16_section_completeness", "V17_codes_in_batch",
+    ])) + """ UNION ALL SELECT CAST(file_id AS VARCHAR), 'problem' FROM in_documents WHERE owner_dept NOT IN (SELECT dept_code FROM fx_departments)
+UNION ALL SELECT CAST(file_id AS VARCHAR), 'problem' FROM in_documents WHERE NOT regexp_full_match(submitted_at, '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日')""")
+BATCH_VERDICTS = """
+WITH w AS (SELECT row_key, bool_or(severity = 'problem') AS problem FROM v_batch_issues GROUP BY 1)
+SELECT f.file_id, CASE WHEN v.file_id IS NULL THEN 'skipped' WHEN w.problem THEN 'rejected' WHEN w.row_key IS NOT NULL THEN 'loadable with notes' ELSE 'loadable' END AS verdict
+FROM in_documents f LEFT JOIN v_files v USING (file_id) LEFT JOIN w ON w.row_key = CAST(f.file_id AS VARCHAR)"""
+
+
+def batch_verdicts(c):
+    i = Incoming(c)
+    issues = V.batch_issues(i.documents, i.authors, i.sections, c.employees, c.departments, stored_codes(c), ALLOWED)
+    return V.verdicts(i.documents, issues)
+
+
+@query("V20_batch_verdicts", f"SELECT verdict, count(*) AS files FROM ({BATCH_VERDICTS}) GROUP BY verdict")
+def _(c):
+    return batch_verdicts(c).groupBy("verdict").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("V20_file_verdicts", BATCH_VERDICTS)
+def _(c):
+    return batch_verdicts(c).select("file_id", "verdict")
 
 
 @query("V21_single_embedding_model", "SELECT count(DISTINCT lang) AS models, min(lang) AS model, count(DISTINCT lang) = 1 AND min(lang) = 'en' AS consistent FROM documents")

@@ -57,14 +57,16 @@ def _(c):
 
 
 view("v_memos", """
-SELECT e.emp_id, memo_kind, trim(body) AS body, updated_at FROM (UNPIVOT (SELECT emp_no, updated_at, current_job, future_wish, effort FROM fx_career) ON current_job, future_wish, effort INTO NAME memo_kind VALUE body) m
+SELECT e.emp_id, memo_kind, trim(body) AS body, CASE WHEN memo_kind <> 'effort' THEN updated_at END AS updated_at, '2025-11-03 09:30:00' AS created_at FROM (UNPIVOT (SELECT emp_no, updated_at, current_job, future_wish, effort FROM fx_career) ON current_job, future_wish, effort INTO NAME memo_kind VALUE body) m
 JOIN fx_employees e USING (emp_no) WHERE trim(body) <> ''""")
-view("v_own_notes", "SELECT emp_id, CAST(NULL AS BIGINT) AS doc_id, 'career' AS kind, memo_kind AS label, updated_at AS note_date, NULL AS role, NULL AS title, " + CLIP.format(t="t", n="1000") + """ AS body, '' AS tags
+view("v_own_notes", "SELECT emp_id, CAST(NULL AS BIGINT) AS doc_id, 'career' AS kind, memo_kind AS label, coalesce(updated_at, left(created_at, 10)) AS note_date, NULL AS role, NULL AS title, " + CLIP.format(t="t", n="1000") + """ AS body, '' AS tags
 FROM (SELECT *, """ + squashed("body") + " AS t FROM v_memos)")
 
 
 def memos(c):
     m = L.unpivot_items(c.career_sheets, ["emp_no", "updated_at"], CAREER_ITEMS)
+    # Efforts were never changed since they were written.
+    m = m.withColumn("updated_at", F.when(F.col("memo_kind") != "effort", F.col("updated_at"))).withColumn("created_at", F.lit("2025-11-03 09:30:00"))
     return m.join(c.employees.select("emp_id", "emp_no"), "emp_no")
 
 
