@@ -69,6 +69,12 @@ def test_codes_in_one_batch_all_stop(spark):
     assert {(k, s) for k, s, _ in issues(V.batch_codes(batch, stored, "f"))} == {("f1", "problem"), ("f2", "problem"), ("f3", "note")}
 
 
+def test_skipped_files_are_told_by_name(spark):
+    names = ["a.docx", "B.DOCX", "~$a.docx", "a.xlsx", "docx", "", None]
+    df = spark.createDataFrame(list(enumerate(names)), "f long, file_name string")
+    assert {r.f for r in df.where(V.is_skipped_file()).collect()} == {2, 3, 4, 5, 6}
+
+
 def test_section_and_role_rules(spark):
     docs = spark.createDataFrame([(1, "proposal", None), (2, "project", "done")], "d long, doc_type string, pj_status string")
     secs = spark.createDataFrame(
