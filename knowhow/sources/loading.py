@@ -191,13 +191,17 @@ def _character(number: Column) -> Column:
     return F.decode(code, "UTF-32")
 
 
-def decoded_entities(text: Column) -> Column:
-    """Character references replaced, each once: numbers, and the named ones of HTML 4. Others stay as they are."""
+def decoded_entities(text: Column, closed: bool = False) -> Column:
+    """Character references replaced, each once: numbers, and the named ones of HTML 4. Others stay as they are.
+
+    With ``closed`` a reference counts only with its semicolon.
+    """
+    reference = "^(#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,8}|[A-Za-z0-9]+);" + ("" if closed else "?")
     names = F.create_map(*[x for n, c in sorted(name2codepoint.items()) for x in (F.lit(n), F.lit(chr(c)))])
 
     def one(piece):
-        name = F.regexp_extract(piece, "^(#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,8}|[A-Za-z0-9]+);?", 1)
-        tail = F.regexp_replace(piece, "^(?:#[xX][0-9a-fA-F]{1,8}|#[0-9]{1,8}|[A-Za-z0-9]+);?", "")
+        name = F.regexp_extract(piece, reference, 1)
+        tail = F.regexp_replace(piece, reference, "")
         hexa = F.conv(F.regexp_extract(name, "^#[xX](.*)$", 1), 16, 10).cast("long")
         number = F.regexp_extract(name, "^#([0-9]+)$", 1).try_cast("long")
         known = F.when(name.rlike("^#[xX]"), _character(hexa)).when(name.startswith("#"), _character(number)).otherwise(F.try_element_at(names, name))
@@ -215,12 +219,13 @@ def _squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
-def split_sections(docs: DataFrame, key: str, html: str) -> DataFrame:
+def split_sections(docs: DataFrame, key: str, html: str, closed: bool = False) -> DataFrame:
     """(key, section_no, section_name, body): level-1 headings with all text below them, up to the next.
 
     Text before the first heading is ignored. Ends of blocks (paragraphs, list items, table rows, line breaks) and
     line breaks in pre become line breaks, cells of a row are parted by " | ", other tags fall away, entities are decoded,
     white space is squeezed, empty lines, comments, scripts and styles are left out. A null page has no sections.
+    As in browsers, an entity may lack its semicolon, unless ``closed``: then a text cut inside one keeps the rest of it.
     """
     seen = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<!(?!--)[^>]*>", "")
     pieces = F.split(seen, r"(?i)(?=<pre\b)|(?<=</pre>)")
@@ -231,10 +236,10 @@ def split_sections(docs: DataFrame, key: str, html: str) -> DataFrame:
     end = F.regexp_instr("part", F.lit(rf"(?i)</h1(?![a-z0-9]){ATTRIBUTES}|<(?:{'|'.join(BLOCKS)})(?![a-z0-9]){ATTRIBUTES}"))
     name = F.when(end > 0, F.substring("part", F.lit(1), end - 1)).otherwise(F.col("part"))
     rest = F.when(end > 0, F.substr("part", end)).otherwise(F.lit(""))
-    name = _squeezed(decoded_entities(_without_tags(F.regexp_replace(name, rf"(?i)<br(?![a-z0-9]){ATTRIBUTES}", " "))))
+    name = _squeezed(decoded_entities(_without_tags(F.regexp_replace(name, rf"(?i)<br(?![a-z0-9]){ATTRIBUTES}", " ")), closed))
     rest = F.regexp_replace(rest, rf"(?i)<br(?![a-z0-9]){ATTRIBUTES}|{BLOCK_TAG}", LINE)
     rest = _without_tags(F.regexp_replace(rest, rf"(?i)<t[dh](?![a-z0-9]){ATTRIBUTES}", CELL))
-    lines = F.transform(F.split(decoded_entities(rest), LINE), lambda x: _squeezed(F.replace(F.regexp_replace(x, rf"^[ {CELL}]+", ""), F.lit(CELL), F.lit(" | "))))
+    lines = F.transform(F.split(decoded_entities(rest, closed), LINE), lambda x: _squeezed(F.replace(F.regexp_replace(x, rf"^[ {CELL}]+", ""), F.lit(CELL), F.lit(" | "))))
     body = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     return s.select(key, "section_no", name.alias("section_name"), body.alias("body"))
 

@@ -136,6 +136,12 @@ def test_sections_equal_those_of_a_parser(spark):
     assert not wrong, (wrong[0][1], got.get(wrong[0][0]), sections_of(wrong[0][1]), len(wrong))
 
 
+def test_entities_without_semicolon(spark):
+    df = spark.createDataFrame([(1, "<h1>a&amp;&amp</h1><p>b &lt c &#65; &#66 &eacute;</p>")], "k long, h string")
+    texts = [tuple(L.split_sections(df, "k", "h", closed=c).select("section_name", "body").first()) for c in (False, True)]
+    assert texts == [("a&&", "b < c A B é"), ("a&&amp", "b &lt c A &#66 é")]
+
+
 def test_tables_of_figures_are_dropped(spark):
     df = spark.createDataFrame([(1, "a | 12件\n3 | 4%"), (2, "name | plan\ntext | 5")], "k long, t string")
     got = {r["k"]: r["sentences"] for r in L.wordy_tables(df, "k", "t").collect()}
