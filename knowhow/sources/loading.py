@@ -253,11 +253,15 @@ def wordy_tables(docs: DataFrame, key: str, text: str, separator: str = " | ") -
 
     Also returns how many cells and figures there are; ``sentences`` is null for dropped tables.
     """
+    def cells_of(line):
+        # A bare F.trim would get the place of the cell as the characters to trim.
+        return F.transform(F.split(line, r" \| "), lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+$", ""))
+
     lines = F.filter(F.split(F.col(text), "\n"), lambda l: F.instr(l, separator) > 0)
     t = docs.select(key, lines.alias("lines")).where(F.size("lines") > 0)
-    cells = F.flatten(F.transform("lines", lambda l: F.transform(F.split(l, r" \| "), F.trim)))
+    cells = F.flatten(F.transform("lines", cells_of))
     t = t.withColumn("cells", cells).withColumn("n_cells", F.size("cells").cast("long"))
     t = t.withColumn("n_numeric", F.size(F.filter("cells", lambda c: F.rlike(c, F.lit(NUMERIC_CELL)))).cast("long"))
     keep = F.col("n_numeric") / F.col("n_cells") < 0.5
-    rows = F.transform("lines", lambda l: F.array_join(F.transform(F.split(l, r" \| "), F.trim), "："))
+    rows = F.transform("lines", lambda l: F.array_join(cells_of(l), "："))
     return t.select(key, "n_cells", "n_numeric", F.when(keep, F.array_join(rows, "\n")).alias("sentences"))

@@ -148,6 +148,12 @@ def test_tables_of_figures_are_dropped(spark):
     assert got == {1: None, 2: "name：plan\ntext：5"}
 
 
+def test_cells_keep_digits_that_are_their_place(spark):
+    df = spark.createDataFrame([(1, "0 zero | 161.17 |  12\u3000 | 3 three\nname | plan")], "k long, t string")
+    r = L.wordy_tables(df, "k", "t").first()
+    assert (r["n_cells"], r["n_numeric"], r["sentences"]) == (6, 2, "0 zero：161.17：12：3 three\nname：plan")
+
+
 def test_registration_merge(spark):
     def df(rows, schema):
         return spark.createDataFrame(rows, schema)
