@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from knowhow.operators import clusters as C, fulltext, inverted, similarity as S
 
@@ -328,3 +329,18 @@ def test_self_joins_of_one_direction_and_of_nothing(spark):
     assert S.pairs_above(zero, 0.0, block_rows=20).count() == 50 * 49 // 2 and S.pairs_above(zero, 0.1, block_rows=20).count() == 0
     empty = same.where("id < 0")
     assert S.pairs_above(empty, 0.5).count() == 0 and S.self_top_k(empty, 3).count() == 0
+
+
+def test_links_connect_what_the_pairs_connect(spark):
+    v = np.random.default_rng(5).normal(size=(300, 8))
+    df = frame(spark, v)
+    pairs = C.connected_components(S.pairs_above(df, 0.75, block_rows=40).select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    links = S.links_above(df, 0.75, block_rows=40).cache()
+    stars = C.connected_components(links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, stars.collect())) != []
+
+
+def test_blocks_are_not_copied_per_pair(spark):
+    df = frame(spark, np.random.default_rng(6).normal(size=(400, 8)))
+    stored = S._self_tiles(df, 400, "pairs", threshold=0.2, block_rows=20).blocks
+    assert stored.count() >= 20 and stored.select(F.count_distinct("_own")).first()[0] == stored.count()
