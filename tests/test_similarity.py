@@ -344,3 +344,15 @@ def test_blocks_are_not_copied_per_pair(spark):
     df = frame(spark, np.random.default_rng(6).normal(size=(400, 8)))
     stored = S._self_tiles(df, 400, "pairs", threshold=0.2, block_rows=20).blocks
     assert stored.count() >= 20 and stored.select(F.count_distinct("_own")).first()[0] == stored.count()
+
+
+def test_lowest_similarity_of_a_tile_is_one_row():
+    import pyarrow as pa
+
+    def table(docs, vecs, split):
+        return pa.table({"doc_id": docs, "embedding": vecs, "cluster": [7] * len(docs), "split": split})
+
+    whole = table([1, 1, 2, 3], [[1.0, 0.0], [0.0, 1.0], [0.0, 1.0], [1.0, 1.0]], [False] * 4)
+    assert C._low_tile((0, 0), whole, whole).to_pylist() == [{"cluster": 7, "a": None, "b": None, "low": 0.707107}]
+    parts = C._low_tile((0, 1), whole, table([9], [[1.0, 0.0]], [True])).to_pylist()
+    assert [(r["a"], r["b"], r["low"]) for r in parts] == [(1, 9, 1.0), (2, 9, 0.0), (3, 9, 0.707107)]
