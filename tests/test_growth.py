@@ -42,3 +42,18 @@ def test_sums_do_not_depend_on_the_step(spark):
         ids, words, found = term_tiles._sums(terms, people, step)
         got = {(ids[e], words[int(t)].as_py()): v for part in found for e, t, v in zip(*part, strict=True)}
         assert got == {(e, t): v for e, ts in raw.items() for t, v in ts.items()}
+
+
+def test_leading_terms_over_parts_and_groups(spark):
+    rows, authors, raw = _texts(7)
+    out = term_tiles.leading_terms(
+        spark.createDataFrame(rows, "doc_id long, term string, n long"), spark.createDataFrame(authors, "doc_id long, emp_id long"), 5, block_rows=40).collect()
+    got = defaultdict(dict)
+    for r in out:
+        assert raw[r.emp_id][r.term] == r.n and r.term not in got[r.emp_id]
+        got[r.emp_id][r.term] = r.n
+    assert set(got) == set(raw)
+    for e, terms in raw.items():
+        first = lambda ts: sorted(ts.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert first(got[e]) == first(terms)
+    assert len(out) < sum(map(len, raw.values()))
