@@ -5,7 +5,7 @@ from math import isclose, sqrt
 
 import numpy as np
 
-from knowhow.operators import term_tiles
+from knowhow.operators import network, people, term_tiles
 
 
 def _texts(seed=3, docs=60, people=25):
@@ -57,3 +57,37 @@ def test_leading_terms_over_parts_and_groups(spark):
         first = lambda ts: sorted(ts.items(), key=lambda x: (-x[1], x[0]))[:5]
         assert first(got[e]) == first(terms)
     assert len(out) < sum(map(len, raw.values()))
+
+
+def _small_network(spark):
+    rows, authors, _ = _texts(11)
+    rng = np.random.default_rng(1)
+    ids = sorted({e for _, e in authors})
+    frame = spark.createDataFrame
+    return dict(
+        egos=frame([(e,) for e in ids[:6]], "emp_id long"), people=frame([(e, e % 3) for e in ids], "emp_id long, dept_id long"),
+        profiles=frame([(e, rng.normal(size=4).tolist()) for e in ids[1:]], "emp_id long, vec array<double>"),
+        theme=frame([(e, f"k{k}", float(rng.random())) for e in ids for k in range(4)], "emp_id long, term string, weight double"),
+        words=frame(rows, "doc_id long, term string, n long").repartition("doc_id"), n_docs=frame([(70,)], "n_docs long"),
+        departments=frame([(d, f"D{d}", f"site{d % 2} func{d}課", "plant") for d in range(3)], "dept_id long, dept_code string, dept_name string, dept_type string"),
+        authors=frame(authors, "doc_id long, emp_id long"))
+
+
+def test_egos_with_many_terms_stay_on_the_short_way(spark, monkeypatch):
+    x = _small_network(spark)
+    x["lengths"] = term_tiles.person_totals(x["words"], x["authors"], n_docs=70).select("emp_id", "length")
+    weights = people.document_weights(x["words"], x["n_docs"])
+    want = {(r.emp_id, r.other_id): r.sim for r in people.text_closeness(x["egos"], weights, x["authors"]).collect()}
+
+    def close():
+        got = network.text_closeness(x["egos"], x["words"], x["n_docs"], x["authors"], x["lengths"]).collect()
+        return {(r.emp_id, r.other_id): r.sim for r in got}
+
+    whole, near = close(), network.Network.of(**x).nearest(top_n=3).orderBy("emp_id", "position").collect()
+    monkeypatch.setattr(network, "TERM_ROWS", 20)
+    monkeypatch.setattr(network, "DENSE_TERMS", 0)
+    monkeypatch.setattr(people, "_match", None)  # the pair-wise way
+    for got in (whole, close()):
+        assert set(got) == set(want) and all(isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    again = network.Network.of(**x).nearest(top_n=3).orderBy("emp_id", "position").collect()
+    assert [(r.emp_id, r.other_id, r.score) for r in again] == [(r.emp_id, r.other_id, r.score) for r in near] and len(near) == 18
