@@ -5,7 +5,7 @@ from math import isclose, sqrt
 
 import numpy as np
 
-from knowhow.operators import network, people, term_tiles
+from knowhow.operators import fulltext, inverted, network, people, term_tiles
 
 
 def _texts(seed=3, docs=60, people=25):
@@ -91,3 +91,16 @@ def test_egos_with_many_terms_stay_on_the_short_way(spark, monkeypatch):
         assert set(got) == set(want) and all(isclose(got[k], want[k], rel_tol=1e-9) for k in want)
     again = network.Network.of(**x).nearest(top_n=3).orderBy("emp_id", "position").collect()
     assert [(r.emp_id, r.other_id, r.score) for r in again] == [(r.emp_id, r.other_id, r.score) for r in near] and len(near) == 18
+
+
+def test_best_sections_without_a_row_per_posting_and_query(spark, monkeypatch):
+    rows = [(i, i // 4, f"alpha beta beta word{i % 7} word{i % 3} rare{i}") for i in range(300)]
+    index = inverted.postings(spark.createDataFrame(rows, "section_id long, doc_id long, body string")).cache()
+    asked = [(q, t) for q in range(30) for t in ("alpha", "beta", f"word{q % 7}", f"rare{q}", "nowhere")] + [(40, "nowhere"), (41, "rare299")]
+    asked = spark.createDataFrame(asked, "query_id long, term string")
+    want = sorted(map(tuple, fulltext.ranked(inverted.search(index, asked), 9).collect()))
+    monkeypatch.setattr(inverted, "search", None)
+    for cells in (1 << 22, 0):
+        monkeypatch.setattr(network, "DENSE_CELLS", cells)
+        assert sorted(map(tuple, inverted.best(index, asked, 9).collect())) == want
+    assert {r[0] for r in want} == set(range(30)) | {41}
