@@ -5,7 +5,7 @@ from math import isclose, sqrt
 
 import numpy as np
 
-from knowhow.operators import fulltext, inverted, network, people, term_tiles
+from knowhow.operators import fulltext, inverted, network, people, term_tiles, themes
 
 
 def _texts(seed=3, docs=60, people=25):
@@ -104,3 +104,29 @@ def test_best_sections_without_a_row_per_posting_and_query(spark, monkeypatch):
         monkeypatch.setattr(network, "DENSE_CELLS", cells)
         assert sorted(map(tuple, inverted.best(index, asked, 9).collect())) == want
     assert {r[0] for r in want} == set(range(30)) | {41}
+
+
+def test_nearness_forms_its_pairs_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(d, rng.normal(size=4).tolist()) for d in range(40)], "doc_id long, vec array<double>")
+    authors = spark.createDataFrame([(d, d % 7) for d in range(900)], "doc_id long, emp_id long")
+    runs, joined = spark.sparkContext.accumulator(0), []
+    top = themes.similarity.self_top_k
+
+    def counted(rows, k, **opts):
+        joined.append(rows)
+
+        def count(batches):
+            runs.add(1)
+            yield from batches
+
+        out = top(rows, k, **opts).coalesce(1)
+        return out.mapInArrow(count, out.schema)
+
+    monkeypatch.setattr(themes.similarity, "self_top_k", counted)
+    near = themes.nearness(docs, authors)
+    unique = themes.uniqueness(near).collect()
+    assert runs.value == 1 and len(unique) == 40 and joined[0].count() == 40
+    for limit in (10, 1000):
+        monkeypatch.setattr(themes, "SENT_IDS", limit)
+        assert {r.id: r.grp for r in themes._with_authors(docs, authors).collect()} == {d: [d % 7] for d in range(40)}
