@@ -5,7 +5,7 @@ from math import isclose, sqrt
 
 import numpy as np
 
-from knowhow.operators import fulltext, inverted, network, people, term_tiles, themes
+from knowhow.operators import fulltext, inverted, network, people, similarity, term_tiles, themes
 
 
 def _texts(seed=3, docs=60, people=25):
@@ -130,3 +130,14 @@ def test_nearness_forms_its_pairs_once(spark, monkeypatch):
     for limit in (10, 1000):
         monkeypatch.setattr(themes, "SENT_IDS", limit)
         assert {r.id: r.grp for r in themes._with_authors(docs, authors).collect()} == {d: [d % 7] for d in range(40)}
+
+
+def test_best_of_groups_sends_one_score_a_group(spark):
+    rng = np.random.default_rng(4)
+    left = spark.createDataFrame([(q, rng.normal(size=5).tolist()) for q in range(4)], "id long, vec array<double>")
+    right = spark.createDataFrame([(i, i % 30, rng.normal(size=5).tolist()) for i in range(300)], "id long, grp long, vec array<double>")
+    every = similarity.score_all(left, right).join(right.selectExpr("id right_id", "grp"), "right_id").groupBy("left_id", "grp").agg({"sim": "max"})
+    want = sorted(map(tuple, every.collect()))
+    for rows in (4096, 2):
+        assert sorted(map(tuple, similarity.best_of_groups(left, right, block_rows=rows).collect())) == want
+    assert len(want) == 120
