@@ -232,6 +232,24 @@ def test_linkages_match_one_merge_at_a_time(spark, block_rows):
     assert {r["doc_id"]: r["cluster"] for r in full.collect()} == linkage(doc_sim, 0.55, "complete")
 
 
+@pytest.mark.parametrize("at_once", [0, 50])
+def test_average_linkage_forms_the_means_of_merged_clusters_only(spark, monkeypatch, at_once):
+    rng = np.random.default_rng(31)
+    docs = np.r_[np.repeat(np.arange(9), 2), np.full(11, 9), 20, 21, 22]  # one document is larger than a block
+    v = np.repeat(rng.normal(size=(3, 6)), 8, axis=0)
+    v = np.r_[v, v[:5], -10 * np.eye(6)[:3]] + 0.5 * rng.normal(size=(32, 6))
+    sim, ids = cosines(v), np.unique(docs)
+    doc_sim = np.array([[sim[np.ix_(docs == a, docs == b)].max() for b in ids] for a in ids])
+    rows = [(i, int(docs[i]), [float(x) for x in v[i]]) for i in range(len(v))]
+    s = spark.createDataFrame(rows, "section_id long, doc_id long, embedding array<double>")
+    met, sums = [], C._cluster_sums
+    monkeypatch.setattr(C, "_cluster_sums", lambda r, *a: met.append(r.select("doc_id").distinct().count()) or sums(r, *a))
+    got = {r["doc_id"]: r["cluster"] for r in C.average_linkage(s, 0.5, block_rows=7, at_once=at_once).collect()}
+    assert got == {int(ids[a]): int(ids[b]) for a, b in linkage(doc_sim, 0.5, "average").items()}
+    assert 1 < len(set(got.values())) < len(got)
+    assert met[-1] < len(ids) if at_once == 0 else len(met) == 1
+
+
 def test_linkage_of_sections_matches_one_merge_at_a_time(spark):
     rng = np.random.default_rng(12)
     centres = rng.normal(size=(6, 8))
