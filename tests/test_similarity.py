@@ -1,8 +1,10 @@
 import contextlib
 import io
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,31 @@ def test_text_index_after_changes(spark, tmp_path):
     assert len({r.part for r in index.select("part").distinct().collect()}) > 3
 
 
+def test_counts_of_two_blocks_need_no_copies_of_their_product():
+    rng = np.random.default_rng(35)
+
+    def block(first, n):
+        vecs = pa.array(rng.normal(size=(n, 8)).tolist(), pa.list_(pa.float64()))
+        groups = pa.array([[int(g)] for g in rng.integers(0, 40, n)], pa.list_(pa.int64()))
+        return pa.table({"id": np.arange(first, first + n), "vec": vecs, "grp": groups})
+
+    left, right = block(0, 4096), block(5000, 2048)
+    run = S._kernel("bins", None, None, 6, True, False, S._arrow_schema("bins"))
+    tracemalloc.start()
+    found = run((0, 1), left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    units = [np.array(t.column("vec").to_pylist()) for t in (left, right)]
+    units = [u / np.linalg.norm(u, axis=1, keepdims=True) for u in units]
+    groups = [np.array(t.column("grp").to_pylist())[:, 0] for t in (left, right)]
+    sim = (units[0] @ units[1].T)[groups[0][:, None] != groups[1][None, :]]
+    values, n = np.unique(np.rint(np.round(sim, 6) * 10**6).astype(np.int64), return_counts=True)
+    assert found.column("bin").to_pylist() == values.tolist() and found.column("n").to_pylist() == n.tolist()
+    assert peak < 3 * 8 * 4096 * 2048
+    twice = S._sum_of(pa.concat_tables([found, found]))
+    assert twice.column("bin").to_pylist() == values.tolist() and twice.column("n").to_pylist() == (2 * n).tolist()
+
+
 def components(n, edges):
     parent = list(range(n))
 
