@@ -105,6 +105,17 @@ def thinned(docs: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 26) -
     return mine.join(F.broadcast(bitmap), met, "left_semi").drop("__m", "__byte", "__bit")
 
 
+def bitmap(values: DataFrame, bits: int) -> bytes:
+    """One bit per value (of the only column, a long), by its last bits; `bits` is a power of two, the result bits / 8 bytes."""
+    at = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1)) + 1
+    rows = values.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("n")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = bytearray(max(bits // 8, 4096))
+    for r in rows:
+        out[(r["n"] - 1) * 4096 : r["n"] * 4096] = r["bits"]
+    return bytes(out)
+
+
 def with_values(rows: DataFrame, values: DataFrame, key: str, n: str, share: int = 1024) -> DataFrame:
     """rows with the columns of values, which has one row per key (null is a key) and says in `n` how many of rows have it.
 

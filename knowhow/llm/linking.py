@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import saved
-from knowhow.llm.shingles import equal_registers
+from knowhow.llm.common import bitmap, saved
+from knowhow.llm.shingles import equal_registers, mix
 from knowhow.operators.clusters import connected_components
 
 
+#: Bits of the map of buckets with several sets (8 MB). Where it fills up more rows are shuffled, with the same result.
+BITS = 1 << 26
+
+
 @dataclass(frozen=True)
 class Banding:
     """Signature layout and how to read an estimate from it. `percent`: the similarity asked for."""
@@ -42,6 +46,32 @@ def _signatures(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _names(bands: int):
+    def run(batches):
+        for t in batches:
+            band = t.column("band").to_numpy()
+            name = mix(t.column("key").to_numpy().view(np.uint64) ^ mix(np.arange(bands))[band])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64))], ["name"])
+
+    return run
+
+
+def _met(bits):
+    """(id, band, key) of those buckets of each set that the map `bits` has."""
+
+    def run(batches):
+        known = np.frombuffer(bits.value, np.uint8)
+        for t in batches:
+            if not t.num_rows:
+                continue
+            sig = _signatures(t.column("sig"))
+            place = mix(sig.view(np.uint64) ^ mix(np.arange(sig.shape[1]))).view(np.int64) & (BITS - 1)
+            row, band = np.nonzero((known[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+            yield pa.RecordBatch.from_arrays([t.column("id").take(pa.array(row)), pa.array(band, pa.int32()), pa.array(sig[row, band])], ["id", "band", "key"])
+
+    return run
+
+
 def _estimated(banding: Banding):
     def run(batches):
         for t in batches:
@@ -164,7 +194,11 @@ def similar_classes(marks: DataFrame, whole_sets: Callable[[DataFrame], DataFram
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = classes.select("id", F.posexplode("sig").alias("band", "key"))
     buckets = saved(rows.groupBy("band", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
-    # From here on only sets that share a bucket with another take part, and only with those buckets.
+    # From here on only sets that share a bucket with another take part, and only with those buckets. A map of them goes
+    # to all tasks, so that few other rows are shuffled.
+    names = buckets.select("band", "key").mapInArrow(_names(banding.bands), "name long")
+    bits = marks.sparkSession.sparkContext.broadcast(bitmap(names, BITS))
+    rows = classes.select("id", "sig").mapInArrow(_met(bits), "id long, band int, key long")
     members = saved(rows.join(buckets, ["band", "key"]), "members")
     active = saved(classes.select("id", "n", "sig").join(members.select("id").distinct(), "id", "left_semi"), "active")
     # Every member of a large bucket meets the same lowest set, which therefore goes to as many tasks as those need.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from knowhow.llm.common import saved, thinned
 from knowhow.llm.linking import Banding, similar_classes
-from knowhow.llm.shingles import minima, pack, set_names, shingle_sets
+from knowhow.llm.shingles import minima, pack, set_names, word_sets, words_of
 
 ROWS, BITS = 3, 21
 
@@ -27,14 +27,21 @@ def tuned(similarity: float = 0.8, miss: float = 1e-5) -> Banding:
     return Banding(bands=bands, rows=ROWS, bits=BITS, margin=4.5 * deviation, percent=round(100 * similarity))
 
 
-def _paragraphs(texts, least):
-    """(row, number, start, end, words, lower-case bytes) of the paragraphs of at least so many words; start and end in characters."""
+def _paragraphs(texts, least: int, words: int):
+    """((row, number, start, end), words, hashes, bounds) of the paragraphs of at least so many words, in columns; start
+    and end in characters, hashes and bounds as of shingle_sets()."""
+    place, bodies = [], []
     for row, text in enumerate(texts):
         for number, m in enumerate(re.finditer(r"[^\n]+", text or "")):
-            body = m[0].encode("utf-8", "surrogatepass").lower()
-            words = len(body.split())
-            if words >= least:
-                yield row, number, m.start(), m.end(), words, body
+            if m.end() - m.start() >= 2 * least - 1:  # words and what parts them
+                place.append((row, number, m.start(), m.end()))
+                bodies.append(m[0].encode("utf-8", "surrogatepass").lower())
+    word, owner = words_of(bodies)
+    size = np.bincount(owner, minlength=len(bodies))
+    enough = size >= least
+    here = enough[owner]
+    h, bounds = word_sets(word[here], (np.cumsum(enough) - 1)[owner[here]], int(enough.sum()), words)
+    return np.array(place, np.int64).reshape(-1, 4)[enough].T, size[enough], h, bounds
 
 
 def _marks(least: int, words: int, banding: Banding):
@@ -44,16 +51,14 @@ def _marks(least: int, words: int, banding: Banding):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 t = batch.slice(at, 256)
-                found = list(_paragraphs(t.column("text").to_pylist(), least))
-                if not found:
+                (row, number, start, end), size, h, bounds = _paragraphs(t.column("text").to_pylist(), least, words)
+                if not len(row):
                     continue
-                row, number, start, end, size, body = zip(*found, strict=True)
-                h, bounds = shingle_sets(list(body), words)
                 h1, h2 = set_names(h, bounds)
                 sig = pack(minima(h, bounds, buckets) >> np.uint64(64 - BITS), ROWS, BITS)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * banding.bands), pa.array(sig.reshape(-1)))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * banding.bands), pa.array(sig.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("doc_id").take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
+                    [t.column("doc_id").take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start), pa.array(end),
                      pa.array(size, pa.int64()), pa.array(np.diff(bounds)), pa.array(h1), pa.array(h2), flat],
                     ["doc_id", "paragraph", "start", "end", "words", "n", "h1", "h2", "sig"])
 
@@ -64,9 +69,8 @@ def _sets(least: int, words: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                body = [x[-1] for x in _paragraphs(batch.slice(at, 64).column("text").to_pylist(), least)]
-                if body:
-                    h, bounds = shingle_sets(body, words)
+                *_, h, bounds = _paragraphs(batch.slice(at, 64).column("text").to_pylist(), least, words)
+                if len(h):
                     h1, h2 = set_names(h, bounds)
                     flat = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), flat], ["h1", "h2", "shingles"])

@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knowhow.llm.common import deleted, saved, with_values
+from knowhow.llm.common import bitmap, deleted, saved, with_values
 from knowhow.llm.shingles import _powers, mix, words_of
 
 #: Bits of the map of repeated anchors (8 MB). Where it fills up more windows are compared, with the same result.
 BITS = 1 << 26
 
+#: Windows of a slot, and windows of an anchor up to which its segments are compared in one task.
+SLOT, TOGETHER = 50_000, 1 << 16
+
 
 def _rolling(word: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Hash of every k words in a row, read off one running sum."""
@@ -96,7 +99,7 @@ def _segments(length: int, bits, most: int = 1024):
     """Stretches of windows that share a repeated anchor, and few others: one row each, at most `most` windows long.
 
     `segment` hashes all words of the stretch, `windows` each window; `starts`, `ends` and `lines` say where its windows
-    lie, counted from `start` and `paragraph`. `own` is false if two windows of the stretch are equal.
+    lie, counted from `start` and `paragraph`.
     """
 
     def run(batches):
@@ -126,11 +129,6 @@ def _segments(length: int, bits, most: int = 1024):
                 head = np.flatnonzero(since % most == 0)
                 size = np.diff(np.append(head, len(at)))
                 window = _rolling(word, length, 12)[at]
-                by = np.repeat(np.arange(len(head)), size)
-                order = np.lexsort((window, by))
-                twice = (np.diff(window[order]) == 0) & (np.diff(by[order]) == 0)
-                own = np.ones(len(head), bool)
-                own[by[order][1:][twice]] = False
                 bounds = pa.array(np.append(head, len(at)).astype(np.int32))
 
                 def lists(values, kind, bounds=bounds):
@@ -139,24 +137,13 @@ def _segments(length: int, bits, most: int = 1024):
                 t = pa.RecordBatch.from_arrays(
                     [pa.array(least[at[head]].view(np.int64)), pa.array(_spans(word, at[head], at[head] + size + length - 1).view(np.int64)),
                      t.column("doc_id").take(pa.array(text[head])), *(pa.array(v[head]) for v in (name, pos)), pa.array(line[head], pa.int32()), pa.array(start[head]),
-                     pa.array(own), lists(window.view(np.int64), pa.int64()), *(lists(v - np.repeat(w[head], size), pa.int32()) for v, w in ((start, start), (end, start), (line, line)))],
-                    ["anchor", "segment", "doc_id", "name", "pos", "paragraph", "start", "own", "windows", "starts", "ends", "lines"])
+                     lists(window.view(np.int64), pa.int64()), *(lists(v - np.repeat(w[head], size), pa.int32()) for v, w in ((start, start), (end, start), (line, line)))],
+                    ["anchor", "segment", "doc_id", "name", "pos", "paragraph", "start", "windows", "starts", "ends", "lines"])
                 yield from (t.slice(x, 4096) for x in range(0, t.num_rows, 4096))
 
     return run
 
 
-def _bitmap(anchors: DataFrame) -> bytes:
-    """One bit per anchor, by its last bits."""
-    at = F.col("anchor").bitwiseAND(F.lit(BITS - 1)) + 1
-    rows = anchors.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("n")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = bytearray(BITS // 8)
-    for r in rows:
-        out[(r["n"] - 1) * 4096 : r["n"] * 4096] = r["bits"]
-    return bytes(out)
-
-
 def repeated_passages(docs: DataFrame, least_run: int = 51) -> DataFrame:
     """One row per maximal run of repeated words: doc_id, paragraph, start, end, words, keep_doc_id, keep_paragraph,
     occurrences, removed.
@@ -171,19 +158,19 @@ def repeated_passages(docs: DataFrame, least_run: int = 51) -> DataFrame:
 
     Equal windows have the same least half window (their anchor). Anchors are counted first. Neighbouring windows with
     one anchor that occurs twice form a segment, one row; such segments lie alike in equal passages, wherever lines end. Equal
-    segments are one row from here on. Only where segments of one anchor differ, as at a passage's ends, are their
-    windows compared one by one, each with its count. What was found goes back to all places of a segment, and
-    pieces that continue each other become runs. The work is linear in the text also for large groups, and
-    frequent segments and windows are joined without a shuffle by their key.
+    segments are one row from here on. Segments of one anchor are compared in one task, window by window, each with its
+    count; where they are too many for one task, every window is a row. What was found goes back to all places of a
+    segment, and pieces that continue each other become runs. The work is linear in the text also for large groups,
+    and frequent segments and windows are joined without a shuffle by their key.
     """
     texts = docs.select("doc_id", "text")
     spark = docs.sparkSession
     anchors = texts.mapInArrow(_anchors(least_run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bits = spark.sparkContext.broadcast(_bitmap(anchors))
-    layout = "anchor long, segment long, doc_id long, name long, pos long, paragraph int, start long, own boolean, windows array<long>, starts array<int>, ends array<int>, lines array<int>"
+    bits = spark.sparkContext.broadcast(bitmap(anchors.select("anchor"), BITS))
+    layout = "anchor long, segment long, doc_id long, name long, pos long, paragraph int, start long, windows array<long>, starts array<int>, ends array<int>, lines array<int>"
     places = saved(texts.mapInArrow(_segments(least_run, bits), layout).withColumn("key", F.struct("anchor", "segment")).drop("anchor", "segment"), "segments")
-    pieces = _pieces(places.select("key", "own", "windows", "lines", F.struct("doc_id", "pos", "paragraph").alias("place")))
-    met = with_values(places.drop("own", "windows"), pieces, "key", "rows").select("*", F.explode("pieces").alias("p"))
+    pieces = _pieces(places.select("key", "windows", "lines", F.struct("doc_id", "pos", "paragraph").alias("place")))
+    met = with_values(places.drop("windows"), pieces, "key", "rows").select("*", F.explode("pieces").alias("p"))
     first_at, last_at = F.col("p.at") + 1, F.col("p.at") + F.col("p.size")
     met = met.select(
         "doc_id", "name", (F.col("pos") + F.col("p.at")).alias("pos"), (F.col("pos") + last_at).alias("until"),
@@ -202,21 +189,61 @@ def repeated_passages(docs: DataFrame, least_run: int = 51) -> DataFrame:
     return runs.select("doc_id", "paragraph", "start", "end", "words", "keep_doc_id", "keep_paragraph", "occurrences", (~first).alias("removed"))
 
 
+def _compared(t: pa.Table) -> pa.Table:
+    """(key, rows, pieces) as of _pieces(), of all segments of some anchors."""
+    lists = t.column("windows").combine_chunks()
+    size, window = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    head = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(owner)) - head[owner]
+    anchor, rows, pos, paragraph = (t.column(c).to_numpy()[owner] for c in ("anchor", "rows", "pos", "paragraph"))
+    pos, paragraph = pos + at, paragraph + t.column("lines").combine_chunks().flatten().to_numpy()
+    known, doc = (c.to_numpy()[owner] for c in (t.column("doc_id").is_valid(), t.column("doc_id").fill_null(0)))
+    # Equal windows side by side, the first place in front.
+    order = np.lexsort((paragraph, pos, doc, known, window, anchor))
+    new = np.append(True, (np.diff(window[order]) != 0) | (np.diff(anchor[order]) != 0))
+    first, group = order[new], np.cumsum(new) - 1
+    n, front = (np.empty(len(owner), np.int64) for _ in range(2))
+    n[order], front[order] = np.add.reduceat(rows[order], np.flatnonzero(new))[group], first[group]
+    found = np.flatnonzero(n > 1)
+    if not len(found):
+        return PIECES.empty_table()
+    n, front, owner, at = n[found], front[found], owner[found], at[found]
+    known, doc, shift, paragraph = known[front], doc[front], pos[front] - at, paragraph[front]
+    cut = (np.diff(found) != 1) | (np.diff(owner) != 0) | (known[1:] != known[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(shift) != 0)
+    cut = np.flatnonzero(np.append(True, cut))
+    pieces = pa.StructArray.from_arrays(
+        [pa.array(at[cut], pa.int32()), pa.array(np.diff(np.append(cut, len(found))), pa.int32()), pa.array(np.maximum.reduceat(n, cut)),
+         pa.array(doc[cut], mask=~known[cut]), pa.array(shift[cut]), pa.array(np.minimum.reduceat(paragraph, cut), pa.int32())],
+        fields=list(PIECE))
+    head = np.flatnonzero(np.append(True, np.diff(owner[cut]) != 0))
+    some = t.select(["anchor", "segment", "rows"]).take(pa.array(owner[cut][head])).combine_chunks()
+    bounds = pa.array(np.append(head, len(cut)).astype(np.int32))
+    return pa.table([*some.columns, pa.ListArray.from_arrays(bounds, pieces)], names=PIECES.names)
+
+
+PIECE = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("n", pa.int64()), ("keep_doc_id", pa.int64()), ("keep_shift", pa.int64()), ("keep_paragraph", pa.int32())])
+PIECES = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("rows", pa.int64()), ("pieces", pa.list_(PIECE))])
+
+
 def _pieces(places: DataFrame) -> DataFrame:
     """(key, rows, pieces) of the segments with repeated windows: stretches (at, size) whose first places (keep_doc_id,
     keep_shift: position less that of the segment's first window; keep_paragraph) follow each other."""
     kinds = places.groupBy("key").agg(
-        F.min(F.struct("place", "lines")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("own").alias("own"), F.first("windows").alias("windows"))
+        F.min(F.struct("place", "lines")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("windows").alias("windows"))
     kinds = saved(kinds, "segment-kinds")
-    anchors = kinds.groupBy("key.anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_and("own").alias("own"))
-    mixed = saved(anchors.where("kinds > 1 OR NOT own").select("anchor", F.col("kinds").alias("n_kinds")), "mixed-anchors")
-    told = with_values(kinds.withColumn("anchor", F.col("key.anchor")), mixed, "anchor", "n_kinds").drop("anchor")
-    alone = kinds.where("rows > 1 AND own").join(mixed, F.col("key.anchor") == F.col("anchor"), "left_anti")
-    piece = F.struct(
-        F.lit(0).alias("at"), F.size("windows").alias("size"), F.col("rows").alias("n"), F.col("first.place.doc_id").alias("keep_doc_id"),
-        F.col("first.place.pos").alias("keep_shift"), F.col("first.place.paragraph").alias("keep_paragraph"))
-    whole = alone.select("key", "rows", F.array(piece).alias("pieces"))
-
+    anchors = kinds.groupBy("key.anchor").agg(F.count(F.lit(1)).alias("n_kinds"), F.sum(F.size("windows")).alias("n_windows"))
+    anchors = saved(anchors, "anchors")
+    slots = max(1, (anchors.agg(F.sum("n_windows")).first()[0] or 0) // SLOT)
+    # One anchor at most in as many windows as TOGETHER says, so few that all tasks get them.
+    large = F.broadcast(anchors.where(F.col("n_windows") > TOGETHER).select("anchor"))
+    rest = kinds.join(large, F.col("key.anchor") == F.col("anchor"), "left_anti")
+    rest = rest.select("key.anchor", "key.segment", "rows", "first.place.doc_id", "first.place.pos", "first.place.paragraph", "first.lines", "windows")
+    layout = "anchor long, segment long, rows long, pieces array<struct<at: int, size: int, n: long, keep_doc_id: long, keep_shift: long, keep_paragraph: int>>"
+    rest = rest.withColumn("slot", F.pmod(F.xxhash64("anchor"), F.lit(slots))).groupBy("slot").applyInArrow(_compared, layout)
+    rest = rest.select(F.struct("anchor", "segment").alias("key"), "rows", "pieces")
+
+    told = kinds.join(large, F.col("key.anchor") == F.col("anchor"), "left_semi")
     place = F.struct(F.col("first.place.doc_id").alias("doc_id"), (F.col("first.place.pos") + F.col("at")).alias("pos"),
                      (F.col("first.place.paragraph") + F.get(F.col("first.lines"), F.col("at"))).alias("paragraph"))
     single = saved(told.select("key", "rows", "first", F.posexplode("windows").alias("at", "h")).select(
@@ -230,6 +257,6 @@ def _pieces(places: DataFrame) -> DataFrame:
     some = same.groupBy(*stretch, "rows", "run").agg(
         F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("size"), F.max("n").alias("n"), F.min("keep_paragraph").alias("keep_paragraph"))
     parts = some.groupBy("key", "rows").agg(F.collect_list(F.struct("at", "size", "n", "keep_doc_id", "keep_shift", "keep_paragraph")).alias("pieces"))
-    pieces = saved(whole.unionByName(parts), "pieces")
-    deleted(kinds, mixed, single, firsts)
+    pieces = saved(rest.unionByName(parts), "pieces")
+    deleted(kinds, anchors, single, firsts)
     return pieces

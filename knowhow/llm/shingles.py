@@ -65,7 +65,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if held:
             h, start = _word_hashes(b"\n".join(held))
             hashes.append(h)
-            owners.append(np.array(numbers)[np.searchsorted(np.array(offsets), start, "right") - 1])
+            owners.append(np.repeat(np.array(numbers), np.diff(np.append(np.searchsorted(start, np.array(offsets)), len(start)))))
             held.clear(), offsets.clear(), numbers.clear()
             size = 0
 
@@ -88,9 +88,13 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text of fewer than k words has its whole sequence as one shingle, a text without words has none.
     """
+    return word_sets(*words_of(texts), len(texts), k)
+
+
+def word_sets(word: np.ndarray, owner: np.ndarray, texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets(), of texts whose words words_of() has given."""
     with np.errstate(over="ignore"):
-        word, owner = words_of(texts)
-        count = np.bincount(owner, minlength=len(texts)) if len(word) else np.zeros(len(texts), np.int64)
+        count = np.bincount(owner, minlength=texts)
         first = np.concatenate([[0], np.cumsum(count)])
         weight = _random(k, 2) | np.uint64(1)
         n = max(len(word) - k + 1, 0)
@@ -98,18 +102,20 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         for j in range(k):
             run += word[j : j + n] * weight[j]
         whole = owner[:n] == owner[k - 1 : k - 1 + n] if n else np.zeros(0, bool)
-        hashes, owners = [mix(run[whole])], [owner[:n][whole]]
+        size = np.where(count < k, np.minimum(count, 1), count - k + 1)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        o = np.repeat(np.arange(texts), size)
+        h = np.empty(len(o), np.uint64)
+        h[(count >= k)[o]] = mix(run[whole])
         for i in np.flatnonzero((count > 0) & (count < k)):
             w = word[first[i] : first[i + 1]]
-            hashes.append(mix(np.array([(w * weight[: len(w)]).sum() + np.uint64(len(w))], np.uint64)))
-            owners.append(np.array([i]))
-        h, o = np.concatenate(hashes), np.concatenate(owners).astype(np.int64)
-        order = np.lexsort((h, o))
-        h, o = h[order], o[order]
+            h[bounds[i]] = mix(np.array([(w * weight[: len(w)]).sum() + np.uint64(len(w))], np.uint64))[0]
+        # Sorting each set where it lies takes a tenth of the time of sorting all by text and hash.
+        for i in np.flatnonzero(size > 1):
+            h[bounds[i] : bounds[i + 1]].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-        h, o = h[new], o[new]
-    return h, np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(texts)) if len(o) else np.zeros(len(texts), np.int64))]).astype(np.int64)
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(o[new], minlength=texts))]).astype(np.int64)
 
 
 def set_names(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

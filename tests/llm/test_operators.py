@@ -8,6 +8,7 @@ import zlib
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,51 @@ def test_repeated_passages(spark, none, tmp_path):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_windows_are_rows_only_for_large_anchors(spark, monkeypatch):
+    r = random.Random(5)
+    shared = [[f"w{r.randrange(900)}" for _ in range(90)] for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        x, y = r.choices(shared, k=2)
+        texts.append(" ".join([f"n{r.randrange(9000)}" for _ in range(20)] + x[r.randrange(20) :] + ["é"] + y[: 90 - r.randrange(20)]))
+    texts += ["ha " * 130, "tick tock " * 60 + "x", "tick tock " * 60]
+    docs = spark.createDataFrame([(None if i % 9 == 4 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows, found = [], []
+    saved = passages.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        if name == "windows":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "saved", counted)
+    for together, slot in [(passages.TOGETHER, passages.SLOT), (passages.TOGETHER, 40), (60, 40), (0, 40)]:
+        monkeypatch.setattr(passages, "TOGETHER", together)
+        monkeypatch.setattr(passages, "SLOT", slot)
+        found.append(sorted(map(repr, passages.repeated_passages(docs).collect())))
+    assert rows[:2] == [0, 0] and 0 < rows[2] < rows[3]
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) > 60
+
+
+def test_only_members_of_shared_buckets_go_on(spark):
+    from types import SimpleNamespace
+
+    from knowhow.llm import linking
+    from knowhow.llm.common import bitmap
+
+    r = np.random.default_rng(2)
+    sig = r.integers(-(1 << 62), 1 << 62, (500, 16))
+    sig[3], sig[7, 2], sig[9, 2], sig[11, 5] = sig[4], sig[8, 2], sig[8, 2], sig[8, 2]  # the last in another band
+    shared = [(b, int(sig[3, b])) for b in range(16)] + [(2, int(sig[8, 2]))]
+    buckets = spark.createDataFrame(shared, "band int, key long")
+    bits = SimpleNamespace(value=bitmap(buckets.mapInArrow(linking._names(16), "name long"), linking.BITS))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(sig.tolist())], ["id", "sig"])
+    got = {(x["id"], x["band"], x["key"]) for t in linking._met(bits)([rows]) for x in t.to_pylist()}
+    want = {(i, b, int(sig[3, b])) for i in (3, 4) for b in range(16)} | {(i, 2, int(sig[8, 2])) for i in (7, 8, 9)}
+    assert want <= got and len(got - want) < 5
+
+
 @pytest.mark.parametrize("bits", [1 << 26, 64])
 def test_thinned_keeps_what_is_wanted(spark, bits):
     docs = spark.createDataFrame([(i if i else None, str(i)) for i in range(3000)], "doc_id long, text string")
