@@ -141,3 +141,32 @@ def test_best_of_groups_sends_one_score_a_group(spark):
     for rows in (4096, 2):
         assert sorted(map(tuple, similarity.best_of_groups(left, right, block_rows=rows).collect())) == want
     assert len(want) == 120
+
+
+def test_parts_of_terms_lie_few_to_a_file_and_are_packed_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(d, f"word{(d * 7 + t * t) % 500}", 1.0 + t % 3) for d in range(400) for t in range(40)]
+    stored = term_tiles._parts(spark.createDataFrame(rows, "doc_id long, term string, w double").repartition(2), 64)
+    files = stored.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 12 and max(r["count"] for r in files) < 16 and stored.count() == stored.select("part").distinct().count()
+    found = [row for r in stored.collect() for row in term_tiles.blocks.opened(pa_binary(r.rows)).to_pylist()]
+    assert sorted((r["doc_id"], r["term"], r["w"]) for r in found) == sorted(rows)
+    assert stored.selectExpr("sum(length(rows)) n").first().n < 16 * len(rows)
+
+
+def pa_binary(data):
+    import pyarrow as pa
+
+    return pa.scalar(bytes(data), pa.binary())
+
+
+def test_leading_terms_leave_a_task_once_a_person(spark, monkeypatch):
+    rows, authors, raw = _texts(13)
+    frames = spark.createDataFrame(rows, "doc_id long, term string, n long"), spark.createDataFrame(authors, "doc_id long, emp_id long")
+    monkeypatch.setattr(term_tiles, "STEP", 10)
+    out = term_tiles.leading_terms(*frames, 3, block_rows=40).collect()
+    first = lambda ts: sorted(ts.items(), key=lambda x: (-x[1], x[0]))[:3]
+    for e, terms in raw.items():
+        assert first({r.term: r.n for r in out if r.emp_id == e}) == first(terms)
+    assert len(out) <= 4 * 3 * len(raw)  # not three for each of the 33 parts
