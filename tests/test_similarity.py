@@ -1,5 +1,6 @@
 import contextlib
 import io
+import itertools
 import re
 import tracemalloc
 
@@ -414,3 +415,37 @@ def test_lowest_similarity_of_a_tile_is_one_row():
     assert C._low_tile((0, 0), whole, whole).to_pylist() == [{"cluster": 7, "a": None, "b": None, "low": 0.707107}]
     parts = C._low_tile((0, 1), whole, table([9], [[1.0, 0.0]], [True])).to_pylist()
     assert [(r["a"], r["b"], r["low"]) for r in parts] == [(1, 9, 1.0), (2, 9, 0.0), (3, 9, 0.707107)]
+
+
+def test_document_pairs_come_out_of_their_task_once(spark, monkeypatch):
+    """Documents of several sections, one of more sections than a block, against the plain computation; whole documents need no shuffle."""
+    rng = np.random.default_rng(17)
+    docs = [int(d) for d in np.r_[rng.integers(0, 60, 150), [7] * 45]]
+    vecs = rng.normal(size=(len(docs), 6))
+    vecs[30:40] = vecs[20:30] * 2
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    best = {}
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if docs[i] != docs[j]:
+            pair = min(docs[i], docs[j]), max(docs[i], docs[j])
+            best[pair] = max(best.get(pair, -1), round(float(unit[i] @ unit[j]), 6))
+    df = spark.createDataFrame([(i, d, v.tolist()) for i, (d, v) in enumerate(zip(docs, vecs, strict=True))], "section_id long, doc_id long, embedding array<double>")
+    for threshold in (-1.0, 0.2, 0.9):
+        want = {p: s for p, s in best.items() if s >= threshold}
+        for block_rows in (20, 64, 4096):
+            found = S.best_pairs_above(C._under_documents(df), threshold, block_rows=block_rows)
+            rows = found.collect()
+            assert len(rows) == len(want) and {(r.left_id, r.right_id) for r in rows} == set(want)
+            assert all(abs(want[r.left_id, r.right_id] - r.sim) < 2e-6 for r in rows)
+    plan = C.document_pairs(df, 0.2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_pairs_that_reach_a_threshold_are_formed_exactly():
+    rng = np.random.default_rng(5)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(700, 9)), rng.normal(size=(300, 9))))
+    b[:9] = a[:9]
+    sim = np.round(a @ b.T, 6)
+    for threshold in (-1.0, 0.0, 0.3, 0.9, 1.0):
+        i, j, s = S._reached(a, b, threshold, 6)
+        assert (np.stack(np.nonzero(sim >= threshold)) == [i, j]).all() and (s == sim[i, j]).all()
