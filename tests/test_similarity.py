@@ -449,3 +449,22 @@ def test_pairs_that_reach_a_threshold_are_formed_exactly():
     for threshold in (-1.0, 0.0, 0.3, 0.9, 1.0):
         i, j, s = S._reached(a, b, threshold, 6)
         assert (np.stack(np.nonzero(sim >= threshold)) == [i, j]).all() and (s == sim[i, j]).all()
+
+
+def test_linkage_of_sections_over_blocks_and_rounds(spark, monkeypatch):
+    """Sums meet in blocks; links between clusters that stayed are not formed again; the end is one task or rounds, with the same clusters."""
+    rng = np.random.default_rng(21)
+    v = np.repeat(rng.normal(size=(12, 5)), 6, axis=0) + 0.5 * rng.normal(size=(72, 5))
+    docs = rng.integers(0, 40, 72)
+    docs[::9] = 3
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = u @ u.T
+    sim[docs[:, None] == docs[None, :]] = 0.0
+    s = spark.createDataFrame([(i, int(docs[i]), v[i].tolist()) for i in range(72)], "section_id long, doc_id long, embedding array<double>")
+    want, formed, sums = linkage(sim, 0.4, "average"), [], C._section_sums
+    monkeypatch.setattr(C, "_section_sums", lambda rows, *a: formed.append(rows.where("merged").count()) or sums(rows, *a))
+    for at_once, block_rows in ((0, 7), (60, 4096)):
+        formed.clear()
+        got = {r.section_id: r.cluster for r in C.average_linkage_of_sections(s, 0.4, block_rows, at_once).collect()}
+        assert got == want and len(formed) > 1
+        assert at_once or formed[-2] < formed[0] / 2
